@@ -17,6 +17,9 @@ MAX_CATEGORIES = 50
 # Size of the distinct-count sketches: 2^12 registers, a standard error of 1.6 %.
 SKETCH_REGISTERS_LOG2 = 12
 
+# Below this ratio of sketched distinct values to rows a column cannot be a key (six errors away).
+NEARLY_UNIQUE = 0.9
+
 # At most this many exact distinct counts share one scan (each expands the rows once).
 DISTINCT_COLUMNS_PER_SCAN = 16
 
@@ -75,11 +78,12 @@ def profile(frame: DataFrame, *, exact: bool = False) -> list[ColumnProfile]:
         ),
     ).first()
     rows = first["rows"]
+    kinds = {f.name: f.dataType for f in fields}
     nulls = {f.name: rows - first[f"present {i}"] for i, f in enumerate(fields)}
     sketch = {f.name: first[f"sketch {f.name}"] for f in counted}
 
     few = [n for n, d in sketch.items() if d <= 4 * MAX_CATEGORIES]
-    many = [n for n, d in sketch.items() if n not in few and (exact or d >= 0.8 * (rows - nulls[n]))]
+    many = [n for n, d in sketch.items() if n not in few and (exact or d >= NEARLY_UNIQUE * (rows - nulls[n]))]
 
     distinct: dict[str, int] = {}
     if few:
@@ -88,7 +92,7 @@ def profile(frame: DataFrame, *, exact: bool = False) -> list[ColumnProfile]:
         distinct |= found.asDict()
     for start in range(0, len(many), DISTINCT_COLUMNS_PER_SCAN):
         chunk = many[start : start + DISTINCT_COLUMNS_PER_SCAN]
-        found = frame.agg(*(F.count_distinct(F.col(quote(n))).alias(n) for n in chunk)).first()
+        found = frame.agg(*(F.expr(_distinct(n, kinds[n], exact)).alias(n) for n in chunk)).first()
         distinct |= found.asDict()
 
     result = []
@@ -113,6 +117,18 @@ def _sketch(x: str) -> str:
     return f"hll_sketch_estimate(hll_sketch_agg({hashed}, {SKETCH_REGISTERS_LOG2}))"
 
 
+def _distinct(name: str, kind: T.DataType, exact: bool) -> str:
+    """Exact distinct count.
+
+    Long texts are told apart by 128 bits of hashes, so that the shuffle does not carry
+    them.  As many distinct hashes as rows prove that the texts are distinct.
+    """
+    x = quote(name)
+    if exact or not isinstance(kind, T.StringType):
+        return f"count(DISTINCT {x})"
+    return f"count(DISTINCT CASE WHEN {x} IS NOT NULL THEN struct(xxhash64({x}), xxhash64('', {x})) END)"
+
+
 def attributes_of(kind: T.DataType, counts: ColumnProfile) -> frozenset[Attribute]:
     """Attributes of a column with the given type and counts."""
     found = type_attributes(kind)
