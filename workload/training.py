@@ -1,0 +1,237 @@
+"""Selection, training, prediction and explanation."""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import functions as F
+
+from featloom import Aggregate, Encode, Identity, Problem, Rename, declare_key, table
+from featloom.learning import (
+    BoostedTrees,
+    Boruta,
+    Correlation,
+    FeatureMatrix,
+    Model,
+    PermutationImportance,
+    RandomForest,
+    ShapelyImpact,
+    feature_matrix,
+    pair_correlations,
+)
+from featloom.learning.model import Round
+from featloom.learning.predictors import baseline
+from featloom.learning.selectors import FeatureImportance, mutual_information
+from featloom.learning.trees import explain
+from featloom.reports import importance_grid, prediction_impact
+from workload.registry import dq, load, query, r4, read
+
+_NUMBERS = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _r(sql: str) -> str:
+    return f"round(CAST({sql} AS DOUBLE), 6) + 0.0"
+
+
+def _lines(spark, sf_dir, names=_NUMBERS, target="l_returnflag") -> FeatureMatrix:
+    return feature_matrix(read(spark, sf_dir, "lineitem"), names, target, Problem.classification)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{x}' AS x, '{y}' AS y, {_r(f'corr({x}, {y})')} AS r FROM lineitem"
+        for i, x in enumerate(_NUMBERS)
+        for y in _NUMBERS[i + 1 :]
+    ),
+)
+def corr_pairs(spark, sf_dir):
+    return _named_pairs(pair_correlations(_lines(spark, sf_dir)), _NUMBERS)
+
+
+def _named_pairs(pairs, names):
+    listed = F.array(*(F.lit(n) for n in names))
+    return pairs.select(F.get(listed, F.col("i")).alias("x"), F.get(listed, F.col("j")).alias("y"), F.expr(f"{_r('r')} AS r"))
+
+
+_RANKED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "WITH r AS (SELECT "
+    + ", ".join(
+        f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS {x}" for x in _RANKED
+    )
+    + " FROM lineitem) "
+    + " UNION ALL ".join(
+        f"SELECT '{x}' AS x, '{y}' AS y, {_r(f'corr({x}, {y})')} AS r FROM r"
+        for i, x in enumerate(_RANKED)
+        for y in _RANKED[i + 1 :]
+    ),
+)
+def corr_spearman(spark, sf_dir):
+    return _named_pairs(pair_correlations(_lines(spark, sf_dir, _RANKED), "spearman"), _RANKED)
+
+
+_TAU = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _tau_sql(x: str, y: str) -> str:
+    """Tau-b from counted value pairs."""
+    cells = f"(SELECT {x} AS x, {y} AS y, count(*) AS n FROM lineitem GROUP BY ALL)"
+    ties = "(SELECT sum(n * (n - 1) / 2.0) FROM (SELECT {c}, count(*) AS n FROM lineitem GROUP BY {c}))"
+    pairs = "(SELECT count(*) * (count(*) - 1) / 2.0 FROM lineitem)"
+    agreement = (
+        f"(SELECT sum(CAST(a.n AS DOUBLE) * b.n * sign(a.x - b.x) * sign(a.y - b.y)) / 2 FROM {cells} a, {cells} b)"
+    )
+    spread = f"sqrt({pairs} - {ties.format(c=x)}) * sqrt({pairs} - {ties.format(c=y)})"
+    return f"SELECT '{x}' AS x, '{y}' AS y, {_r(f'{agreement} / ({spread})')} AS r"
+
+
+@query(" UNION ALL ".join(_tau_sql(x, y) for i, x in enumerate(_TAU) for y in _TAU[i + 1 :]))
+def corr_kendall(spark, sf_dir):
+    return _named_pairs(pair_correlations(_lines(spark, sf_dir, _TAU), "kendall"), _TAU)
+
+
+@query(
+    "WITH p AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{x}' AS x, abs(corr({x}, {y})) AS r FROM lineitem"
+        for i, x in enumerate(_NUMBERS)
+        for y in _NUMBERS[i + 1 :]
+    )
+    + ") "
+    + " UNION ALL ".join(
+        f"SELECT '{x}' AS feature, coalesce((SELECT max(r) FROM p WHERE x = '{x}'), 0) < 0.5 AS kept" for x in _NUMBERS
+    ),
+)
+def corr_select(spark, sf_dir):
+    kept = Correlation(max=0.5).select(_lines(spark, sf_dir))
+    return spark.createDataFrame(list(zip(_NUMBERS, kept)), "feature string, kept boolean")
+
+
+_DISCRETE = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
+
+
+def _information_sql(x: str) -> str:
+    joint = f"(SELECT {x} AS b, l_returnflag AS y, count(*) AS n FROM lineitem GROUP BY ALL)"
+    return (
+        f"SELECT '{x}' AS feature, {_r('sum(n / total * ln(n * total / nb / ny))')} AS information FROM ("
+        f"SELECT CAST(n AS DOUBLE) AS n, CAST(sum(n) OVER () AS DOUBLE) AS total, "
+        "CAST(sum(n) OVER (PARTITION BY b) AS DOUBLE) AS nb, CAST(sum(n) OVER (PARTITION BY y) AS DOUBLE) AS ny "
+        f"FROM {joint})"
+    )
+
+
+@query(" UNION ALL ".join(_information_sql(x) for x in _DISCRETE))
+def mi_binned(spark, sf_dir):
+    scores = mutual_information(_lines(spark, sf_dir, _DISCRETE))
+    listed = F.array(*(F.lit(n) for n in _DISCRETE))
+    return scores.select(F.get(listed, F.col("feature")).alias("feature"), F.expr(f"{_r('information')} AS information"))
+
+
+@query(
+    "SELECT c_mktsegment AS prediction FROM customer GROUP BY c_mktsegment ORDER BY count(*) DESC, c_mktsegment LIMIT 1",
+)
+def baseline_class(spark, sf_dir):
+    return baseline(read(spark, sf_dir, "customer"), "c_mktsegment", Problem.classification)
+
+
+@query(f"SELECT {r4('avg(o_totalprice)')} AS prediction FROM orders")
+def baseline_reg(spark, sf_dir):
+    constant = baseline(read(spark, sf_dir, "orders"), "o_totalprice", Problem.regression)
+    return constant.select(F.expr(r4("prediction")).alias("prediction"))
+
+
+@query(
+    "SELECT "
+    + ", ".join(
+        f"CAST(count(*) FILTER (WHERE l_returnflag = '{f}') AS BIGINT) AS {dq(f)}" for f in ("A", "N", "R")
+    )
+    + " FROM lineitem",
+)
+def label_encoding(spark, sf_dir):
+    """Labels are positions of the sorted classes; decode them again and count."""
+    matrix = _lines(spark, sf_dir)
+    decoded = F.get(F.array(*(F.lit(c) for c in matrix.classes)), F.col("label").cast("int"))
+    return matrix.frame.select(decoded.alias("flag")).groupBy().pivot("flag", matrix.classes).count()
+
+
+def document_model(spark, sf_dir, rounds=None) -> Model:
+    """Predict the quality of labelled documents from their own columns and their source."""
+    documents = read(spark, sf_dir, "documents")
+    # facts per document that a chain of row-wise expressions can see
+    facts = documents.selectExpr(
+        "doc_id", "lang", "source", "n_chars", "size(split(text, ' ')) AS n_words",
+        "size(split(text, '\n')) AS n_lines", "length(regexp_replace(text, '[^0-9]', '')) AS n_digits",
+    )
+    labels = table(read(spark, sf_dir, "labels"), "labels")
+    data = declare_key(Encode_dataset(table(facts, "documents")), "documents", ["doc_id"])
+    return Model.train(
+        data,
+        known_columns=[labels.column("doc_id")],
+        prediction_method=BoostedTrees() if rounds is None else RandomForest(),
+        problem=Problem.classification,
+        target_column=labels.column("quality"),
+        training_data=labels,
+        rounds=rounds,
+    )
+
+
+def Encode_dataset(*tables):  # noqa: N802
+    from featloom import into_dataset
+
+    return into_dataset(list(tables)).apply(Encode())
+
+
+def _forest_rounds():
+    return [
+        Round(
+            generate=Identity(),
+            selectors=[Correlation(max=0.9), FeatureImportance(predictor=RandomForest(), n=12)],
+        ),
+    ]
+
+
+@query()
+def train_predict_labels(spark, sf_dir):
+    """Evaluation of a model after all three default rounds."""
+    return document_model(spark, sf_dir).evaluation
+
+
+@query()
+def predict_batch(spark, sf_dir):
+    """Predictions for every document, labelled or not."""
+    model = document_model(spark, sf_dir, _forest_rounds())
+    return model.predict(read(spark, sf_dir, "documents").select("doc_id")).y
+
+
+@query()
+def shap_importance(spark, sf_dir):
+    return document_model(spark, sf_dir, _forest_rounds()).importance
+
+
+@query()
+def prediction_impacts(spark, sf_dir):
+    model = document_model(spark, sf_dir, _forest_rounds())
+    return model.predict(read(spark, sf_dir, "documents").select("doc_id")).impact
+
+
+@query()
+def perm_importance(spark, sf_dir):
+    matrix = _lines(spark, sf_dir, _RANKED + ["l_linenumber"])
+    kept = PermutationImportance(n=3, predictor=RandomForest()).select(matrix)
+    return spark.createDataFrame(list(zip(matrix.names, kept)), "feature string, kept boolean")
+
+
+@query()
+def shap_select(spark, sf_dir):
+    matrix = _lines(spark, sf_dir, _RANKED + ["l_linenumber"])
+    kept = ShapelyImpact(n=3, predictor=RandomForest()).select(matrix)
+    return spark.createDataFrame(list(zip(matrix.names, kept)), "feature string, kept boolean")
+
+
+@query()
+def boruta_select(spark, sf_dir):
+    matrix = _lines(spark, sf_dir, _RANKED)
+    kept = Boruta(importance="gini", predictor=RandomForest(), problem=Problem.classification, trials=6).select(matrix)
+    return spark.createDataFrame(list(zip(matrix.names, kept)), "feature string, kept boolean")
