@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import numpy as np
@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featloom.functions import literal, quote
 from featloom.plans.ordering import PART, part_offsets, quote_part
 from featloom.plans.storage import materialise
 from featloom.problem import Problem
+from featloom.schema import Pair
 
 
 @dataclasses.dataclass(frozen=True)
@@ -50,40 +52,102 @@ class FeatureMatrix:
         return dataclasses.replace(self, frame=self.frame.where(predicate))
 
 
-def array_of(columns: Sequence[str]) -> str:
-    """SQL of a feature array.  Null, NaN and infinite values all become NaN."""
+def array_of(cells: Sequence[str]) -> str:
+    """SQL of an array of doubles.  Null, NaN and infinite values all become NaN."""
     nan = "CAST('NaN' AS DOUBLE)"
-    cells = ", ".join(f"CAST({quote(c)} AS DOUBLE)" for c in columns)
+    listed = ", ".join(f"CAST({c} AS DOUBLE)" for c in cells)
     finite = f"x -> CASE WHEN abs(x) < CAST('Infinity' AS DOUBLE) THEN x ELSE {nan} END"
-    return f"transform(CAST(array({cells}) AS array<double>), {finite})"
+    return f"transform(CAST(array({listed}) AS array<double>), {finite})"
+
+
+def combined(frame: DataFrame, width: int, recipe: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """Turn the last column, an array of operands, into an array of ``features``.
+
+    Thousands of generated expressions would take longer to plan than to compute, so tasks
+    combine whole columns of each Arrow batch.
+
+    :param width: Number of operands.
+    :param recipe: Per feature the symbol of a pair and the positions of its operands; an
+        empty symbol takes the first operand as it is.
+    """
+    symbols = np.array([symbol for symbol, _, _ in recipe])
+    left = np.array([i for _, i, _ in recipe], dtype=int)
+    right = np.array([j for _, _, j in recipe], dtype=int)
+    ratios, both, either = (np.flatnonzero(symbols == s) for s in "/&|")
+    kept = frame.schema.fields[:-1]
+    schema = T.StructType([*kept, T.StructField("features", T.ArrayType(T.DoubleType()))])
+
+    def combine(x: np.ndarray) -> np.ndarray:
+        out = x[:, left]
+        with np.errstate(all="ignore"):
+            quotient = x[:, left[ratios]] / x[:, right[ratios]]
+        out[:, ratios] = np.where(np.isfinite(quotient), quotient, np.nan)
+        # NaN is unknown: it decides neither a conjunction with 0 nor a disjunction with 1
+        for columns, decisive in ((both, 0.0), (either, 1.0)):
+            a, b = x[:, left[columns]], x[:, right[columns]]
+            open_ = np.where(np.isnan(a) | np.isnan(b), np.nan, 1.0 - decisive)
+            out[:, columns] = np.where((a == decisive) | (b == decisive), decisive, open_)
+        return out
+
+    def combine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = as_matrix(batch.column(batch.num_columns - 1), width)
+            # slices bound the memory of batches with thousands of features per row
+            for start in range(0, len(x), 512):
+                features = combine(x[start : start + 512])
+                offsets = pa.array(np.arange(0, features.size + 1, len(recipe), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(c.slice(start, len(features)) for c in batch.columns[:-1]),
+                        pa.ListArray.from_arrays(offsets, pa.array(features.ravel())),
+                    ],
+                    [*batch.schema.names[:-1], "features"],
+                )
+
+    return frame.mapInArrow(combine_batches, schema)
 
 
 def feature_matrix(
     frame: DataFrame,
-    names: Sequence[str],
+    features: Sequence[str] | Mapping[str, str],
     target: str,
     problem: Problem,
     *,
     extra: Sequence[str] = (),
     classes: list[Any] | None = None,
+    pairs: Mapping[str, Pair] | None = None,
 ) -> FeatureMatrix:
     """Assemble features and target; class values are numbered in sorted order.
 
+    :param features: Feature columns, or feature name → SQL over the frame.
     :param extra: Other columns to carry along.
     :param classes: Known class values; read from the data if absent.
+    :param pairs: The features that combine two operands, by name; only their operands
+        become expressions.
     """
+    cells = dict(features) if isinstance(features, Mapping) else {n: quote(n) for n in features}
     if problem is Problem.classification:
         if classes is None:
             classes = class_values(frame, target)
         label = label_of(target, classes)
     else:
         label = f"CAST({quote(target)} AS DOUBLE)"
-    rows = frame.selectExpr(
-        *(quote(e) for e in extra),
-        f"{label} AS label",
-        f"{array_of(names)} AS features",
-    )
-    return FeatureMatrix(rows, list(names), problem, classes)
+    kept = [*(quote(e) for e in extra), f"{label} AS label"]
+    if not pairs:
+        rows = frame.selectExpr(*kept, f"{array_of(list(cells.values()))} AS features")
+        return FeatureMatrix(rows, list(cells), problem, classes)
+
+    operands: dict[str, int] = {}
+
+    def at(sql: str) -> int:
+        return operands.setdefault(sql, len(operands))
+
+    recipe = [
+        (pairs[n].symbol, at(pairs[n].left), at(pairs[n].right)) if n in pairs else ("", at(sql), 0)
+        for n, sql in cells.items()
+    ]
+    rows = frame.selectExpr(*kept, f"{array_of(list(operands))} AS operands")
+    return FeatureMatrix(combined(rows, len(operands), recipe), list(cells), problem, classes)
 
 
 def class_values(frame: DataFrame, target: str, *, limit: int = 10_000) -> list[Any]:

@@ -21,7 +21,7 @@ from featloom.plans.ordering import ordered_split
 from featloom.plans.storage import materialise
 from featloom.problem import Problem
 from featloom.reports import chart_data, comparison, importance_grid, prediction_impact
-from featloom.schema import Column, Dataset, Table
+from featloom.schema import Attribute, Column, Dataset, Table
 
 # Share of the rows, in order of the known columns, that train a model; the others test it.
 TRAIN_SHARE = 0.8
@@ -103,7 +103,7 @@ class Model:
     :param dataset: The tables that the selected features are extracted from.
     :param known: Names and types of the known columns.
     :param names: Selected features, in the order in which the predictor sees them.
-    :param feature_types: Types of the selected features.
+    :param numeric: The selected features that are numbers; the others are booleans.
     :param classes: Sorted classes of a classification target.
     :param test: Test rows with label, features, prediction and baseline prediction.
     """
@@ -114,7 +114,7 @@ class Model:
     problem: Problem
     fitted: FittedTrees
     names: list[str]
-    feature_types: T.StructType
+    numeric: set[str]
     classes: list[Any] | None
     test: DataFrame
 
@@ -170,7 +170,7 @@ class Model:
             problem=problem,
             fitted=fitted,
             names=trained.matrix.names,
-            feature_types=trained.types,
+            numeric=trained.numeric,
             classes=classes,
             test=materialise(scored, "test"),
         )
@@ -184,7 +184,7 @@ class Model:
 
     def score(self, features: DataFrame) -> DataFrame:
         """Add the predicted target to given feature rows, without extracting anything."""
-        ready = features.withColumn("features", F.expr(array_of(self.names)))
+        ready = features.withColumn("features", F.expr(array_of([quote(n) for n in self.names])))
         scored = self.fitted.score(ready).drop("features")
         return scored.withColumn("prediction", self._value("prediction")).withColumnRenamed(
             "prediction", self.target.name,
@@ -197,7 +197,7 @@ class Model:
     def explain(self, features: DataFrame) -> DataFrame:
         """Impact of each feature on given feature rows, with the known columns they have."""
         keys = [n for n in self.known.names if n in features.columns]
-        ready = features.withColumn("features", F.expr(array_of(self.names)))
+        ready = features.withColumn("features", F.expr(array_of([quote(n) for n in self.names])))
         return explain(ready, self.fitted, self.names, keys=[quote(k) for k in keys], classes=self._labels)
 
     @functools.cached_property
@@ -218,7 +218,7 @@ class Model:
     def charts(self, feature: str) -> dict[str, DataFrame]:
         """Data of the charts that relate one feature to the target, over the test rows."""
         position = self.names.index(feature)
-        numeric = isinstance(self.feature_types[feature].dataType, T.NumericType)
+        numeric = feature in self.numeric
         rows = self.test.select(
             F.get(F.col("features"), position).alias(feature),
             self._value("label").alias(self.target.name),
@@ -243,7 +243,7 @@ class Model:
 class _Trained:
     dataset: Dataset
     matrix: FeatureMatrix
-    types: T.StructType
+    numeric: set[str]
 
 
 def _labelled(
@@ -278,15 +278,16 @@ def _train_round(
     columns = [c for t in extracted for c in t.columns]
     if not columns:
         raise ValueError("no features: no table has a primary key that the known columns cover")
-    wide = extracted.tables[0].frame
-    exprs = {c.name: t.expr(c) for t in extracted for c in t.columns}
-    named = wide.selectExpr(
-        f"{quote(_LABEL)}",
-        f"{quote(_TRAIN)} AS is_train",
-        *(f"{sql} AS {quote(n)}" for n, sql in exprs.items()),
+    wide = extracted.tables[0].frame.withColumnRenamed(_TRAIN, "is_train")
+    matrix = feature_matrix(
+        wide,
+        {c.name: t.expr(c) for t in extracted for c in t.columns},
+        _LABEL,
+        problem,
+        extra=["is_train"],
+        classes=classes,
+        pairs={name: pair for t in extracted for name, pair in t.pairs.items()},
     )
-    types = named.schema
-    matrix = feature_matrix(named, list(exprs), _LABEL, problem, extra=["is_train"], classes=classes)
     # every selector and fit reads these rows again; the joins behind them run once
     matrix = dataclasses.replace(matrix, frame=materialise(matrix.frame, "matrix"))
 
@@ -298,4 +299,5 @@ def _train_round(
     survivors = {c.name: c for c in columns if c.name in set(matrix.names)}
     ancestors = [pair for c in survivors.values() for pair in c.derived_from]
     dataset = candidates.apply(Keep(columns=ancestors))
-    return _Trained(dataset, matrix, T.StructType([types[n] for n in matrix.names]))
+    numeric = {n for n, c in survivors.items() if c.has(Attribute.numeric)}
+    return _Trained(dataset, matrix, numeric)

@@ -59,15 +59,21 @@ class Aggregate(Transform):
     def _grouped(self, requests: list["_Request"]) -> list[Table]:
         first = requests[0]
         prefixes = [""] if len(requests) == 1 else [f"{i}: " for i in range(len(requests))]
+        # rows that no table wants are filtered in the scan
+        wanted = {r.table.where for r in requests}
+        alike = len(wanted) == 1
+        frame = first.table.frame
+        if None not in wanted:
+            frame = frame.where(" OR ".join(f"({w})" for w in sorted(wanted)))
         grouped = grouped_statistics(
-            first.table.frame,
+            frame,
             {c.name: first.table.expr(c) for c in first.pivots},
             {c.name: first.table.expr(c) for c in first.measured},
-            [Slice(prefix, r.table.where) for prefix, r in zip(prefixes, requests)],
+            [Slice(prefix, None if alike else r.table.where) for prefix, r in zip(prefixes, requests)],
             row_limit=self.row_limit,
             checked_rows=first.table.max_rows,
         )
-        return [self._result(r, grouped, p, fused=len(requests) > 1) for r, p in zip(requests, prefixes)]
+        return [self._result(r, grouped, p, fused=not alike) for r, p in zip(requests, prefixes)]
 
     def _result(self, request: "_Request", grouped, prefix: str, *, fused: bool) -> Table:
         table = request.table

@@ -36,4 +36,5 @@ class Collect(Transform):
                 where=table.where,
                 unique_on=table.unique_on,
                 max_rows=table.max_rows,
+                pairs=table.pairs,
             )

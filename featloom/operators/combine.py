@@ -7,7 +7,7 @@ import itertools
 from collections.abc import Iterable
 
 from featloom.operators.compose import Transform
-from featloom.schema import Attribute, Column, Table
+from featloom.schema import Attribute, Column, Pair, Table
 
 
 @dataclasses.dataclass(frozen=True)
@@ -20,34 +20,23 @@ class Combine(Transform):
 
     def apply(self, tables: Iterable[Table]) -> Iterable[Table]:
         for table in tables:
-            pairs = [
-                *self._pairs(table, Attribute.numeric, {"/": _ratio}),
-                *self._pairs(table, Attribute.boolean, {"&": _both, "|": _either}),
-            ]
+            pairs = [*_pairs(table, Attribute.numeric, "/"), *_pairs(table, Attribute.boolean, "&|")]
             if pairs:
                 key = [(c, table.expr(c)) for c in table.columns if c.is_key]
-                yield table.derive([*key, *pairs], name=f"combine({table.name})")
-
-    @staticmethod
-    def _pairs(table: Table, kind: Attribute, operations: dict) -> Iterable[tuple[Column, str]]:
-        operands = [c for c in table.columns if c.has(kind) and not c.is_key]
-        for x, y in itertools.combinations(operands, 2):
-            for symbol, build in operations.items():
-                column = Column(
-                    name=f"{x} {symbol} {y}",
-                    attributes=x.attributes & y.attributes,
-                    derived_from=[(x, table.name), (y, table.name)],
+                yield table.derive(
+                    [*key, *((column, pair.sql) for column, pair in pairs)],
+                    name=f"combine({table.name})",
+                    pairs={column.name: pair for column, pair in pairs},
                 )
-                yield column, build(table.expr(x), table.expr(y))
 
 
-def _ratio(x: str, y: str) -> str:
-    return f"CASE WHEN {y} = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST({x} AS DOUBLE) / {y} END"
-
-
-def _both(x: str, y: str) -> str:
-    return f"({x} AND {y})"
-
-
-def _either(x: str, y: str) -> str:
-    return f"({x} OR {y})"
+def _pairs(table: Table, kind: Attribute, symbols: str) -> Iterable[tuple[Column, Pair]]:
+    operands = [c for c in table.columns if c.has(kind) and not c.is_key]
+    for x, y in itertools.combinations(operands, 2):
+        for symbol in symbols:
+            column = Column(
+                name=f"{x} {symbol} {y}",
+                attributes=x.attributes & y.attributes,
+                derived_from=[(x, table.name), (y, table.name)],
+            )
+            yield column, Pair(symbol, table.expr(x), table.expr(y))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from featloom.functions import quote
 from featloom.operators.compose import Transform
 from featloom.plans.skew import ROW_LIMIT, first_duplicate, split_left_join
-from featloom.schema import Attribute, Column, Table
+from featloom.schema import Attribute, Column, Pair, Table
 
 
 @dataclasses.dataclass(frozen=True, kw_only=True)
@@ -46,34 +46,42 @@ class Extract(Transform):
             if table.key and features and known_names.issuperset(table.key):
                 matched.append((table, features))
 
-        by_key: dict[tuple[str, ...], list[tuple[Table, list[_Feature]]]] = defaultdict(list)
+        by_key: dict[tuple[str, ...], list[_Source]] = defaultdict(list)
+        sources = {}
         for table, features in matched:
-            # a value that is already known wins over the one of the table
-            wanted = [f for f in features if f.source.name not in known_names]
-            if wanted:
-                by_key[tuple(sorted(table.key))].append((table, wanted))
+            source = _Source(table)
+            for feature in features:
+                # a value that is already known wins over the one of the table
+                if feature.source.name not in known_names:
+                    source.need(feature)
+            if source.columns:
+                by_key[tuple(sorted(table.key))].append(source)
+            sources[id(table)] = source
 
         wide = known
         for key, group in by_key.items():
             wide = self._joined(wide, list(key), group)
 
         for table, features in matched:
+            source = sources[id(table)]
+            exprs, pairs = {}, {}
+            for f in features:
+                if f.source.name in known_names:
+                    exprs[f.column.name] = quote(f.source.name)
+                elif f.pair is not None:
+                    pairs[f.column.name] = f.pair.over(source.columns)
+                    exprs[f.column.name] = pairs[f.column.name].sql
+                else:
+                    exprs[f.column.name] = source.columns[f.sql]
             yield Table(
                 name=f"features({table.name})",
                 columns=[f.column for f in features],
                 data=wide,
-                exprs={
-                    f.column.name: quote(f.source.name if f.source.name in known_names else f.column.name)
-                    for f in features
-                },
+                exprs=exprs,
+                pairs=pairs,
             )
 
-    def _joined(
-        self,
-        known: DataFrame,
-        key: list[str],
-        group: list[tuple[Table, list["_Feature"]]],
-    ) -> DataFrame:
+    def _joined(self, known: DataFrame, key: list[str], group: list["_Source"]) -> DataFrame:
         sides = self._sides(key, group)
         declared = isinstance(self.known, Table) and (
             self.known.unique_on is not None
@@ -94,28 +102,25 @@ class Extract(Transform):
         checked = self.known.max_rows if isinstance(self.known, Table) else None
         return split_left_join(known, features, key, row_limit=self.row_limit, checked_rows=checked)
 
-    def _sides(self, key: list[str], group: list[tuple[Table, list["_Feature"]]]) -> list[DataFrame]:
+    def _sides(self, key: list[str], group: list["_Source"]) -> list[DataFrame]:
         """One frame per join: tables over one frame share it if their key is unique there."""
-        shared: dict[tuple, list[tuple[Table, list[_Feature]]]] = defaultdict(list)
-        for position, (table, features) in enumerate(group):
+        shared: dict[tuple, list[_Source]] = defaultdict(list)
+        for position, source in enumerate(group):
+            table = source.table
             owner = id(table.frame) if table.is_unique else f"table {position}"
-            shared[(owner, *(table.expr(k) for k in key))].append((table, features))
+            shared[(owner, *(table.expr(k) for k in key))].append(source)
 
         sides = []
         for members in shared.values():
-            first = members[0][0]
-            frame, only = first.frame, members[0][0].where
-            if len({t.where for t, _ in members}) == 1:
-                frame = frame if only is None else frame.where(only)
-                guarded = False
-            else:
-                guarded = True
+            first = members[0].table
+            alike = len({m.table.where for m in members}) == 1
+            frame = first.frame.where(first.where) if alike and first.where is not None else first.frame
             side = frame.selectExpr(
                 *(f"{first.expr(k)} AS {quote(k)}" for k in key),
                 *(
-                    f"{_guard(f.sql, t.where if guarded else None)} AS {quote(f.column.name)}"
-                    for t, features in members
-                    for f in features
+                    f"{sql if alike else _guard(sql, m.table.where)} AS {name}"
+                    for m in members
+                    for sql, name in m.columns.items()
                 ),
             )
             if self.validate and not first.is_unique:
@@ -125,11 +130,32 @@ class Extract(Transform):
         return sides
 
 
+class _Source:
+    """The columns that one table brings into the join: SQL over its frame → quoted name.
+
+    Pairs bring their operands only; they are computed after the join.  That is the same,
+    since they are null wherever all their operands are.
+    """
+
+    def __init__(self, table: Table) -> None:
+        self.table = table
+        self.columns: dict[str, str] = {}
+
+    def need(self, feature: "_Feature") -> None:
+        if feature.pair is None:
+            self.columns.setdefault(feature.sql, quote(feature.column.name))
+        else:
+            for sql in (feature.pair.left, feature.pair.right):
+                name = f"operand {len(self.columns)}{Extract.SEPARATOR}{self.table.name}"
+                self.columns.setdefault(sql, quote(name))
+
+
 @dataclasses.dataclass(frozen=True)
 class _Feature:
     column: Column
     source: Column
     sql: str
+    pair: Pair | None
 
 
 def _features(table: Table) -> list[_Feature]:
@@ -143,6 +169,7 @@ def _features(table: Table) -> list[_Feature]:
             ),
             source=c,
             sql=table.expr(c),
+            pair=table.pairs.get(c.name),
         )
         for c in table.columns
         if not c.is_key and c.attributes & {Attribute.boolean, Attribute.numeric}

@@ -82,6 +82,28 @@ class Column:
         return not {name for name, _ in self.roots}.isdisjoint(name for name, _ in other.roots)
 
 
+@dataclasses.dataclass(frozen=True)
+class Pair:
+    """A column made from two others: an operation and the SQL of its operands."""
+
+    symbol: str
+    left: str
+    right: str
+
+    @property
+    def sql(self) -> str:
+        if self.symbol == "/":
+            return (
+                f"CASE WHEN {self.right} = 0 THEN CAST('NaN' AS DOUBLE) "
+                f"ELSE CAST({self.left} AS DOUBLE) / {self.right} END"
+            )
+        return f"({self.left} {'AND' if self.symbol == '&' else 'OR'} {self.right})"
+
+    def over(self, columns: Mapping[str, str]) -> "Pair":
+        """The same operation with other SQL for its operands."""
+        return Pair(self.symbol, columns[self.left], columns[self.right])
+
+
 class Table:
     """A named set of columns over a Spark frame."""
 
@@ -95,6 +117,7 @@ class Table:
         where: str | None = None,
         unique_on: Iterable[str] | None = None,
         max_rows: int | None = None,
+        pairs: Mapping[str, Pair] | None = None,
     ) -> None:
         """
         :param name: Name of the table.
@@ -104,6 +127,8 @@ class Table:
         :param where: SQL predicate that rows of the frame must satisfy.
         :param unique_on: Columns of this table proven unique over *all* rows of the frame.
         :param max_rows: Proven upper bound of the number of rows of the frame.
+        :param pairs: Columns that combine two operands.  There can be very many of them, so
+            extraction and training move the operands instead.
         """
         self.name = name
         self.columns = list(columns)
@@ -111,6 +136,7 @@ class Table:
         self.where = where
         self.unique_on = frozenset(unique_on) if unique_on is not None else None
         self.max_rows = max_rows
+        self.pairs = {c.name: pairs[c.name] for c in self.columns if c.name in pairs} if pairs else {}
         self._exprs = {c.name: (exprs or {}).get(c.name, quote(c.name)) for c in self.columns}
 
         folded: dict[str, str] = {}
@@ -173,9 +199,12 @@ class Table:
         *,
         name: str | None = None,
         renamed: Mapping[str, str] | None = None,
+        pairs: Mapping[str, Pair] | None = None,
     ) -> "Table":
         """A row-wise descendant: same frame and rows, other columns."""
         columns = list(columns)
+        if pairs is None:
+            pairs = {c.name: self.pairs[c.name] for c, sql in columns if self._is_pair(c.name, sql)}
         names = {column.name for column, _ in columns}
         unique = self.unique_on
         if unique is not None:
@@ -188,8 +217,12 @@ class Table:
             where=self.where,
             unique_on=unique if unique is not None and unique <= names else None,
             max_rows=self.max_rows,
+            pairs=pairs,
         )
 
+    def _is_pair(self, name: str, sql: str) -> bool:
+        return name in self.pairs and self._exprs[name] == sql
+
     def restrict(self, predicate: str, *, name: str) -> "Table":
         """The rows that satisfy a predicate over the frame."""
         return Table(
@@ -200,6 +233,7 @@ class Table:
             where=predicate if self.where is None else f"({self.where}) AND ({predicate})",
             unique_on=self.unique_on,
             max_rows=self.max_rows,
+            pairs=self.pairs,
         )
 
 

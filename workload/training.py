@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
-from featloom import Aggregate, Encode, Identity, Problem, Rename, declare_key, table
+from featloom import Dataset, Encode, Identity, Problem, declare_key, table
 from featloom.learning import (
     BoostedTrees,
     Boruta,
@@ -22,9 +20,7 @@ from featloom.learning import (
 from featloom.learning.model import Round
 from featloom.learning.predictors import baseline
 from featloom.learning.selectors import FeatureImportance, mutual_information
-from featloom.learning.trees import explain
-from featloom.reports import importance_grid, prediction_impact
-from workload.registry import dq, load, query, r4, read
+from workload.registry import dq, query, r4, read
 
 _NUMBERS = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -161,11 +157,12 @@ def document_model(spark, sf_dir, rounds=None) -> Model:
     documents = read(spark, sf_dir, "documents")
     # facts per document that a chain of row-wise expressions can see
     facts = documents.selectExpr(
-        "doc_id", "lang", "source", "n_chars", "size(split(text, ' ')) AS n_words",
-        "size(split(text, '\n')) AS n_lines", "length(regexp_replace(text, '[^0-9]', '')) AS n_digits",
+        "doc_id", "lang", "source", "CAST(n_chars AS DOUBLE) AS n_chars",
+        "n_chars / size(split(text, ' ')) AS word_length", "n_chars / size(split(text, '\n')) AS line_length",
+        "length(regexp_replace(text, '[^0-9]', '')) / n_chars AS digit_share",
     )
     labels = table(read(spark, sf_dir, "labels"), "labels")
-    data = declare_key(Encode_dataset(table(facts, "documents")), "documents", ["doc_id"])
+    data = declare_key(Dataset([table(facts, "documents")]).apply(Encode()), "documents", ["doc_id"])
     return Model.train(
         data,
         known_columns=[labels.column("doc_id")],
@@ -177,12 +174,6 @@ def document_model(spark, sf_dir, rounds=None) -> Model:
     )
 
 
-def Encode_dataset(*tables):  # noqa: N802
-    from featloom import into_dataset
-
-    return into_dataset(list(tables)).apply(Encode())
-
-
 def _forest_rounds():
     return [
         Round(
