@@ -58,7 +58,7 @@ def equal_count_buckets(frame: DataFrame, x: str, y: str, *, buckets: int = BUCK
         .select("*", F.explode(classes).alias("class"))
         .select(
             "bucket",
-            F.coalesce(F.expr("printf('%.2f - %.2f', low, high)"), F.lit("nan - nan")).alias("label"),
+            F.expr("CASE WHEN low IS NULL THEN 'nan - nan' ELSE printf('%.2f - %.2f', low, high) END").alias("label"),
             "class",
             F.coalesce(F.expr("counts[CAST(class AS STRING)]"), F.lit(0)).alias("count"),
             F.expr("coalesce(counts[CAST(class AS STRING)] * 100D / size, 0D)").alias("percentage"),
