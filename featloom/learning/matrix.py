@@ -168,6 +168,16 @@ def as_matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows in at least as many partitions as there are cores.
+
+    Small inputs come in few files; costly work per row should still use every core.  Large
+    inputs have enough partitions and are not shuffled.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 @dataclasses.dataclass(frozen=True)
 class FeatureSummary:
     """Facts about one feature, over its present values."""

@@ -5,15 +5,16 @@ from __future__ import annotations
 import abc
 import dataclasses
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Literal
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featloom.learning.correlation import pair_correlations
-from featloom.learning.matrix import FeatureMatrix, indexed, with_donors
+from featloom.learning.matrix import FeatureMatrix, as_matrix, indexed, with_donors
 from featloom.learning.predictors import FittedTrees, PredictionMethod
 from featloom.learning.trees import mean_impacts
 from featloom.problem import Problem
@@ -113,17 +114,32 @@ def mutual_information(matrix: FeatureMatrix) -> DataFrame:
     rows = matrix.frame.selectExpr(
         "transform(concat(features, array(label)), x -> coalesce(nanvl(x, 0), 0)) AS x",
     )
-    long = rows.select(F.posexplode("x").alias("feature", "value"))
-    limits = _bin_limits(long, matrix.width + 1)
-    edges = F.array(*(F.array(*(F.lit(e) for e in limit)) for limit in limits))
-
-    def bin_of(value, position):
-        return F.size(F.filter(F.get(edges, position), lambda edge: edge < value))
-
-    binned = rows.select(
-        F.transform("x", bin_of).alias("b"),
-    ).select(F.posexplode(F.slice("b", 1, matrix.width)).alias("feature", "bin"), F.element_at("b", -1).alias("target"))
-    cells = binned.groupBy("feature", "bin", "target").agg(F.count(F.lit(1)).alias("n"))
+    width = matrix.width
+    limits = [np.array(v) for v in _bin_limits(rows.select(F.posexplode("x").alias("feature", "value")), width + 1)]
+    shape = [len(v) + 1 for v in limits]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros((shape[f], shape[-1]), dtype=np.int64) for f in range(width)]
+        for batch in batches:
+            x = as_matrix(batch.column(0), width + 1)
+            target = np.searchsorted(limits[-1], x[:, -1], "left")
+            for f, table in enumerate(tables):
+                code = np.searchsorted(limits[f], x[:, f], "left") * shape[-1] + target
+                table += np.bincount(code, minlength=table.size).reshape(table.shape)
+        for f, table in enumerate(tables):
+            bins, targets = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(bins), f, dtype=np.int32)),
+                    *(pa.array(v.astype(np.int32)) for v in (bins, targets)),
+                    pa.array(table[bins, targets]),
+                ],
+                ["feature", "bin", "target", "n"],
+            )
+
+    # every task counts by itself first
+    counted = rows.mapInArrow(count, "feature int, bin int, target int, n long")
+    cells = counted.groupBy("feature", "bin", "target").agg(F.sum("n").alias("n"))
 
     by_bin = cells.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
     by_target = cells.groupBy("feature", "target").agg(F.sum("n").alias("nt"))

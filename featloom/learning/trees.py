@@ -10,6 +10,7 @@ path, and the values follow from the elementary symmetric polynomials of the pla
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 from typing import Any
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.learning.matrix import as_matrix, filled
+from featloom.learning.matrix import as_matrix, filled, spread
 from featloom.learning.predictors import FittedTrees
 from featloom.plans.storage import scratch_path
 
@@ -31,6 +32,7 @@ TABULATED_PLAYERS = 8
 class Leaf:
     """Players of a leaf: features with the interval that leads to it, and its outputs."""
 
+    tree: int
     features: np.ndarray
     low: np.ndarray
     high: np.ndarray
@@ -66,11 +68,13 @@ def read_ensemble(spark: SparkSession, fitted: FittedTrees) -> Ensemble:
     models = getattr(fitted.model, "models", None)
     if models is not None:
         outputs: list[int | None] = list(range(len(models)))
-        leaves = [
-            dataclasses.replace(leaf, outputs=np.eye(len(models))[k] * leaf.outputs[0])
-            for k, model in enumerate(models)
-            for leaf in _leaves(spark, model)
-        ]
+        leaves: list[Leaf] = []
+        for k, model in enumerate(models):
+            first = leaves[-1].tree + 1 if leaves else 0
+            leaves += [
+                dataclasses.replace(leaf, tree=first + leaf.tree, outputs=np.eye(len(models))[k] * leaf.outputs[0])
+                for leaf in _leaves(spark, model)
+            ]
         return Ensemble(leaves, outputs)
     leaves = _leaves(spark, fitted.model)
     width = len(leaves[0].outputs) if leaves else 1
@@ -89,8 +93,10 @@ def _leaves(spark: SparkSession, model: Any) -> list[Leaf]:
     if type(model).__name__.startswith("RandomForest"):
         weights = [w / sum(weights) for w in weights]
     found: list[Leaf] = []
-    for tree, nodes in trees.items():
-        _walk(nodes, 0, {}, weights[tree], votes, found)
+    for tree, nodes in sorted(trees.items()):
+        reached: list[Leaf] = []
+        _walk(nodes, 0, {}, weights[tree], votes, reached)
+        found += [dataclasses.replace(leaf, tree=tree) for leaf in reached]
     return found
 
 
@@ -101,7 +107,7 @@ def _walk(nodes: dict, at: int, players: dict, weight: float, votes: bool, found
         value = value / value.sum() if votes else value
         features = sorted(players)
         columns = [np.array([players[f][k] for f in features], dtype=float) for k in range(3)]
-        found.append(Leaf(np.array(features, dtype=int), *columns, value * weight))
+        found.append(Leaf(0, np.array(features, dtype=int), *columns, value * weight))
         return
     split = node["split"]
     feature, threshold = split["featureIndex"], split["leftCategoriesOrThreshold"][0]
@@ -138,36 +144,70 @@ def leaf_values(share: np.ndarray, holds: np.ndarray) -> np.ndarray:
 
 
 def impact_function(ensemble: Ensemble, width: int):
-    """Function from feature rows to impacts of shape (rows, features, outputs)."""
-    tables = []
-    for leaf in ensemble.leaves:
-        players = len(leaf.features)
-        if 0 < players <= TABULATED_PLAYERS:
-            patterns = (np.arange(2**players)[:, None] >> np.arange(players)) & 1
-            tables.append(leaf_values(leaf.share, patterns.astype(float)))
-        else:
-            tables.append(None)
+    """Function from feature rows to impacts of shape (rows, features, outputs).
+
+    A tree only sees between which of its thresholds a value lies, so per tree each
+    combination of such intervals is computed once, however many rows share it.
+    """
+    trees = [_TreeImpacts(list(leaves), len(ensemble.outputs)) for _, leaves in
+             itertools.groupby(ensemble.leaves, key=lambda leaf: leaf.tree)]
 
     def impacts(x: np.ndarray) -> np.ndarray:
         result = np.zeros((len(x), width, len(ensemble.outputs)))
-        for leaf, table in zip(ensemble.leaves, tables):
-            if not len(leaf.features):
+        for tree in trees:
+            if len(tree.features):
+                result[:, tree.features] += tree.of(x[:, tree.features])
+        return result
+
+    return impacts
+
+
+class _TreeImpacts:
+    """Impacts of one tree on the features that it uses."""
+
+    def __init__(self, leaves: list[Leaf], outputs: int) -> None:
+        self.features = np.unique(np.concatenate([leaf.features for leaf in leaves]))
+        self.outputs = outputs
+        limits = [[] for _ in self.features]
+        self.leaves = []
+        for leaf in leaves:
+            at = np.searchsorted(self.features, leaf.features)
+            for k, low, high in zip(at, leaf.low, leaf.high):
+                limits[k] += [v for v in (low, high) if np.isfinite(v)]
+            players = len(at)
+            table = None
+            if 0 < players <= TABULATED_PLAYERS:
+                patterns = (np.arange(2**players)[:, None] >> np.arange(players)) & 1
+                table = leaf_values(leaf.share, patterns.astype(float))
+            self.leaves.append((leaf, at, table))
+        self.limits = [np.unique(v) for v in limits]
+        self.cells = math.prod(len(v) + 1 for v in self.limits)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        if self.cells >= 2**62:
+            return self._of_each(x)
+        cell = np.zeros(len(x), dtype=np.int64)
+        for k, limits in enumerate(self.limits):
+            # a value equal to a threshold goes left
+            cell = cell * (len(limits) + 1) + np.searchsorted(limits, x[:, k], "left")
+        _, first, inverse = np.unique(cell, return_index=True, return_inverse=True)
+        return self._of_each(x[first])[inverse]
+
+    def _of_each(self, x: np.ndarray) -> np.ndarray:
+        result = np.zeros((len(x), len(self.features), self.outputs))
+        for leaf, at, table in self.leaves:
+            if not len(at):
                 continue
-            values = x[:, leaf.features]
+            values = x[:, at]
             holds = (values > leaf.low) & (values <= leaf.high)
-            pattern = holds @ (1 << np.arange(len(leaf.features)))
+            pattern = holds @ (1 << np.arange(len(at)))
             if table is None:
                 seen, pattern = np.unique(pattern, return_inverse=True)
-                bits = (seen[:, None] >> np.arange(len(leaf.features))) & 1
-                phi = leaf_values(leaf.share, bits.astype(float))[pattern]
-            else:
-                phi = table[pattern]
-            for output in np.flatnonzero(leaf.outputs):
-                result[:, leaf.features, output] += phi * leaf.outputs[output]
+                bits = (seen[:, None] >> np.arange(len(at))) & 1
+                table = leaf_values(leaf.share, bits.astype(float))
+            result[:, at] += table[pattern][:, :, None] * leaf.outputs
         return result
 
-    return impacts
-
 
 def explain(
     frame: DataFrame,
@@ -183,7 +223,7 @@ def explain(
     """
     ensemble = read_ensemble(frame.sparkSession, fitted)
     width, outputs = len(names), len(ensemble.outputs)
-    rows = filled(frame, fitted.fills).select(*keys, "features")
+    rows = spread(filled(frame, fitted.fills).select(*keys, "features"))
     schema = ", ".join(
         [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])]
         + ["output int", "impacts array<double>"],
@@ -239,7 +279,7 @@ def mean_impacts(frame: DataFrame, fitted: FittedTrees, width: int) -> list[floa
             ["feature", "total", "rows"],
         )
 
-    parts = filled(frame, fitted.fills).select("features").mapInArrow(
+    parts = spread(filled(frame, fitted.fills).select("features")).mapInArrow(
         partial, "feature int, total double, rows long",
     )
     found = parts.groupBy("feature").agg(F.sum("total"), F.sum("rows")).orderBy("feature").collect()

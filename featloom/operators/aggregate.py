@@ -10,7 +10,6 @@ from collections.abc import Collection, Iterable
 from featloom.functions import quote
 from featloom.operators.compose import Transform
 from featloom.plans.grouping import STATISTICS, Slice, grouped_statistics, row_count, statistic
-from featloom.plans.skew import ROW_LIMIT
 from featloom.schema import Attribute, Column, Table
 
 # Statistics that can only be null if the aggregated column holds nulls.
@@ -26,12 +25,13 @@ class Aggregate(Transform):
 
     :param is_pivotable: Columns that may be grouped by.
     :param max_pivots: Largest number of columns to group by together.
-    :param row_limit: Largest group whose median one task may compute.
+    :param row_limit: Largest group whose medians one task may compute; by default it depends
+        on the number of medians.
     """
 
     is_pivotable: Collection[str | Column]
     max_pivots: int = 1
-    row_limit: int = ROW_LIMIT
+    row_limit: int | None = None
 
     def apply(self, tables: Iterable[Table]) -> Iterable[Table]:
         requests = [

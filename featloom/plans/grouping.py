@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from featloom.functions import quote
 from featloom.plans.profile import is_floating
-from featloom.plans.quantiles import hot_quantiles, percentile_sql, split_by_heat
-from featloom.plans.skew import ROW_LIMIT, find_hot_groups
+from featloom.plans.quantiles import default_row_limit, hot_quantiles, percentile_sql, split_by_heat
+from featloom.plans.skew import find_hot_groups
 
 # Statistics per numeric column, in the order in which feature tables list them.
 STATISTICS = ("max", "mean", "median", "min", "std", "sum", "var")
@@ -41,7 +41,7 @@ def grouped_statistics(
     values: Mapping[str, str],
     slices: Sequence[Slice],
     *,
-    row_limit: int = ROW_LIMIT,
+    row_limit: int | None = None,
     checked_rows: int | None = None,
 ) -> DataFrame:
     """Row count and all statistics of each value column, per key and slice of the rows.
@@ -57,6 +57,7 @@ def grouped_statistics(
     :param keys: Key name → SQL expression over ``frame``.
     :param values: Column name → SQL expression over ``frame``.
     :param slices: Row subsets, as SQL predicates over ``frame``.
+    :param row_limit: Largest group whose medians one task may compute.
     :param checked_rows: Known upper bound of the number of rows, if any.
     """
     key_names = list(keys)
@@ -81,6 +82,7 @@ def grouped_statistics(
             sliced = f"CASE WHEN {chosen} THEN {x} END" if chosen else x
             medians[statistic(piece.prefix, "median", column)] = (sliced, 0.5)
 
+    row_limit = row_limit or default_row_limit(len(medians))
     hot = None
     if medians and (checked_rows is None or checked_rows > row_limit):
         hot = find_hot_groups(

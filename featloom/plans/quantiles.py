@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featloom.functions import quote
-from featloom.plans.skew import ROW_LIMIT, HotGroups, find_hot_groups
+from featloom.plans.skew import HotGroups, find_hot_groups
+
+# Values that one task may hold for the exact quantiles of a group, over all its targets.
+VALUE_LIMIT = 4_000_000
 
 # Accuracy of the sketches, cells of the grid they propose, and the share of values that
 # is expected to remain after one narrowing (two cells on either side, plus rounding).
@@ -24,6 +27,11 @@ GRID_CELLS = 1000
 REMAINING_SHARE = 6 / GRID_CELLS
 
 
+def default_row_limit(targets: int) -> int:
+    """Rows of a group whose quantiles one task may compute for this many targets."""
+    return VALUE_LIMIT // max(1, targets)
+
+
 def percentile_sql(sql: str, p: float, where: str | None = None) -> str:
     condition = f" FILTER (WHERE {where})" if where else ""
     return f"percentile({sql}, {p!r}D){condition}"
@@ -34,16 +42,18 @@ def grouped_quantiles(
     keys: Sequence[str],
     targets: Mapping[str, tuple[str, float]],
     *,
-    row_limit: int = ROW_LIMIT,
+    row_limit: int | None = None,
     checked_rows: int | None = None,
 ) -> DataFrame:
     """One row per group with an exact, linearly interpolated quantile per target.
 
     :param keys: Columns of ``frame`` to group by; empty for the whole frame.
     :param targets: Output name → (SQL expression, probability).  Nulls are ignored.
+    :param row_limit: Largest group for one task; chosen by the number of targets if absent.
     :param checked_rows: Known upper bound of the number of rows, if any.
     """
     keys = list(keys)
+    row_limit = row_limit or default_row_limit(len(targets))
     builtin = [F.expr(percentile_sql(sql, p)).alias(name) for name, (sql, p) in targets.items()]
     by = [F.col(quote(k)) for k in keys]
     if checked_rows is not None and checked_rows <= row_limit:
@@ -80,7 +90,7 @@ def hot_quantiles(
     targets: Mapping[str, tuple[str, float]],
     *,
     largest: int,
-    row_limit: int = ROW_LIMIT,
+    row_limit: int,
 ) -> DataFrame:
     """Exact quantiles of a bounded number of arbitrarily large groups."""
     keys = list(keys)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from featloom.functions import quote
 
-# Groups up to this many rows are safe inside one task.
-ROW_LIMIT = 250_000
+# Groups up to this many rows are safe inside one task that streams over them.
+ROW_LIMIT = 1_000_000
 
 # Hot keys are broadcast, so their number is bounded by raising the limit if necessary.
 MAX_HOT_GROUPS = 50_000

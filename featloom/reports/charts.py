@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from featloom.functions import quote
 from featloom.plans.ordering import running_total
 from featloom.plans.quantiles import grouped_quantiles
-from featloom.plans.skew import ROW_LIMIT
 from featloom.problem import Problem
 from featloom.reports.cohorts import without_missing
 
@@ -111,7 +110,7 @@ def hierarchy(frame: DataFrame, x: str, y: str) -> DataFrame:
     return roots.unionByName(leaves)
 
 
-def box_plot(frame: DataFrame, x: str, y: str, *, row_limit: int = ROW_LIMIT) -> DataFrame:
+def box_plot(frame: DataFrame, x: str, y: str, *, row_limit: int | None = None) -> DataFrame:
     """Quartiles and extremes of y per value of x, and the axis limits over all rows.
 
     The limits reach 1.5 interquartile ranges beyond the quartiles, but not beyond the data.

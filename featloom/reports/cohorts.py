@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from featloom.functions import literal, quote
 from featloom.plans.profile import is_floating
 from featloom.plans.quantiles import grouped_quantiles
-from featloom.plans.skew import ROW_LIMIT
 
 COMPARISONS = ("<", "<=", ">=", ">")
 
@@ -71,7 +70,7 @@ def cohort_values(
     predicate: str,
     target: str,
     *,
-    row_limit: int = ROW_LIMIT,
+    row_limit: int | None = None,
 ) -> DataFrame:
     """Mean and median of the target in the cohort and outside, with the difference in percent."""
     marked = frame.selectExpr(f"{predicate} AS inside", f"CAST({quote(target)} AS DOUBLE) AS y")
