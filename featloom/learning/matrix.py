@@ -22,7 +22,9 @@ from featloom.schema import Pair
 
 @dataclasses.dataclass(frozen=True)
 class FeatureMatrix:
-    """Rows with ``features`` (array of doubles, NaN = missing) and a numeric ``label``.
+    """Rows with ``features`` (array of doubles) and a numeric ``label``.
+
+    A feature is missing if it is null, NaN or infinite.
 
     Wide tables are slow as thousands of columns, so training works on one array.
 
@@ -53,11 +55,13 @@ class FeatureMatrix:
 
 
 def array_of(cells: Sequence[str]) -> str:
-    """SQL of an array of doubles.  Null, NaN and infinite values all become NaN."""
-    nan = "CAST('NaN' AS DOUBLE)"
-    listed = ", ".join(f"CAST({c} AS DOUBLE)" for c in cells)
-    finite = f"x -> CASE WHEN abs(x) < CAST('Infinity' AS DOUBLE) THEN x ELSE {nan} END"
-    return f"transform(CAST(array({listed}) AS array<double>), {finite})"
+    """SQL of a feature array.  It stays this plain, so that its generated code gets compiled."""
+    return f"CAST(array({', '.join(f'CAST({c} AS DOUBLE)' for c in cells)}) AS array<double>)"
+
+
+def present(sql: str) -> str:
+    """Predicate: a feature is not missing (null, NaN or infinite)."""
+    return f"coalesce(abs({sql}) < CAST('Infinity' AS DOUBLE), false)"
 
 
 def combined(frame: DataFrame, width: int, recipe: Sequence[tuple[str, int, int]]) -> DataFrame:
@@ -164,8 +168,9 @@ def label_of(target: str, classes: list[Any]) -> str:
 
 
 def as_matrix(column: pa.Array, width: int) -> np.ndarray:
-    """An Arrow list column as a two-dimensional array."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    """An Arrow list column as a two-dimensional array, with NaN for all missing values."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.where(np.isfinite(flat), flat, np.nan).reshape(-1, width)
 
 
 def spread(frame: DataFrame) -> DataFrame:
@@ -234,7 +239,9 @@ def filled(frame: DataFrame, fills: Sequence[float]) -> DataFrame:
     if not fills:
         return frame
     stand_ins = F.array(*(F.lit(float(f)) for f in fills))
-    replaced = F.zip_with("features", stand_ins, lambda x, f: F.when(F.isnan(x), f).otherwise(x))
+    replaced = F.zip_with(
+        "features", stand_ins, lambda x, f: F.when(F.abs(x) < F.lit(float("inf")), x).otherwise(f),
+    )
     return frame.withColumn("features", replaced)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featloom.functions import literal, quote
-from featloom.learning.matrix import FeatureMatrix, array_of, class_values, feature_matrix
+from featloom.learning.matrix import FeatureMatrix, array_of, class_values, feature_matrix, present
 from featloom.learning.predictors import Baseline, FittedTrees, PredictionMethod
 from featloom.learning.selectors import Correlation, FeatureImportance, Selector, ShapelyImpact
 from featloom.learning.trees import explain
@@ -224,7 +224,8 @@ class Model:
             self._value("label").alias(self.target.name),
         )
         if not numeric:
-            rows = rows.withColumn(feature, F.when(~F.isnan(quote(feature)), F.col(quote(feature)).cast("boolean")))
+            flag = f"CASE WHEN {present(quote(feature))} THEN CAST({quote(feature)} AS BOOLEAN) END"
+            rows = rows.withColumn(feature, F.expr(flag))
         return chart_data(rows, feature, self.target.name, self.problem, numeric=numeric)
 
     @property

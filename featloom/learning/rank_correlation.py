@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featloom.learning.matrix import FeatureMatrix
+from featloom.learning.matrix import FeatureMatrix, present
 
 # Distinct (x, y) pairs that one task counts, and the largest number of strips per axis.
 STRIP_ROWS = 200_000
@@ -36,7 +36,7 @@ def spearman_pairs(
     for i, j in itertools.combinations(range(matrix.width), 2):
         if i in whole and j in whole:
             continue
-        pair = matrix.take([i, j]).where("NOT isnan(features[0]) AND NOT isnan(features[1])")
+        pair = matrix.take([i, j]).where(f"{present('features[0]')} AND {present('features[1]')}")
         parts.append(correlate(pair).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "r"))
     if not parts:
         return matrix.frame.sparkSession.createDataFrame([], "i int, j int, r double")
@@ -54,7 +54,7 @@ def kendall(matrix: FeatureMatrix) -> DataFrame:
     found = []
     for i, j in itertools.combinations(range(matrix.width), 2):
         rows = matrix.frame.selectExpr(f"features[{i}] AS x", f"features[{j}] AS y")
-        found.append((i, j, _tau(rows.where("NOT isnan(x) AND NOT isnan(y)"))))
+        found.append((i, j, _tau(rows.where(f"{present('x')} AND {present('y')}"))))
     return matrix.frame.sparkSession.createDataFrame(found, "i int, j int, r double")
 
 

@@ -14,6 +14,9 @@ from featloom.reports.cohorts import without_missing
 # Fixed value: the number of buckets of a histogram.
 BUCKETS = 5
 
+# A contingency table has one column per value of y; more columns than this are no table.
+MAX_SHARES = 1_000
+
 
 def equal_count_buckets(frame: DataFrame, x: str, y: str, *, buckets: int = BUCKETS) -> DataFrame:
     """Class counts in consecutive buckets of ``ceil(n / buckets)`` rows, ordered by x (then y).
@@ -72,7 +75,9 @@ def contingency(frame: DataFrame, x: str, y: str) -> DataFrame:
         .groupBy("x", "y")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    values = [row[0] for row in cells.select("y").distinct().orderBy("y").collect()]
+    values = [row[0] for row in cells.select("y").distinct().orderBy("y").limit(MAX_SHARES + 1).collect()]
+    if len(values) > MAX_SHARES:
+        raise ValueError(f"{y} has more than {MAX_SHARES} values, too many for one column each")
     wide = cells.groupBy("x").pivot("y", values).agg(F.sum("n"))
     names = [n for n in wide.columns if n != "x"]
     total = " + ".join(f"coalesce({quote(n)}, 0)" for n in names) or "0"

@@ -12,7 +12,7 @@ from oracle import compare, connect
 FOLDER = "/root/testdata/sf0.001"
 
 # These train models; tests/test_learning.py covers what they do on small fixtures.
-SLOW = {"train_predict_labels", "boruta_select"}
+SLOW = {"train_predict_labels", "boruta_select", "perm_importance", "shap_select", "prediction_impacts"}
 
 pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="tables are not available")
 
