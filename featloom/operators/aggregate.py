@@ -12,6 +12,9 @@ from featloom.operators.compose import Transform
 from featloom.plans.grouping import STATISTICS, Slice, grouped_statistics, row_count, statistic
 from featloom.schema import Attribute, Column, Table
 
+# Result columns that one fused aggregate may have: wider ones leave generated code.
+MAX_FUSED_COLUMNS = 100
+
 # Statistics that can only be null if the aggregated column holds nulls.
 _AS_COMPLETE_AS_INPUT = {"max", "mean", "median", "min"}
 
@@ -48,8 +51,12 @@ class Aggregate(Transform):
 
         finished = {}
         for group in shared.values():
-            for request, table in zip(group, self._grouped(group)):
-                finished[id(request)] = table
+            width = 1 + len(STATISTICS) * len(group[0].measured)
+            size = max(1, MAX_FUSED_COLUMNS // width)
+            for start in range(0, len(group), size):
+                chunk = group[start : start + size]
+                for request, table in zip(chunk, self._grouped(chunk)):
+                    finished[id(request)] = table
         return [finished[id(request)] for request in requests]
 
     def _pivotable(self, table: Table) -> list[Column]:

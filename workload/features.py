@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from featloom import (
     Aggregate,
+    Attribute,
     Combine,
     Encode,
     Extract,
@@ -18,6 +19,7 @@ from featloom import (
     Rename,
     assemble,
     declare_key,
+    with_attributes,
 )
 from featloom.functions import quote
 from workload.registry import (
@@ -147,7 +149,14 @@ def _fused_sql() -> str:
 @query(_fused_sql())
 def agg_filtered_fused(spark, sf_dir):
     data = load(spark, sf_dir, "events", "customer").apply(Rename(mapping=_CUSTOMER_KEY))
-    events = data.apply(Keep(tables=["events"])).apply(
+    # few users make a small table's key categorical, too; only the type is encoded here
+    columns = {
+        "custkey": [Attribute.numeric, Attribute.not_null],
+        "event_type": [Attribute.textual, Attribute.categorical, Attribute.not_null],
+        "value": [Attribute.numeric, Attribute.not_null],
+    }
+    kept = data.apply(Keep(columns=[(c, "events") for c in columns]))
+    events = with_attributes(kept, {"events": columns}).apply(
         Encode().then(Filter()).then(Aggregate(is_pivotable=["custkey"])),
     )
     customer = data.table("customer")
