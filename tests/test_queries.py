@@ -1,4 +1,4 @@
-"""Every registered query against its oracle, on the smallest tables."""
+"""Registered queries against their oracles.  Inferred attributes are those of this size."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from oracle import compare, connect
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 
 # These train models; tests/test_learning.py covers what they do on small fixtures.
 SLOW = {"train_predict_labels", "boruta_select", "perm_importance", "shap_select", "prediction_impacts"}

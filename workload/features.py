@@ -38,7 +38,9 @@ _CUSTOMER_KEY = {"c_custkey": "custkey", "o_custkey": "custkey", "user_id": "cus
 
 @query(f"SELECT o_custkey, {stat_columns(['o_totalprice'])} FROM orders GROUP BY o_custkey")
 def agg_orders_by_cust(spark, sf_dir):
-    grouped = load(spark, sf_dir, "orders").apply(Aggregate(is_pivotable=["o_custkey"]))
+    # one declared key: prices that happen to be unique are still values
+    orders = declare_key(load(spark, sf_dir, "orders"), "orders", ["o_orderkey"])
+    grouped = orders.apply(Aggregate(is_pivotable=["o_custkey"]))
     return tidy(grouped.table("group_by(orders, o_custkey)").data)
 
 
@@ -84,6 +86,7 @@ def customer_features(spark, sf_dir):
     """Customers with the features of themselves, their orders and their events."""
     data = load(spark, sf_dir, "customer", "orders", "events").apply(Rename(mapping=_CUSTOMER_KEY))
     data = declare_key(data, "customer", ["custkey"])
+    data = declare_key(declare_key(data, "orders", ["o_orderkey"]), "events", ["event_id"])
     data = data.apply(Identity().then(Identity(), Aggregate(is_pivotable=["custkey"])))
     customer = data.table("customer")
     known = customer.select([customer.column("custkey")])
@@ -178,7 +181,7 @@ def agg_filtered_fused(spark, sf_dir):
     + " FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
 )
 def combine_features(spark, sf_dir):
-    data = load(spark, sf_dir, "orders").apply(
+    data = declare_key(load(spark, sf_dir, "orders"), "orders", ["o_orderkey"]).apply(
         Rename(mapping=_CUSTOMER_KEY).then(Aggregate(is_pivotable=["custkey"])),
     )
     group = "group_by(orders, custkey)"

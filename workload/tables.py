@@ -180,7 +180,10 @@ _EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
     ),
 )
 def filter_events(spark, sf_dir):
-    filtered = load(spark, sf_dir, "events").apply(Encode().then(Filter()))
+    # other columns have few values, too, when the table is small
+    columns = {"event_id": [], "user_id": [], "value": [], "event_type": [Attribute.textual, Attribute.categorical]}
+    data = load(spark, sf_dir, "events").apply(Keep(columns=[(c, "events") for c in columns]))
+    filtered = with_attributes(data, {"events": columns}).apply(Encode().then(Filter()))
     parts = [named(t).select("table_name", "event_id", "user_id", "value") for t in filtered]
     return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
