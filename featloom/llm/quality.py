@@ -31,14 +31,14 @@ class LineRules:
     A line is boilerplate in a host if more than ``max_docs`` documents of the host and more
     than ``max_share`` of them hold it, with other lines around it in more than half of them:
     copies and near copies of one document repeat its lines in one place, and are the work
-    of deduplication.  A document is depleted if less than ``min_words`` words or less than
-    ``min_left`` of its words are outside boilerplate lines.
+    of deduplication.  A document is depleted if less than ``min_left`` of its words are
+    outside boilerplate lines.
     """
 
     max_docs: int = 20
     max_share: float = 0.01
     min_words: int = 10
-    min_left: float = 0.3
+    min_left: float = 0.2
     max_repeat: float = 0.2
 
 
@@ -166,7 +166,7 @@ def _judge(measured: DataFrame, rules: LineRules) -> DataFrame:
     )
     n, lost_words = F.col("n_words"), F.coalesce("boilerplate_words", F.lit(0))
     failed = (n < rules.min_words) | (100 * F.col("n_repeat_words") > F.lit(100 * rules.max_repeat) * n)
-    depleted = (n - lost_words < rules.min_words) | (n - lost_words < rules.min_left * n)
+    depleted = n - lost_words < rules.min_left * n
     return measured.drop("line", "around", "words").join(lost, "row", "left").select(
         "doc_id",
         "host",
