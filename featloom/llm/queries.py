@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featloom.llm.minhash import minhash_groups
+from featloom.llm.mixing import mixing_plan
 from featloom.llm.quality import line_frequency_rules
 from featloom.llm.sharding import shard_records
 
@@ -25,6 +27,40 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150 % of their words, no source more than twice."""
+    plan = mixing_plan(read(spark, sf_dir, "documents"), [3.0, 1.0, 2.0], budget=1.5, max_epochs=2.0)
+    return plan.select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken")
+
+
+ORACLES["op5_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || md5(concat_ws(':', doc_id, md5(coalesce(text, ''))) || ':mix1')[1:13] AS BIGINT) / 4503599627370496.0 AS u
+  FROM documents
+), s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n FROM d GROUP BY source
+), w AS (
+  SELECT source, n, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s
+), o AS (
+  SELECT *, row_number() OVER a AS k, sum(2 * n) OVER a AS caps, sum(w) OVER b AS rest, sum(n) OVER () AS total
+  FROM w WINDOW a AS (ORDER BY 2 * n / w, source ROWS UNBOUNDED PRECEDING),
+    b AS (ORDER BY 2 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), l AS (SELECT min_by((1.5 * total - (caps - 2 * n)) / rest, k) FILTER ((1.5 * total - (caps - 2 * n)) / rest <= 2 * n / w) AS level FROM o
+), r AS (SELECT source, n, least(2 * n, level * w) AS target FROM w, l)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM (SELECT d.*, n, target, CASE WHEN n > 0 THEN target / n ELSE 0 END AS rate
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+"""
+
+
+@query
+def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents, five-word shingles, similarity 0.85."""
+    return minhash_groups(read(spark, sf_dir, "documents"), percent=85).drop("content")
+
+
 @query
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of all documents; a source is a host."""
