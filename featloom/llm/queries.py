@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from featloom.llm.minhash import minhash_groups
 from featloom.llm.mixing import mixing_plan
+from featloom.llm.packing import pack_documents
 from featloom.llm.quality import line_frequency_rules
 from featloom.llm.sharding import shard_records
 
@@ -23,6 +24,13 @@ def query(function: Query) -> Query:
     return function
 
 
+def vocabulary() -> str:
+    """The byte-level vocabulary of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,6 +76,21 @@ def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.withColumn("n_boilerplate_lines", F.size("boilerplate").cast("long")).drop("boilerplate")
 
 
+@query
+def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1,024 tokens."""
+    pieces = pack_documents(read(spark, sf_dir, "documents"), vocabulary(), window=1024, end_id=0)
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").cast("long").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 @query
 def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal weight, and in nine."""
