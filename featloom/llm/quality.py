@@ -224,8 +224,10 @@ def clean_documents(docs: DataFrame, *, rules: LineRules = LineRules()) -> DataF
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host of verdict"),
         F.md5(F.coalesce("text", F.lit(""))).alias("content of verdict"),
     )
-    kept = rows.join(verdicts, ["host of verdict", "content of verdict"]).select(*names, "lines to remove")
-    cut = kept.mapInArrow(_cut, kept.schema).drop("lines to remove")
+    kept = rows.join(verdicts, ["host of verdict", "content of verdict"])
+    kept = kept.select(*(F.col(f"`{c}`") for c in names), "lines to remove")
+    cut = kept.mapInArrow(_cut, kept.schema)
     if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.size("lines to remove") > 0, length).otherwise(F.col("n_chars")))
+    return cut.drop("lines to remove")

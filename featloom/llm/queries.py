@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featloom.llm.linededup import dedup_lines
 from featloom.llm.minhash import minhash_groups
 from featloom.llm.mixing import mixing_plan
 from featloom.llm.packing import pack_documents
@@ -35,6 +36,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without duplicate lines: which lines went, and what the text is now."""
+    docs = dedup_lines(read(spark, sf_dir, "documents"))
+    return docs.select(
+        "doc_id",
+        F.size("removed_lines").cast("long").alias("n_removed"),
+        F.concat_ws(",", "removed_lines").alias("removed_lines"),
+        "n_chars",
+        F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"),
+    )
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words, no source more than twice."""

@@ -98,9 +98,13 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
         low = high
 
 
-def words(chunk: Chunk, *, lower: bool = False) -> Words:
-    """All words; ``lower`` compares A-Z as a-z."""
-    solid = ~_SPACE[chunk.data]
+def words(chunk: Chunk, *, lower: bool = False, apart: bytes = b"") -> Words:
+    """All words; ``lower`` compares A-Z as a-z, ``apart`` are further ASCII separators."""
+    space = _SPACE
+    if apart:
+        space = _SPACE.copy()
+        space[list(apart)] = True
+    solid = ~space[chunk.data]
     filled = np.flatnonzero(np.diff(chunk.offsets) > 0)
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
