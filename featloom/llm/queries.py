@@ -11,6 +11,7 @@ from featloom.llm.linededup import dedup_lines
 from featloom.llm.minhash import minhash_groups
 from featloom.llm.mixing import mixing_plan
 from featloom.llm.packing import pack_documents
+from featloom.llm.pii import personal_data
 from featloom.llm.quality import line_frequency_rules
 from featloom.llm.sharding import shard_records
 
@@ -77,6 +78,22 @@ FROM (SELECT d.*, n, target, CASE WHEN n > 0 THEN target / n ELSE 0 END AS rate
 """
 
 
+@query
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of all documents."""
+    found = personal_data(read(spark, sf_dir, "documents"))
+    terms = F.expr("transform(filter(spans, s -> s.kind > 3), s -> concat_ws(':', 'term', s.start, s.end))")
+    return found.select(
+        "doc_id",
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"),
+        F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), terms).alias("spans"),
+    )
+
+
 @query
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents, five-word shingles, similarity 0.85."""
