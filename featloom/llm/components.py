@@ -7,6 +7,7 @@ pre-aggregated minimum and a join; links never reach the driver.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +52,20 @@ def connected_components(links: DataFrame, *, known: DataFrame | None = None) ->
     result = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components")
     release(now)
     return result
+
+
+def spanning_trees(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning trees of a symmetric matrix of links."""
+    edges, fresh = [], np.ones(len(linked), bool)
+    for root in range(len(linked)):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        stack = [root]
+        while stack:
+            at = stack.pop()
+            found = np.flatnonzero(linked[at] & fresh)
+            fresh[found] = False
+            edges += [(at, int(i)) for i in found]
+            stack += found.tolist()
+    return edges

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featloom.llm.lattice import embedding_groups
 from featloom.llm.linededup import dedup_lines
 from featloom.llm.minhash import minhash_groups
 from featloom.llm.mixing import mixing_plan
@@ -50,6 +51,31 @@ def op2_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of one label at cosine 0.98."""
+    return embedding_groups(read(spark, sf_dir, "embeddings"), least=0.98)
+
+
+ORACLES["op3_e8_lattice"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(vec_id, to_id) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT r.vec_id, p.y FROM reach r JOIN pairs p ON r.to_id = p.x
+), c AS (SELECT vec_id, min(to_id) AS component_id FROM reach GROUP BY vec_id
+), n AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n ON n.x = e.vec_id
+"""
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words, no source more than twice."""
