@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from featloom.llm.lattice import embedding_groups
 from featloom.llm.linededup import dedup_lines
+from featloom.llm.lmscore import score_documents, train
 from featloom.llm.minhash import minhash_groups
 from featloom.llm.mixing import mixing_plan
 from featloom.llm.packing import pack_documents
@@ -38,6 +39,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored against those that are labelled good and not toxic."""
+    docs = read(spark, sf_dir, "documents")
+    good = F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
+    labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("labelled")).agg(good)
+    flagged = docs.join(labels, F.col("doc_id") == F.col("labelled"), "left")
+    return score_documents(docs, train(flagged, target="good"))
+
+
 @query
 def op2_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without duplicate lines: which lines went, and what the text is now."""
