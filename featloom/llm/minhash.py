@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.llm import words as W
-from featloom.llm.components import connected_components
+from featloom.llm.components import connected_components, spanning_trees
 from featloom.plans.storage import materialise, release
 
 #: Words of a shingle.
@@ -22,10 +22,9 @@ SIZE = ROWS * BANDS
 #: Bytes of text that are sketched at a time.
 _CHUNK = 1 << 20
 
-_SCHEMA = (
-    "doc_id long, content string, n_shingles long, set_a long, set_b long, bands array<long>, "
-    "bits_a long, bits_b long, bits_c long"
-)
+_SCHEMA = "doc_id long, content string, n_shingles long, set_a long, set_b long, bands array<long>"
+#: Members of a bucket that are compared in one group; larger buckets are compared part by part.
+PART = 512
 
 
 def superminhash(values: np.ndarray, owner: np.ndarray, count: int, size: int = SIZE) -> np.ndarray:
@@ -90,9 +89,6 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             running = [np.concatenate([[np.uint64(0)], np.cumsum(W.mix(values * W._SLOT[k]))]) for k in (11, 12)]
             totals = [np.diff(r[bounds]) for r in running]
             empty = sizes == 0
-            bits = np.zeros((n, 192), np.uint8)
-            bits[:, :SIZE] = (W.mix(signature.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
-            packed = np.packbits(bits, axis=1).view(np.int64)
             keys = W.signed(_band_keys(signature)).reshape(-1)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -102,7 +98,6 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(W.signed(totals[0]), mask=empty),
                     pa.array(W.signed(totals[1]), mask=empty),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys)),
-                    *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(3)),
                 ],
                 names,
             )
@@ -136,11 +131,34 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _bits_fit(percent: int) -> Column:
-    """Not ruled out by the one-bit signatures: within six deviations of what ``percent`` gives."""
-    differ = sum((F.bit_count(F.col(f"x.bits_{k}").bitwiseXOR(F.col(f"y.bits_{k}"))) for k in "abc"), F.lit(0))
-    chance = (1 - percent / 100) / 2
-    return differ <= SIZE * chance + 6 * (SIZE * chance * (1 - chance)) ** 0.5
+def _compare_part(table: pa.Table, percent: int) -> pa.Table:
+    """Links between different components among the members of a part, on their full sets.
+
+    Intersections of all pairs are one matrix product over the shingles that two members have;
+    only spanning trees of the links are returned.
+    """
+    sets: list[np.ndarray] = []
+    for chunk in W.chunks(table.column("text"), _CHUNK):
+        sets += W.shingles(W.words(chunk, lower=True), WIDTH)
+    n = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(counts > 1)
+    rank = np.full(len(counts), -1)
+    rank[shared] = np.arange(len(shared))
+    column = rank[column]
+    shared_mass = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, len(shared), 4096):
+        own = (column >= low) & (column < low + 4096)
+        block = np.zeros((len(sets), 4096), np.float32)
+        block[owner[own], column[own] - low] = 1
+        shared_mass += block @ block.T
+    component = table.column("component").to_numpy()
+    linked = (shared_mass > 0) & (100 * shared_mass >= percent * (n[:, None] + n[None, :] - shared_mass))
+    linked &= component[:, None] != component[None, :]
+    edges = np.array(spanning_trees(linked), np.int64).reshape(-1, 2)
+    node = table.column("node").to_numpy()
+    return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -160,8 +178,8 @@ def _class_components(docs: DataFrame, classes: DataFrame, percent: int) -> Data
     1. Classes that share a band key form a bucket.  Every member is compared with the first
        member of its buckets, so a bucket of copies costs one comparison per member.
     2. Buckets whose members all hang together by now are done: no further link could change
-       a component.  In the others, members outside the largest component meet the members of
-       other components; size and one-bit signatures rule pairs out before they are written.
+       a component.  In the others all members are compared inside tasks, ``PART`` with
+       ``PART`` at a time, and only links that join components leave the task.
     """
     members = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
     first = F.min(F.struct("node", "n_shingles")).alias("first")
@@ -183,24 +201,24 @@ def _class_components(docs: DataFrame, classes: DataFrame, percent: int) -> Data
 
     placed = shared.select("band", "node", "n_shingles").join(components, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
-    parts = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("band").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"))
-    mixed = largest.where("parts > 1").select("band", F.col("top.component").alias("top"))
-    mixed = placed.join(mixed, "band").join(classes.select("node", "bits_a", "bits_b", "bits_c"), "node")
-    mixed = materialise(mixed, "mixed-buckets")
-    outside = mixed.where("component != top").alias("x")
-    once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
-    pairs = (
-        outside.join(mixed.alias("y"), F.col("x.band") == F.col("y.band"))
-        .where((F.col("x.component") != F.col("y.component")) & once)
-        .where(_sizes_fit(F.col("x.n_shingles"), F.col("y.n_shingles"), percent) & _bits_fit(percent))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        .distinct()
-        .join(spokes, ["a", "b"], "left_anti")
+    sizes = placed.groupBy("band").agg(
+        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    mixed = sizes.where("low < high").select("band", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    mixed = placed.join(mixed, "band").withColumn("part", F.expr("CAST(pmod(xxhash64(node), parts) AS INT)"))
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mixed = mixed.select(
+        "band",
+        F.least("part", "other").alias("low"),
+        F.greatest("part", "other").alias("high"),
+        "node",
+        "component",
     )
-    more = materialise(_verified(pairs, classes, texts, percent), "links")
+    mixed = mixed.join(classes.select("node", "content"), "node").join(texts, "content").drop("content")
+    more = mixed.groupBy("band", "low", "high").applyInArrow(lambda t: _compare_part(t, percent), "a long, b long")
+    more = materialise(more.distinct(), "links")
     result = connected_components(more, known=components)
-    release(shared, spokes, texts, links, components, mixed, more)
+    release(shared, spokes, texts, links, components, more)
     return result
 
 
@@ -232,7 +250,7 @@ def minhash_groups(
     rows = materialise(source.mapInArrow(_sketch, _SCHEMA), "sketches")
     classes = rows.where("n_shingles > 0").groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("least_id"),
-        *(F.any_value(c).alias(c) for c in ("content", "n_shingles", "bands", "bits_a", "bits_b", "bits_c")),
+        *(F.any_value(c).alias(c) for c in ("content", "n_shingles", "bands")),
     )
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     components = _class_components(source, classes, percent)
