@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featloom.llm.html import extract_text, learn_weights
 from featloom.llm.lattice import embedding_groups
 from featloom.llm.linededup import dedup_lines
 from featloom.llm.lmscore import score_documents, train
@@ -87,6 +88,29 @@ FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n ON n.x = e.vec_id
 """
 
 
+@query
+def op4_maximum_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages, with weights from the pages that mark their article."""
+    pages = read(spark, sf_dir, "pages")
+    return extract_text(pages, learn_weights(pages))
+
+
+ORACLES["op4_maximum_subsequence"] = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1) AS body FROM pages
+), b AS (
+  SELECT page_id, url, string_split(regexp_replace(regexp_replace(body, '</?(p|h1)[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), chr(10)) AS parts
+  FROM a
+), c AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&amp;', '&'),
+    '[ 	-]+', ' ', 'g'))), lambda x: x <> '') AS blocks
+  FROM b
+)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM c
+"""
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words, no source more than twice."""
