@@ -177,10 +177,10 @@ def spread(frame: DataFrame) -> DataFrame:
     """Rows in at least as many partitions as there are cores.
 
     Small inputs come in few files; costly work per row should still use every core.  Large
-    inputs have enough partitions and are not shuffled.
+    inputs have enough files and are not shuffled.  Files are counted without running a job.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
 
 
 @dataclasses.dataclass(frozen=True)

@@ -294,7 +294,9 @@ def _train_round(
 
     for selector in selectors:
         chosen = selector.chosen(matrix.where("is_train"))
-        if chosen and len(chosen) < matrix.width:
+        if not chosen:
+            raise ValueError(f"{type(selector).__name__} keeps none of {matrix.width} features")
+        if len(chosen) < matrix.width:
             matrix = matrix.take(chosen)
 
     survivors = {c.name: c for c in columns if c.name in set(matrix.names)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import abc
 import dataclasses
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from typing import Literal
 
@@ -86,59 +87,67 @@ class ShapelyImpact(Selector):
 
 @dataclasses.dataclass(frozen=True, kw_only=True)
 class MutualInformation(Selector):
-    """The ``n`` features that share most information with the target."""
+    """The ``n`` features that share most information with the target.
+
+    :param bins: Quantile bins of every feature, and of the target of a regression; None
+        counts every value by itself.
+    """
 
     n: int
     problem: Problem
+    bins: int | None = 32
 
     def select(self, matrix: FeatureMatrix) -> list[bool]:
         if self.n >= matrix.width:
             return [True] * matrix.width
         scores = [0.0] * matrix.width
-        for row in mutual_information(matrix).collect():
+        for row in mutual_information(matrix, bins=self.bins).collect():
             scores[row["feature"]] = row["information"]
         return top(scores, self.n)
 
 
-# Up to this many distinct values every value counts by itself; beyond, quantile bins do.
-DISCRETE_VALUES = 64
-QUANTILE_BINS = 32
+def mutual_information(matrix: FeatureMatrix, *, bins: int | None = None, accuracy: int = 10_000) -> DataFrame:
+    """Mutual information (in nats) of each feature with the target, from counts.
 
+    The estimator follows from ``bins`` alone, never from the data.  With None every value of a
+    feature and of the target counts by itself.  With a number, every feature is cut at its
+    quantiles into that many bins (fewer where quantiles are equal), and so is the target of a
+    regression; classes count by themselves.  Missing features count as 0,
+    infinite ones as the largest number.
 
-def mutual_information(matrix: FeatureMatrix) -> DataFrame:
-    """Mutual information (in nats) of each feature with the target, from bin counts.
+    Tasks count first, so what is shuffled is a row per value (or bin) and target per batch.
 
-    Missing features count as 0.  Only bin counts are shuffled: at most features x bins x
-    target bins rows, whatever the number of data rows.
+    :param accuracy: Of the quantiles: they are exact up to this number of rows.
     """
+    width = matrix.width
+    largest = f"{sys.float_info.max!r}D"
     rows = matrix.frame.selectExpr(
-        "transform(concat(features, array(label)), x -> coalesce(nanvl(x, 0), 0)) AS x",
+        "transform(concat(features, array(label)), "
+        f"x -> greatest(-{largest}, least({largest}, coalesce(nanvl(x, 0D), 0D)))) AS x",
     )
-    width = matrix.width
-    limits = [np.array(v) for v in _bin_limits(rows.select(F.posexplode("x").alias("feature", "value")), width + 1)]
-    shape = [len(v) + 1 for v in limits]
+    cut = [] if bins is None else [*range(width), *([width] if matrix.problem is Problem.regression else [])]
+    limits = _bin_limits(rows, cut, bins, accuracy)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros((shape[f], shape[-1]), dtype=np.int64) for f in range(width)]
         for batch in batches:
             x = as_matrix(batch.column(0), width + 1)
-            target = np.searchsorted(limits[-1], x[:, -1], "left")
-            for f, table in enumerate(tables):
-                code = np.searchsorted(limits[f], x[:, f], "left") * shape[-1] + target
-                table += np.bincount(code, minlength=table.size).reshape(table.shape)
-        for f, table in enumerate(tables):
-            bins, targets = np.nonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(bins), f, dtype=np.int32)),
-                    *(pa.array(v.astype(np.int32)) for v in (bins, targets)),
-                    pa.array(table[bins, targets]),
-                ],
-                ["feature", "bin", "target", "n"],
-            )
-
-    # every task counts by itself first
-    counted = rows.mapInArrow(count, "feature int, bin int, target int, n long")
+            for f, own in limits.items():
+                x[:, f] = np.searchsorted(own, x[:, f], "left")
+            classes, target = np.unique(x[:, -1], return_inverse=True)
+            for f in range(width):
+                values, place = np.unique(x[:, f], return_inverse=True)
+                codes, n = np.unique(place * len(classes) + target, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(codes), f, dtype=np.int32)),
+                        pa.array(values[codes // len(classes)]),
+                        pa.array(classes[codes % len(classes)]),
+                        pa.array(n.astype(np.int64)),
+                    ],
+                    ["feature", "bin", "target", "n"],
+                )
+
+    counted = rows.mapInArrow(count, "feature int, bin double, target double, n long")
     cells = counted.groupBy("feature", "bin", "target").agg(F.sum("n").alias("n"))
 
     by_bin = cells.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
@@ -153,26 +162,15 @@ def mutual_information(matrix: FeatureMatrix) -> DataFrame:
     )
 
 
-def _bin_limits(long: DataFrame, width: int) -> list[list[float]]:
-    """Bin limits of each feature: its distinct values, if few, else quantiles."""
-    sketches = long.groupBy("feature").agg(
-        F.expr("hll_sketch_estimate(hll_sketch_agg(xxhash64(value)))").alias("distinct"),
-        F.percentile_approx("value", [k / QUANTILE_BINS for k in range(1, QUANTILE_BINS)], 10_000).alias("quantiles"),
-    )
-    found = {row["feature"]: row for row in sketches.collect()}
-    few = [f for f, row in found.items() if row["distinct"] <= 2 * DISCRETE_VALUES]
-    values: dict[int, list[float]] = {}
-    if few:
-        distinct = long.where(F.col("feature").isin(few)).groupBy("feature").agg(
-            F.sort_array(F.collect_set("value")).alias("values"),
-        )
-        values = {row["feature"]: row["values"] for row in distinct.collect()}
-    return [
-        values[f]
-        if len(values.get(f, ())) <= DISCRETE_VALUES and f in values
-        else sorted(set(found[f]["quantiles"] or ())) if f in found else []
-        for f in range(width)
-    ]
+def _bin_limits(rows: DataFrame, cut: list[int], bins: int | None, accuracy: int) -> dict[int, np.ndarray]:
+    """Upper limits of the bins of some features, from one aggregate per hundred of them."""
+    limits = {}
+    for low in range(0, len(cut), 100):
+        own = cut[low : low + 100]
+        shares = [k / bins for k in range(1, bins)]
+        found = rows.agg(*(F.percentile_approx(F.get("x", F.lit(f)), shares, accuracy).alias(str(f)) for f in own)).first()
+        limits |= {f: np.unique(np.array(found[str(f)] or (), dtype=np.float64)) for f in own}
+    return limits
 
 
 @dataclasses.dataclass(frozen=True, kw_only=True)

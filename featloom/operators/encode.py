@@ -53,7 +53,7 @@ class Encode(Transform):
                     attributes=_DUMMY,
                     derived_from=[(column, table.name)],
                 )
-                encoded.append((dummy, f"({x} = {literal(value)})"))
+                encoded.append((dummy, f"({x} = {_typed(value, schema[column.name].dataType)})"))
 
         replaced = {column.name for column, _ in encoded}
         untouched = [(c, table.expr(c)) for c in table.columns if c.name not in replaced]
@@ -82,6 +82,11 @@ class Encode(Transform):
         return [sorted(set(v)) for v in values]
 
 
+def _typed(value: object, kind: T.DataType) -> str:
+    """Literal of the type of the column: a wider one would not equal a FLOAT."""
+    return literal(value) if isinstance(kind, T.StringType) else f"CAST({literal(value)} AS {kind.simpleString()})"
+
+
 def _parse(text: str, kind: T.DataType):
     """Read back a value that Spark has written as text."""
     if isinstance(kind, T.BooleanType):

@@ -13,6 +13,11 @@ from featloom.functions import quote
 from featloom.plans.profile import is_floating
 from featloom.plans.quantiles import default_row_limit, hot_quantiles, percentile_sql, split_by_heat
 from featloom.plans.skew import find_hot_groups
+from featloom.plans.storage import materialise
+
+# Result columns up to which one aggregate with FILTER clauses stays in generated code.  More
+# slices are aggregated one below the other instead: same scan, shuffle and results.
+FILTER_COLUMNS = 100
 
 # Statistics per numeric column, in the order in which feature tables list them.
 STATISTICS = ("max", "mean", "median", "min", "std", "sum", "var")
@@ -46,8 +51,8 @@ def grouped_statistics(
 ) -> DataFrame:
     """Row count and all statistics of each value column, per key and slice of the rows.
 
-    Every slice becomes a FILTER clause of the same aggregate, so any number of filtered
-    feature tables costs one scan and one shuffle.
+    Any number of slices costs one scan and one shuffle: few of them are FILTER clauses of
+    one aggregate, many are told apart behind the shuffle by grouping on the slice as well.
 
     While every group fits into a task the rows are shuffled once by key and aggregated
     there completely: partial medians save nothing and would force a sort on both sides.
@@ -85,22 +90,21 @@ def grouped_statistics(
     row_limit = row_limit or default_row_limit(len(medians))
     hot = None
     if medians and (checked_rows is None or checked_rows > row_limit):
-        hot = find_hot_groups(
-            rows,
-            key_names,
-            row_limit=row_limit,
-            max_groups=max(1, 2_000_000 // len(medians)),
-        )
+        hot = find_hot_groups(rows, key_names, row_limit=row_limit)
+
+    def complete(part: DataFrame) -> DataFrame:
+        if len(slices) * (1 + len(STATISTICS) * len(values)) > FILTER_COLUMNS and len(slices) > 1:
+            return _by_slice(part.repartition(*by), key_names, list(values), kinds, slices)
+        builtin = [F.expr(percentile_sql(sql, p)).alias(name) for name, (sql, p) in medians.items()]
+        return part.repartition(*by).groupBy(*by).agg(*simple, *builtin)
 
     if not medians:
         grouped = rows.groupBy(*by).agg(*simple)
     elif hot is None:
-        builtin = [F.expr(percentile_sql(sql, p)).alias(name) for name, (sql, p) in medians.items()]
-        grouped = rows.repartition(*by).groupBy(*by).agg(*simple, *builtin)
+        grouped = complete(rows)
     else:
         heavy, light = split_by_heat(rows, key_names, hot)
-        builtin = [F.expr(percentile_sql(sql, p)).alias(name) for name, (sql, p) in medians.items()]
-        cold = light.repartition(*by).groupBy(*by).agg(*simple, *builtin)
+        cold = complete(light)
         combined = heavy.groupBy(*by).agg(*simple)
         exact = hot_quantiles(heavy, key_names, medians, largest=hot.largest, row_limit=row_limit)
         exact = exact.withColumnsRenamed({k: f"of {k}" for k in key_names})
@@ -117,18 +121,57 @@ def grouped_statistics(
     )
 
 
+def _by_slice(
+    rows: DataFrame,
+    keys: list[str],
+    columns: list[str],
+    kinds: list[T.DataType],
+    slices: Sequence[Slice],
+) -> DataFrame:
+    """The columns of the FILTER form, from rows that are partitioned by key already.
+
+    Rows are repeated per slice inside their task; both aggregates reuse the partitioning.
+    """
+    numbers = (f"CASE WHEN {quote(f'slice {j}')} THEN {j} END" if s.where is not None else str(j) for j, s in enumerate(slices))
+    own = F.expr(f"explode(filter(array({', '.join(numbers)}), j -> j IS NOT NULL))").alias("of slice")
+    long = rows.select(*(quote(k) for k in keys), *(f"value {i}" for i in range(len(columns))), own)
+    parts = [F.count(F.lit(1)).alias("rows")]
+    for i, kind in enumerate(kinds):
+        parts += _raw_statistics(quote(f"value {i}"), kind, "", str(i))
+        parts.append(F.expr(percentile_sql(quote(f"value {i}"), 0.5)).alias(f"median {i}"))
+    stats = long.groupBy(*(quote(k) for k in keys), "of slice").agg(*parts)
+    names = [c for c in stats.columns if c not in (*keys, "of slice")]
+    entry = f"struct({', '.join(quote(n) for n in names)})"
+    entries = [F.expr(f"any_value(CASE WHEN `of slice` = {j} THEN {entry} END, true)").alias(f"entry {j}") for j in range(len(slices))]
+    # written down: planning hundreds of columns over the aggregates takes longer than computing them
+    entries = materialise(stats.groupBy(*(quote(k) for k in keys)).agg(*entries), "slices")
+    wide = []
+    for j, piece in enumerate(slices):
+        def of(name: str, j: int = j) -> str:
+            return f"{quote(f'entry {j}')}.{quote(name)}"
+
+        wide.append(f"coalesce({of('rows')}, 0L) AS {quote(row_count(piece.prefix))}")
+        for i, column in enumerate(columns):
+            wide.append(f"coalesce({of(f'n {i}')}, 0L) AS {quote(f'n {j} {i}')}")
+            wide += [f"{of(f'{part} {i}')} AS {quote(f'{part} {j} {i}')}" for part in ("sum", "max", "min", "var")]
+            wide.append(f"{of(f'median {i}')} AS {quote(statistic(piece.prefix, 'median', column))}")
+    return entries.selectExpr(*(quote(k) for k in keys), *wide)
+
+
 def _raw_statistics(x: str, kind: T.DataType, condition: str, tag: str):
     """The sums that all statistics of a column can be derived from."""
     ordered = f"nanvl({x}, NULL)" if is_floating(kind) else x
     wide = f"CAST({x} AS DOUBLE)"
-    parts = {"n": f"count({x})", "sum": f"sum({x})", "max": f"max({ordered})", "min": f"min({ordered})"}
+    # a sum of BIGINT may exceed BIGINT; 38 digits hold any number of them
+    total = f"sum(CAST({x} AS DECIMAL(38, 0)))" if isinstance(kind, T.LongType) else f"sum({x})"
+    parts = {"n": f"count({x})", "sum": total, "max": f"max({ordered})", "min": f"min({ordered})"}
     parts["var"] = f"var_samp({wide})"
     return [F.expr(sql + condition).alias(f"{part} {tag}") for part, sql in parts.items()]
 
 
 def _derived_statistics(prefix: str, column: str, kind: T.DataType, tag: str) -> list[str]:
     n, total, var = (quote(f"{part} {tag}") for part in ("n", "sum", "var"))
-    zero = f"coalesce({total}, 0)" if not isinstance(kind, T.DecimalType) else f"coalesce({total}, 0BD)"
+    zero = f"coalesce({total}, 0BD)" if isinstance(kind, (T.DecimalType, T.LongType)) else f"coalesce({total}, 0)"
     derived = {
         "max": quote(f"max {tag}"),
         "mean": f"CAST({total} AS DOUBLE) / nullif({n}, 0)",

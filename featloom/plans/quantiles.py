@@ -59,12 +59,7 @@ def grouped_quantiles(
     if checked_rows is not None and checked_rows <= row_limit:
         return frame.groupBy(*by).agg(*builtin)
 
-    hot = find_hot_groups(
-        frame,
-        keys,
-        row_limit=row_limit,
-        max_groups=max(1, 2_000_000 // max(1, len(targets))),
-    )
+    hot = find_hot_groups(frame, keys, row_limit=row_limit)
     if hot is None:
         return frame.groupBy(*by).agg(*builtin)
     if not keys:
@@ -76,8 +71,8 @@ def grouped_quantiles(
 
 
 def split_by_heat(frame: DataFrame, keys: Sequence[str], hot: HotGroups) -> tuple[DataFrame, DataFrame]:
-    """Rows of hot groups, and all other rows.  The hot keys are few, so no shuffle is needed."""
-    listed = F.broadcast(hot.keys.select(*(F.col(quote(k)).alias(f"hot {i}") for i, k in enumerate(keys))))
+    """Rows of hot groups, and all other rows.  Few hot keys are broadcast, without a shuffle."""
+    listed = hot.listed.select(*(F.col(quote(k)).alias(f"hot {i}") for i, k in enumerate(keys)))
     match = F.lit(True)
     for i, key in enumerate(keys):
         match = match & F.col(quote(key)).eqNullSafe(F.col(quote(f"hot {i}")))

@@ -9,45 +9,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featloom.functions import quote
+from featloom.plans.storage import materialise, release
 
 # Groups up to this many rows are safe inside one task that streams over them.
 ROW_LIMIT = 1_000_000
 
-# Hot keys are broadcast, so their number is bounded by raising the limit if necessary.
+# Up to this many hot keys are broadcast; Spark chooses the join for more of them.
 MAX_HOT_GROUPS = 50_000
 
 
 @dataclasses.dataclass(frozen=True)
 class HotGroups:
-    """Keys whose groups exceed the row limit."""
+    """Keys whose groups exceed the row limit, written down."""
 
     keys: DataFrame
     count: int
     largest: int
 
+    @property
+    def listed(self) -> DataFrame:
+        """The keys for a join: broadcast as long as they are few."""
+        return F.broadcast(self.keys) if self.count <= MAX_HOT_GROUPS else self.keys
+
 
 def find_hot_groups(
     frame: DataFrame,
     keys: Sequence[str],
     *,
     row_limit: int = ROW_LIMIT,
-    max_groups: int = MAX_HOT_GROUPS,
 ) -> HotGroups | None:
     """Keys with more than ``row_limit`` rows, or None if there are none.
 
-    Two small jobs at most, over the key columns only; the count is combined before the
-    shuffle, so a key that holds most of the rows costs nothing extra.
+    One scan of the key columns; the count is combined before the shuffle, so a key that
+    holds most of the rows costs nothing extra.  The limit does not depend on the table.
     """
     rows = quote("rows in group")
     counted = frame.groupBy(*(F.col(quote(k)) for k in keys)).agg(
         F.count(F.lit(1)).alias("rows in group"),
     )
-    total, largest = counted.agg(F.sum(rows), F.max(rows)).first()
-    limit = max(row_limit, (total or 0) // max_groups)
-    if not largest or largest <= limit:
+    hot = materialise(counted.where(F.col(rows) > row_limit), "hot-keys")
+    count, largest = hot.agg(F.count(F.lit(1)), F.max(rows)).first()
+    if not count:
+        release(hot)
         return None
-    hot = counted.where(F.col(rows) > limit).drop("rows in group")
-    return HotGroups(keys=hot, count=hot.count(), largest=largest)
+    return HotGroups(keys=hot.drop("rows in group"), count=count, largest=largest)
 
 
 def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], *, null_safe: bool = False):
@@ -71,8 +76,10 @@ def split_left_join(
 
     If some key holds more left rows than one task should see, the left side is split
     into three disjoint parts: rows with a null key (they match nothing and need no
-    shuffle), rows with a hot key (joined by broadcast with their few right rows, no
-    shuffle either), and the rest (an ordinary shuffled join without heavy keys).
+    shuffle), rows with a hot key, and the rest (an ordinary shuffled join without heavy
+    keys).  The right side is written down first, so its plan runs once, and the size of its
+    rows with hot keys is known: Spark broadcasts them if they are small, however wide they
+    are, and otherwise splits the large partitions of a shuffled join.
 
     :param checked_rows: Known upper bound of the number of left rows, if any.
     """
@@ -87,9 +94,10 @@ def split_left_join(
     for key in keys:
         some_null = some_null | F.col(quote(key)).isNull()
 
-    hot_keys = F.broadcast(hot.keys.where(~some_null))
+    hot_keys = hot.listed.where(~some_null)
     present = left.where(~some_null)
-    hot_right = F.broadcast(right.join(hot_keys, on=keys, how="left_semi"))
+    right = materialise(right, "right-side")
+    hot_right = materialise(right.join(hot_keys, on=keys, how="left_semi"), "hot-right-side")
 
     width = [f for f in right.schema.fields if f.name not in keys]
     unmatched = left.where(some_null).select(

@@ -46,24 +46,23 @@ def equal_count_buckets(frame: DataFrame, x: str, y: str, *, buckets: int = BUCK
         F.max("x").alias("high"),
     )
 
-    # every bucket lists every class, also without rows; both numbers are small
     per_bucket = cells.groupBy("bucket").agg(
         F.sum("n").alias("size"),
         F.min("low").cast("double").alias("low"),
         F.max("high").cast("double").alias("high"),
-        F.expr("map_from_entries(collect_list(struct(CAST(y AS STRING), n)))").alias("counts"),
     )
-    classes = cells.agg(F.expr("sort_array(collect_set(y))")).scalar()
-    every_bucket = frame.sparkSession.range(buckets).select(F.col("id").alias("bucket"))
+    # every bucket lists every class, also without rows
+    every = cells.select("y").distinct().select("y", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+    every = every.withColumn("bucket", F.col("bucket").cast("long"))
     return (
-        every_bucket.join(F.broadcast(per_bucket), "bucket", "left")
-        .select("*", F.explode(classes).alias("class"))
+        every.join(F.broadcast(per_bucket), "bucket", "left")
+        .join(cells.select("bucket", "y", "n"), ["bucket", "y"], "left")
         .select(
             "bucket",
             F.expr("CASE WHEN low IS NULL THEN 'nan - nan' ELSE printf('%.2f - %.2f', low, high) END").alias("label"),
-            "class",
-            F.coalesce(F.expr("counts[CAST(class AS STRING)]"), F.lit(0)).alias("count"),
-            F.expr("coalesce(counts[CAST(class AS STRING)] * 100D / size, 0D)").alias("percentage"),
+            F.col("y").alias("class"),
+            F.coalesce("n", F.lit(0)).alias("count"),
+            F.expr("coalesce(n * 100D / size, 0D)").alias("percentage"),
         )
     )
 
@@ -84,6 +83,17 @@ def contingency(frame: DataFrame, x: str, y: str) -> DataFrame:
     return wide.selectExpr("x", *(f"coalesce({quote(n)}, 0) * 100D / ({total}) AS {quote(n)}" for n in names))
 
 
+def contingency_shares(frame: DataFrame, x: str, y: str) -> DataFrame:
+    """The same table as rows (x, y, count, percentage), for any number of values of y."""
+    cells = (
+        without_missing(frame.selectExpr(f"{quote(x)} AS x", f"{quote(y)} AS y"), "x", "y")
+        .groupBy("x", "y")
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
+    totals = cells.groupBy("x").agg(F.sum("count").alias("total"))
+    return cells.join(totals, "x").select("x", "y", "count", F.expr("count * 100D / total").alias("percentage"))
+
+
 def hierarchy(frame: DataFrame, x: str, y: str) -> DataFrame:
     """Counts of both nestings of x and y, with the share of each entry in its parent."""
     cells = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import warnings
 from collections.abc import Collection, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,24 +24,34 @@ def from_csv(
     *,
     ignore_errors: bool = False,
     null_values: str | Collection[str] | None = None,
+    multi_line: bool = True,
 ) -> Dataset:
     """Read CSV files with header lines; types are inferred from all rows.
 
-    :param ignore_errors: Read values that do not fit as null instead of failing.
+    Quotes are doubled inside quoted values.  A column is of the narrowest of bigint, double
+    and boolean (true or false) that holds all of its values, else text; dates stay text.
+
+    :param ignore_errors: Read rows with too many or too few values as far as they fit, with a
+        warning that counts them, instead of failing.
     :param null_values: Texts that stand for null, besides the empty text.
+    :param multi_line: Quoted values may hold line breaks.  Such a file is read by one task;
+        large files without them are split over tasks with ``multi_line=False``.
     """
     paths = [files] if isinstance(files, str) else list(files)
     nulls = [null_values] if isinstance(null_values, str) else list(null_values or ())
-    return Dataset([table(_read_csv(spark, p, ignore_errors, nulls), posixpath.basename(p)) for p in paths])
+    return Dataset(
+        [table(_read_csv(spark, p, ignore_errors, nulls, multi_line), posixpath.basename(p)) for p in paths],
+    )
 
 
-def from_csv_dir(spark: SparkSession, path: str) -> Dataset:
+def from_csv_dir(spark: SparkSession, path: str, *, multi_line: bool = True) -> Dataset:
     """Read all ``*.csv`` files of a folder, on any file system that Spark can reach."""
     return from_csv(
         spark,
         _files_in(spark, path, ".csv"),
         ignore_errors=True,
         null_values=DIRECTORY_NULLS,
+        multi_line=multi_line,
     )
 
 
@@ -55,60 +66,64 @@ def parquet_table(spark: SparkSession, path: str, *, exact: bool = False) -> Tab
     return table(spark.read.parquet(path), name, exact=exact)
 
 
-def read_known(spark: SparkSession, path: str, known: DataFrame | T.StructType) -> DataFrame:
+def read_known(
+    spark: SparkSession,
+    path: str,
+    known: DataFrame | T.StructType,
+    *,
+    multi_line: bool = True,
+) -> DataFrame:
     """Read known rows from a CSV file with at least the given columns, in any order.
 
     :param known: Frame or schema whose column names and types the rows must have.
     """
     schema = known.schema if isinstance(known, DataFrame) else known
-    uploaded = spark.read.csv(path, header=True)
+    uploaded = _reader(spark, multi_line).csv(path)
     missing = [f.name for f in schema if f.name not in uploaded.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
     return uploaded.select(*(F.col(quote(f.name)).cast(f.dataType).alias(f.name) for f in schema))
 
 
-def _read_csv(spark: SparkSession, path: str, ignore_errors: bool, nulls: list[str]) -> DataFrame:
-    mode = "PERMISSIVE" if ignore_errors else "FAILFAST"
-    reader = spark.read.options(header=True, mode=mode, preferDate=False, timestampType="TIMESTAMP_NTZ")
-    if len(nulls) <= 1:
-        # texts that look like dates stay texts; casting them is a transform of its own
-        marked = reader.option("nullValue", nulls[0]) if nulls else reader
-        frame = marked.csv(path, inferSchema=True)
-        if not any(isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) for f in frame.schema):
-            return frame
-        kinds = T.StructType(
-            [
-                T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.DatetimeType) else f.dataType)
-                for f in frame.schema
-            ],
-        )
-        return marked.schema(kinds).csv(path)
+def _reader(spark: SparkSession, multi_line: bool):
+    return spark.read.options(header=True, escape='"', multiLine=multi_line)
+
 
+def _read_csv(spark: SparkSession, path: str, ignore_errors: bool, nulls: list[str], multi_line: bool) -> DataFrame:
+    reader = _reader(spark, multi_line)
+    names = reader.csv(path).columns
+    if ignore_errors:
+        texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _MISFIT]])
+        rows = reader.schema(texts).csv(path, columnNameOfCorruptRecord=_MISFIT)
+    else:
+        rows = reader.csv(path, mode="FAILFAST")
     listed = ", ".join(literal(n) for n in nulls)
-    texts = reader.csv(path)
-    texts = texts.selectExpr(
-        *(f"CASE WHEN {quote(c)} NOT IN ({listed}) THEN {quote(c)} END AS {quote(c)}" for c in texts.columns),
-    )
-    return _inferred(texts)
-
-
-def _inferred(texts: DataFrame) -> DataFrame:
-    """Cast text columns to the narrowest of bigint, double and boolean that holds every value."""
-    order = ("BIGINT", "DOUBLE", "BOOLEAN")
-    checks = [
-        F.expr(f"count(try_cast({quote(c)} AS {kind}))").alias(f"{kind} {i}")
-        for i, c in enumerate(texts.columns)
-        for kind in order
-    ]
-    present = [F.count(F.col(quote(c))).alias(f"present {i}") for i, c in enumerate(texts.columns)]
-    facts = texts.agg(*present, *checks).first()
+    values = [f"CASE WHEN {quote(n)} NOT IN ({listed}) THEN {quote(n)} END AS {quote(n)}" if nulls else quote(n) for n in names]
+    misfit = quote(_MISFIT) if ignore_errors else "CAST(NULL AS STRING)"
+    rows = rows.selectExpr(*values, f"{misfit} AS {quote(_MISFIT)}")
+    return _inferred(rows, names, path)
+
+
+_MISFIT = "row that does not fit"
+_FITS = {
+    "BIGINT": "try_cast({x} AS BIGINT)",
+    "DOUBLE": "try_cast({x} AS DOUBLE)",
+    "BOOLEAN": "CASE WHEN lower(trim({x})) IN ('true', 'false') THEN 1 END",
+}
+
+
+def _inferred(rows: DataFrame, names: list[str], path: str) -> DataFrame:
+    """Cast text columns to the first of the types that holds every value, by one scan."""
+    checks = [F.count(F.expr(sql.format(x=quote(n)))).alias(f"{kind} {i}") for i, n in enumerate(names) for kind, sql in _FITS.items()]
+    present = [F.count(F.col(quote(n))).alias(f"present {i}") for i, n in enumerate(names)]
+    facts = rows.agg(F.count(quote(_MISFIT)).alias("misfits"), *present, *checks).first()
+    if facts["misfits"]:
+        warnings.warn(f"{path}: {facts['misfits']} rows do not fit the header", stacklevel=4)
     chosen = []
-    for i, name in enumerate(texts.columns):
-        fits = (k for k in order if facts[f"present {i}"] and facts[f"{k} {i}"] == facts[f"present {i}"])
-        kind = next(fits, "STRING")
-        chosen.append(f"CAST({quote(name)} AS {kind}) AS {quote(name)}")
-    return texts.selectExpr(*chosen)
+    for i, name in enumerate(names):
+        fits = (k for k in _FITS if facts[f"present {i}"] and facts[f"{k} {i}"] == facts[f"present {i}"])
+        chosen.append(f"CAST({quote(name)} AS {next(fits, 'STRING')}) AS {quote(name)}")
+    return rows.selectExpr(*chosen)
 
 
 def _files_in(spark: SparkSession, path: str, suffix: str) -> list[str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from featloom.plans.profile import table
@@ -12,7 +13,7 @@ from featloom.schema import Dataset, Table
 
 
 def from_frames(spark: SparkSession, frames: Mapping[str, Any]) -> Dataset:
-    """Profile named frames: Spark or pandas frames, Arrow tables, or dicts of columns."""
+    """Profile named frames: Spark or pandas frames, Arrow tables, or dicts of columns (lists or numpy arrays)."""
     return Dataset([table(_into_frame(spark, value), name) for name, value in frames.items()])
 
 
@@ -20,8 +21,7 @@ def _into_frame(spark: SparkSession, value: Any) -> DataFrame:
     if isinstance(value, DataFrame):
         return value
     if isinstance(value, Mapping):
-        names = list(value)
-        return spark.createDataFrame([tuple(row) for row in zip(*value.values(), strict=True)], names)
+        return spark.createDataFrame(pa.table({name: pa.array(column) for name, column in value.items()}))
     return spark.createDataFrame(value)
 
 

@@ -235,6 +235,24 @@ def test_mutual_information_of_known_tables(spark):
     assert found == {0: pytest.approx(math.log(2)), 1: pytest.approx(0), 2: pytest.approx(math.log(2))}
 
 
+@pytest.mark.parametrize("values", [64, 65, 1000])
+def test_mutual_information_does_not_depend_on_the_number_of_values(spark, values):
+    frame = spark.range(20 * values).selectExpr(f"CAST(id % {values} AS DOUBLE) AS x", f"id % {values} % 2 AS label")
+    matrix = feature_matrix(frame, ["x"], "label", Problem.classification)
+    assert mutual_information(matrix).first()["information"] == pytest.approx(math.log(2), abs=2e-4)
+    assert mutual_information(matrix, bins=8).first()["information"] < 0.05
+
+
+def test_mutual_information_of_infinite_features(spark):
+    frame = spark.range(200).selectExpr(
+        "CAST(CASE id % 4 WHEN 0 THEN 'Infinity' WHEN 1 THEN '-Infinity' WHEN 2 THEN 'NaN' ELSE '0' END AS DOUBLE) AS x",
+        "CAST(id % 4 >= 2 AS INT) AS label",
+    )
+    matrix = feature_matrix(frame, ["x"], "label", Problem.classification)
+    assert matrix.frame.count() == 200
+    assert mutual_information(matrix).first()["information"] >= 0
+
+
 # --- Shapley values --------------------------------------------------------------------------------------
 
 

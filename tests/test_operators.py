@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import math
 
@@ -433,3 +434,32 @@ def test_collect_and_clean(spark, durable):
     done = clean(data).apply(Collect(durable=durable)).table("t")
     assert done.data.columns == ["flag", "flag == False", "flag == True", "name", "name == a", "name == b"]
     assert rows(done.data)[0][:3] == (False, True, False)
+
+
+# --- sums beyond BIGINT, dummies of narrow types ---------------------------------------------------------
+
+
+def test_sums_of_large_integers_do_not_overflow(spark):
+    frame = spark.range(20).selectExpr("id % 2 AS k", "9000000000000000000L + id DIV 4 AS x")
+    made = from_frames(spark, {"t": frame}).apply(Aggregate(is_pivotable=["k"])).tables[0].data
+    row = next(r for r in made.collect() if r["k"] == 0)
+    assert int(row["sum(x)"]) == 10 * 9 * 10**18 + 20 and row["mean(x)"] == pytest.approx(9e18)
+
+
+@pytest.mark.parametrize("kind", ["float", "double", "decimal(5,2)", "tinyint", "date", "timestamp", "timestamp_ntz"])
+def test_dummies_hold_for_every_type(spark, kind):
+    values = {"date": ["2021-03-28", "2020-01-01"], "tinyint": ["7", "-3"]}.get(kind) or (
+        ["2021-03-28 01:30:00.5", "2020-01-01 00:00:00"] if "timestamp" in kind else ["0.1", "2.25"]
+    )
+    frame = spark.createDataFrame([(values[i % 2],) for i in range(8)], "v string").selectExpr(f"CAST(v AS {kind}) AS x")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        table = from_frames(spark, {"t": frame}).tables[0]
+        marked = [dataclasses.replace(c, attributes=c.attributes | {Attribute.categorical}) for c in table.columns]
+        encoded = Dataset([table.select(marked)]).apply(Encode()).tables[0]
+        dummies = [quote(c.name) for c in encoded.columns if "==" in c.name]
+        assert len(dummies) == 2
+        counts = encoded.data.selectExpr(*(f"count_if({d}) AS n{i}" for i, d in enumerate(dummies))).first()
+        assert tuple(counts) == (4, 4)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

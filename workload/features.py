@@ -149,6 +149,41 @@ def _fused_sql() -> str:
     )
 
 
+_WIDE = {"l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"], "l_linenumber": [1, 2, 3, 4, 5, 6, 7]}
+_WIDE_VALUES = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _wide_sql() -> str:
+    """Statistics of the rows of each category and of its complement, per supplier."""
+    items = []
+    for column, values in _WIDE.items():
+        for v in values:
+            same = f"{column} = {v!r}"
+            for text, where in ((f"{column} == {v}", same), (f"not({column} == {v})", f"NOT ({same})")):
+                suffix = f" :: group_by(filter(lineitem, {text}), l_suppkey)"
+                items.append(stat_columns(_WIDE_VALUES, suffix=suffix, where=where))
+    return f"SELECT l_suppkey, {', '.join(items)} FROM lineitem GROUP BY l_suppkey"
+
+
+@query(_wide_sql())
+def agg_filtered_wide(spark, sf_dir):
+    """24 filters of three columns: one scan and one shuffle."""
+    numeric = [Attribute.numeric, Attribute.not_null]
+    columns = {
+        "l_suppkey": numeric,
+        **{c: numeric for c in _WIDE_VALUES},
+        "l_returnflag": [Attribute.textual, Attribute.categorical, Attribute.not_null],
+        "l_linestatus": [Attribute.textual, Attribute.categorical, Attribute.not_null],
+        "l_linenumber": [Attribute.categorical, Attribute.not_null],
+    }
+    kept = load(spark, sf_dir, "lineitem").apply(Keep(columns=[(c, "lineitem") for c in columns]))
+    lines = with_attributes(kept, {"lineitem": columns}).apply(
+        Encode().then(Filter()).then(Aggregate(is_pivotable=["l_suppkey"])),
+    )
+    known = read(spark, sf_dir, "lineitem").select("l_suppkey").distinct()
+    return tidy(lines.features(known, keep_known=True))
+
+
 @query(_fused_sql())
 def agg_filtered_fused(spark, sf_dir):
     data = load(spark, sf_dir, "events", "customer").apply(Rename(mapping=_CUSTOMER_KEY))

@@ -125,6 +125,47 @@ def mi_binned(spark, sf_dir):
     return scores.select(F.get(listed, F.col("feature")).alias("feature"), F.expr(f"{_r('information')} AS information"))
 
 
+_CONTINUOUS = ["l_extendedprice", "l_partkey", "l_suppkey", "l_quantity"]
+_BINS = 20
+
+
+def _bin_sql(x: str) -> str:
+    """Number of quantiles below a value; equal quantiles count once."""
+    shares = ", ".join(repr(k / _BINS) for k in range(1, _BINS))
+    limits = f"(SELECT list_distinct(quantile_disc(CAST({x} AS DOUBLE), [{shares}])) FROM lineitem)"
+    return f"len(list_filter({limits}, lambda q: q < CAST({x} AS DOUBLE)))"
+
+
+def _binned_sql(x: str, target: str) -> str:
+    joint = f"(SELECT {_bin_sql(x)} AS b, {target} AS y, count(*) AS n FROM lineitem GROUP BY ALL)"
+    return (
+        f"SELECT '{x}' AS feature, {_r('sum(n / total * ln(n * total / nb / ny))')} AS information FROM ("
+        "SELECT CAST(n AS DOUBLE) AS n, CAST(sum(n) OVER () AS DOUBLE) AS total, "
+        "CAST(sum(n) OVER (PARTITION BY b) AS DOUBLE) AS nb, CAST(sum(n) OVER (PARTITION BY y) AS DOUBLE) AS ny "
+        f"FROM {joint})"
+    )
+
+
+def _information(matrix: FeatureMatrix, names: list[str]):
+    scores = mutual_information(matrix, bins=_BINS, accuracy=1_000_000)
+    listed = F.array(*(F.lit(n) for n in names))
+    return scores.select(F.get(listed, F.col("feature")).alias("feature"), F.expr(f"{_r('information')} AS information"))
+
+
+@query(" UNION ALL ".join(_binned_sql(x, "l_returnflag") for x in _CONTINUOUS))
+def mi_continuous(spark, sf_dir):
+    """Features of many values, in quantile bins."""
+    return _information(_lines(spark, sf_dir, _CONTINUOUS), _CONTINUOUS)
+
+
+@query(" UNION ALL ".join(_binned_sql(x, _bin_sql("l_extendedprice")) for x in _CONTINUOUS[1:]))
+def mi_regression(spark, sf_dir):
+    """Features and a target of many values, in quantile bins."""
+    names = _CONTINUOUS[1:]
+    matrix = feature_matrix(read(spark, sf_dir, "lineitem"), names, "l_extendedprice", Problem.regression)
+    return _information(matrix, names)
+
+
 @query(
     "SELECT c_mktsegment AS prediction FROM customer GROUP BY c_mktsegment ORDER BY count(*) DESC, c_mktsegment LIMIT 1",
 )
@@ -189,11 +230,23 @@ def train_predict_labels(spark, sf_dir):
     return document_model(spark, sf_dir).evaluation
 
 
-@query()
+@query("SELECT doc_id, CAST(lang = 'en' AS INT) AS english FROM documents")
 def predict_batch(spark, sf_dir):
-    """Predictions for every document, labelled or not."""
-    model = document_model(spark, sf_dir, _forest_rounds())
-    return model.predict(read(spark, sf_dir, "documents").select("doc_id")).y
+    """Predictions for every document, labelled or not, of a target that its columns decide."""
+    documents = read(spark, sf_dir, "documents")
+    english = documents.join(read(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    known = table(english.selectExpr("doc_id", "CAST(lang = 'en' AS INT) AS english"), "english")
+    facts = table(documents.selectExpr("doc_id", "lang", "source", "CAST(n_chars AS DOUBLE) AS n_chars"), "documents")
+    model = Model.train(
+        declare_key(Dataset([facts]).apply(Encode()), "documents", ["doc_id"]),
+        known_columns=[known.column("doc_id")],
+        prediction_method=RandomForest(),
+        problem=Problem.classification,
+        target_column=known.column("english"),
+        training_data=known,
+        rounds=_forest_rounds(),
+    )
+    return model.predict(documents.select("doc_id")).y.selectExpr("doc_id", "CAST(english AS INT) AS english")
 
 
 @query()
@@ -207,22 +260,39 @@ def prediction_impacts(spark, sf_dir):
     return model.predict(read(spark, sf_dir, "documents").select("doc_id")).impact
 
 
-@query()
+# a target made from two columns, so that it is known which features matter
+_MADE = "CAST(l_quantity > 25 AS INT) + CAST(l_discount > 0.05 AS INT)"
+
+
+def _made(spark, sf_dir) -> FeatureMatrix:
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+    lines = read(spark, sf_dir, "lineitem").selectExpr(*names, f"{_MADE} AS made")
+    # a price is a quantity times the price of a part; without the quantity in it, it tells nothing
+    return feature_matrix(
+        lines.withColumn("l_extendedprice", F.expr("l_extendedprice / l_quantity")), names, "made", Problem.classification,
+    )
+
+
+_KEPT = (
+    "SELECT feature, feature IN ('l_quantity', 'l_discount') AS kept FROM (SELECT unnest("
+    "['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_linenumber']) AS feature) WHERE (SELECT count(*) FROM lineitem) > 0"
+)
+
+
+def _kept(spark, selector, matrix):
+    return spark.createDataFrame(list(zip(matrix.names, selector.select(matrix))), "feature string, kept boolean")
+
+
+@query(_KEPT)
 def perm_importance(spark, sf_dir):
-    matrix = _lines(spark, sf_dir, _RANKED + ["l_linenumber"])
-    kept = PermutationImportance(n=3, predictor=RandomForest()).select(matrix)
-    return spark.createDataFrame(list(zip(matrix.names, kept)), "feature string, kept boolean")
+    return _kept(spark, PermutationImportance(n=2, predictor=RandomForest()), _made(spark, sf_dir))
 
 
-@query()
+@query(_KEPT)
 def shap_select(spark, sf_dir):
-    matrix = _lines(spark, sf_dir, _RANKED + ["l_linenumber"])
-    kept = ShapelyImpact(n=3, predictor=RandomForest()).select(matrix)
-    return spark.createDataFrame(list(zip(matrix.names, kept)), "feature string, kept boolean")
+    return _kept(spark, ShapelyImpact(n=2, predictor=RandomForest()), _made(spark, sf_dir))
 
 
-@query()
+@query(_KEPT)
 def boruta_select(spark, sf_dir):
-    matrix = _lines(spark, sf_dir, _RANKED)
-    kept = Boruta(importance="gini", predictor=RandomForest(), problem=Problem.classification, trials=6).select(matrix)
-    return spark.createDataFrame(list(zip(matrix.names, kept)), "feature string, kept boolean")
+    return _kept(spark, Boruta(predictor=RandomForest(), problem=Problem.classification), _made(spark, sf_dir))
