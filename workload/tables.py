@@ -8,6 +8,7 @@ import functools
 from pyspark.sql import functions as F
 
 from featloom import (
+    Aggregate,
     Attribute,
     Cast,
     Combine,
@@ -24,14 +25,18 @@ from featloom import (
     clean,
     declare_key,
     drop_related,
+    from_csv,
+    from_csv_dir,
     from_frames,
     preview,
     profile_frame,
+    read_known,
     redact,
     table,
     with_attributes,
 )
-from featloom import Aggregate
+from featloom.functions import quote
+from featloom.plans.storage import scratch_path
 from workload.registry import dq, load, named, query, read
 
 _NUMERIC, _TEXT, _TIME, _NESTED = "numeric", "textual", "temporal", None
@@ -315,3 +320,60 @@ def edit_schema(spark, sf_dir):
     return chosen.select(
         [c for c in chosen.columns if c.attributes in ({Attribute.primary_key}, {Attribute.textual})],
     ).data
+
+
+def _as_csv(spark, frame, name: str) -> str:
+    """Write a frame as CSV to the shared folder, texts as they are."""
+    path = f"{scratch_path(spark, 'csv')}/{name}.csv"
+    frame.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_roundtrip_documents(spark, sf_dir):
+    """Texts with quotes, commas and line breaks, through a CSV file."""
+    return from_csv(spark, _as_csv(spark, read(spark, sf_dir, "documents"), "documents")).table("documents.csv").data
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_folder(spark, sf_dir):
+    """All files of a folder; types are inferred."""
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    (table,) = from_csv_dir(spark, _as_csv(spark, nation.coalesce(1), "nation"))
+    return table.data
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def known_upload(spark, sf_dir):
+    """Known rows from an uploaded file, matched by name and cast to the known types."""
+    orders = read(spark, sf_dir, "orders")
+    path = _as_csv(spark, orders.select("o_totalprice", "o_orderstatus", "o_orderkey"), "orders")
+    return read_known(spark, path, orders.select("o_orderkey", "o_totalprice"))
+
+
+_TAXES = [n / 100 for n in range(9)]
+
+
+@query(
+    "SELECT "
+    + ", ".join(f"CAST(count(*) FILTER (CAST(l_tax AS FLOAT) = CAST({t} AS FLOAT)) AS BIGINT) AS {dq(f'tax == {t}')}" for t in _TAXES)
+    + " FROM lineitem",
+)
+def encode_float(spark, sf_dir):
+    """Rows per category of a FLOAT column."""
+    frame = read(spark, sf_dir, "lineitem").selectExpr("CAST(l_tax AS FLOAT) AS tax")
+    (encoded,) = from_frames(spark, {"taxes": frame}).apply(Encode())
+    return encoded.data.selectExpr(*(f"count_if({quote(f'tax == {t}')}) AS {quote(f'tax == {t}')}" for t in _TAXES))
+
+
+@query(
+    "SELECT l_returnflag, round(CAST(sum(CAST(l_partkey AS HUGEINT) * 1000000000000) / 1000000000000 AS DOUBLE), 0) AS total, "
+    "count(*) AS n FROM lineitem GROUP BY l_returnflag",
+)
+def agg_large_integers(spark, sf_dir):
+    """A sum beyond BIGINT."""
+    frame = read(spark, sf_dir, "lineitem").selectExpr("l_returnflag", "l_partkey * 1000000000000L AS big")
+    (grouped,) = from_frames(spark, {"t": frame}).apply(Aggregate(is_pivotable=["l_returnflag"]))
+    return grouped.data.selectExpr(
+        "l_returnflag", "round(CAST(`sum(big)` AS DOUBLE) / 1000000000000, 0) AS total", "`count(*)` AS n",
+    )
