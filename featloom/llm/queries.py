@@ -46,7 +46,7 @@ def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     good = F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
     labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("labelled")).agg(good)
-    flagged = docs.join(labels, F.col("doc_id") == F.col("labelled"), "left")
+    flagged = docs.join(labels.hint("merge"), F.col("doc_id") == F.col("labelled"), "left")
     return score_documents(docs, train(flagged, target="good"))
 
 
@@ -104,7 +104,8 @@ WITH a AS (
 ), c AS (
   SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(
     replace(replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&amp;', '&'),
-    '[ 	-]+', ' ', 'g'))), lambda x: x <> '') AS blocks
+    '[ 	-
+]+', ' ', 'g'))), lambda x: x <> '') AS blocks
   FROM b
 )
 SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM c
