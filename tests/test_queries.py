@@ -8,11 +8,12 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from workload import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
 
-# These train models; tests/test_learning.py covers what they do on small fixtures.
-SLOW = {"train_predict_labels", "boruta_select", "perm_importance", "shap_select", "prediction_impacts"}
+# These train many models; tests/test_learning.py covers what they do on small fixtures.
+SLOW = {"train_predict_labels", "boruta_select", "prediction_impacts"}
 
 pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="tables are not available")
 
@@ -22,13 +23,13 @@ def connection():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
 def test_query(spark, connection, name):
-    sql = entry.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
-        assert entry.queries()[name](spark, FOLDER).count() > 0
+        assert QUERIES[name](spark, FOLDER).count() > 0
     else:
-        assert compare(spark, connection, FOLDER, entry.queries()[name], sql) is None
+        assert compare(spark, connection, FOLDER, QUERIES[name], sql) is None
 
 
 def test_entry(spark):

@@ -293,6 +293,17 @@ def shap_select(spark, sf_dir):
     return _kept(spark, ShapelyImpact(n=2, predictor=RandomForest()), _made(spark, sf_dir))
 
 
-@query(_KEPT)
+@query(
+    "SELECT feature, true AS kept FROM (SELECT unnest(['p_size', 'p_retailprice']) AS feature) "
+    "WHERE (SELECT count(*) FROM part) > 0",
+)
 def boruta_select(spark, sf_dir):
-    return _kept(spark, Boruta(predictor=RandomForest(), problem=Problem.classification), _made(spark, sf_dir))
+    """All trials, Shapley importance: the two columns that make the target are kept.  Whether
+    the third is rejected or stays undecided is a matter of chance, so it is not listed."""
+    parts = read(spark, sf_dir, "part").selectExpr(
+        "p_size", "p_retailprice", "p_partkey % 7 AS rest",
+        "CAST(p_size > 25 AS INT) + CAST(p_retailprice > 950 AS INT) AS made",
+    )
+    matrix = feature_matrix(parts, ["p_size", "p_retailprice", "rest"], "made", Problem.classification)
+    kept = _kept(spark, Boruta(predictor=RandomForest(), problem=Problem.classification), matrix)
+    return kept.where("kept AND feature <> 'rest'")
