@@ -247,7 +247,7 @@ def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in W.slices(batches):
         texts = []
         for body, gone in zip(batch.column("text"), batch.column("removed_lines")):
             value, drop = body.as_py(), set(gone.as_py())

@@ -19,9 +19,6 @@ WIDTH = 5
 #: probability (1 - s**5)**28: 7e-8 at 0.85 and 2e-5 at 0.8.
 ROWS, BANDS = 5, 28
 SIZE = ROWS * BANDS
-#: Bytes of text that are sketched at a time.
-_CHUNK = 1 << 20
-
 _SCHEMA = "doc_id long, content string, n_shingles long, set_a long, set_b long, bands array<long>"
 #: Members of a bucket that are compared in one group; larger buckets are compared part by part.
 PART = 512
@@ -78,7 +75,7 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [part.split()[0] for part in _SCHEMA.split(", ")]
     for batch in batches:
-        for chunk in W.chunks(batch.column("text"), _CHUNK):
+        for chunk in W.chunks(batch.column("text")):
             n = len(chunk)
             sets = W.shingles(W.words(chunk, lower=True), WIDTH)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -108,7 +105,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         left = {}
         keep = np.zeros(batch.num_rows, bool)
         names = batch.column("a").to_numpy()
-        for chunk in W.chunks(batch.column("text_b"), _CHUNK):
+        for chunk in W.chunks(batch.column("text_b")):
             sets = W.shingles(W.words(chunk, lower=True), WIDTH)
             rows = range(chunk.first, chunk.first + len(chunk))
             # pairs come sorted by a, so few of its sets are needed at a time
@@ -117,7 +114,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             picked = {int(names[r]): r for r in wanted if names[r] not in left}
             if picked:
                 texts = batch.column("text_a").take(pa.array(list(picked.values())))
-                for part in W.chunks(texts, _CHUNK):
+                for part in W.chunks(texts):
                     own = W.shingles(W.words(part, lower=True), WIDTH)
                     left.update(zip(list(picked)[part.first : part.first + len(part)], own))
             for r, b in zip(rows, sets):
@@ -138,7 +135,7 @@ def _compare_part(table: pa.Table, percent: int) -> pa.Table:
     only spanning trees of the links are returned.
     """
     sets: list[np.ndarray] = []
-    for chunk in W.chunks(table.column("text"), _CHUNK):
+    for chunk in W.chunks(table.column("text")):
         sets += W.shingles(W.words(chunk, lower=True), WIDTH)
     n = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), n)

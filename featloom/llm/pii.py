@@ -125,7 +125,7 @@ def _detect(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.Record
         pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])),
         pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])),
     ]
-    for batch in batches:
+    for batch in W.slices(batches):
         n = batch.num_rows
         spans: list[list] = [[] for _ in range(n)]
         beside: list[list] = [[] for _ in range(n)]
@@ -256,7 +256,7 @@ def personal_data(
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     marks = [*(f"<{k.upper()}>" for k in KINDS), "<TERM>", ""]
-    for batch in batches:
+    for batch in W.slices(batches):
         texts = []
         for body, spans in zip(batch.column("text"), batch.column("spans")):
             value, own = body.as_py(), spans.as_py()

@@ -184,7 +184,7 @@ def _judge(measured: DataFrame, rules: LineRules) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in W.slices(batches):
         texts, remove = batch.column("text"), batch.column("lines to remove")
         out: list[str | None] = texts.to_pylist()
         touched = set(np.flatnonzero(pa.compute.list_value_length(remove).to_numpy(zero_copy_only=False) > 0).tolist())
