@@ -3,37 +3,86 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featloom.llm import words as W
 from featloom.plans.storage import materialise
 
-#: Cells of one row on the way from tasks to the sum of all counts.
-BLOCK = 4096
+#: Tokens of one bucket of the count tables, on average; the number of buckets follows the corpus.
+BUCKET = 1 << 19
+#: Words that make up more than one in so many tokens are broadcast.
+HOT_WORDS = 1 << 16
+#: Bytes of text whose entries travel together, when they are counted and when they are scored.
+COUNT_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
+#: Stands for every word outside a limited vocabulary.
+UNKNOWN = np.uint64(0x5851F42D4C957F2D)
+#: Counts of all tokens travel under this name beside those of frequent words.
+ALL = np.uint64(0x14057B7EF767814F)
+
+_ENTRIES = "bucket int, entries binary"
+_TABLE = "bucket int, counts binary, hot binary"
+_SCORED = "bucket int, block long, entries binary, doc_id array<long>, base binary"
+_SUMS = "bucket int, block long, sums binary, doc_id array<long>, base binary"
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
 @dataclass(frozen=True)
 class Models:
-    """Size and smoothing, the same for both models.
+    """Vocabulary and smoothing, the same for both models.
 
-    The vocabulary is the ``vocabulary`` most frequent words of all documents; every other
-    word is one unknown word.  Bigrams are counted in ``cells`` hash cells.  So a model has a
-    fixed size (20 MB with these values), whatever the corpus; larger corpora deserve more
-    cells.  Bigrams fall back on words with the weight ``prior``, words on the uniform
-    distribution with ``alpha``.
+    All words and bigrams are counted exactly, in tables that grow with the corpus.  With a
+    ``vocabulary``, only so many most frequent words are told apart and every other word is
+    one unknown word.  Bigrams that make up more than one in ``cells`` tokens are broadcast,
+    so at most ``cells`` of them; all others are looked up in the tables.  Bigrams fall back
+    on words with the weight ``prior``, words on the uniform distribution with ``alpha``.
     """
 
-    vocabulary: int = 1 << 16
-    cells: int = 1 << 21
+    vocabulary: int | None = None
+    cells: int = 1 << 18
     prior: float = 8.0
     alpha: float = 0.1
 
 
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal length, column by column."""
+    body = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    head = np.array([len(arrays[0]), len(body)], np.int64).tobytes()
+    return head + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unpack(payload: bytes, *kinds: type) -> list[np.ndarray]:
+    n, size = np.frombuffer(payload, np.int64, 2)
+    body = pa.decompress(payload[16:], int(size), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for kind in kinds:
+        out.append(np.frombuffer(body, kind, n, at))
+        at += int(n) * np.dtype(kind).itemsize
+    return out
+
+
+def _join(payloads: pa.ChunkedArray, *kinds: type) -> list[np.ndarray]:
+    parts = [_unpack(p.as_py(), *kinds) for p in payloads if p.is_valid]
+    return [np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds)]
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted value in sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return place, keys[place] == wanted
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         known, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -44,114 +93,262 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(W.signed(known)), pa.array(sums)], ["word", "count"])
 
 
-def _numbered(chunk: W.Chunk, vocabulary: np.ndarray, cells: int) -> tuple[W.Words, np.ndarray, np.ndarray]:
-    """Words, number of each word (the last is unknown), and the cell of it and its predecessor
-    (-1 at the start of a text)."""
-    found = W.words(chunk, lower=True)
-    place = np.searchsorted(vocabulary, found.hash)
-    place[place == len(vocabulary)] = 0
-    known = vocabulary[place] == found.hash if len(vocabulary) else np.zeros(len(place), bool)
-    number = np.where(known, place, len(vocabulary))
-    cell = np.full(len(number), -1)
-    if len(number) > 1:
-        pair = number[:-1].astype(np.uint64) * W._SLOT[0] + number[1:].astype(np.uint64) * W._SLOT[1]
-        cell[1:] = (W.mix(pair) % np.uint64(cells)).astype(np.int64)
-        cell[1:][found.text[1:] != found.text[:-1]] = -1
-    return found, number, cell
-
-
-def _count_ngrams(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, cells: int) -> Iterator[pa.RecordBatch]:
-    """Counts of all words and bigrams of a task, background beside target, block by block."""
-    size = len(vocabulary) + 1 + cells
-    counts = np.zeros((-(-size // BLOCK) * BLOCK, 2), np.int32)
+@dataclass
+class Cache:
+    """What all tasks know: frequent words and bigrams with their counts, and the sizes."""
+
+    models: Models
+    buckets: int
+    size: int  # words that are told apart
+    totals: np.ndarray
+    vocabulary: np.ndarray | None
+    words: np.ndarray
+    word_counts: np.ndarray
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    pair_counts: np.ndarray = field(default_factory=lambda: np.zeros((0, 4)))
+
+    def tokens(self, chunk: W.Chunk) -> tuple[W.Words, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, each as it is told apart, the bigram it ends, and whether it begins a text."""
+        found = W.words(chunk, lower=True)
+        word = found.hash
+        if self.vocabulary is not None:
+            word = np.where(_find(self.vocabulary, word)[1], word, UNKNOWN)
+        start = np.ones(len(word), bool)
+        start[1:] = found.text[1:] != found.text[:-1]
+        pair = np.roll(word, 1) * W._SLOT[0] + word * W._SLOT[1]
+        pair = W.mix(np.where(start, word * W._SLOT[2], pair))
+        return found, word, pair, start
+
+    def bucket(self, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Bigrams are kept with the word they end, those of frequent words by themselves."""
+        key = np.where(_find(self.words, word)[1], pair, W.mix(word))
+        return (key % np.uint64(self.buckets)).astype(np.int32)
+
+    def bits(self, pair: np.ndarray, word: np.ndarray, start: np.ndarray, n: np.ndarray, follow: np.ndarray) -> np.ndarray:
+        """Losses of entries under both models, from the counts of bigram and word.
+
+        The share of a word as the context of the next one is told by its own entry.
+        """
+        single = (word + self.models.alpha) / (self.totals + self.models.alpha * (self.size + 1))
+        chance = np.where(start[:, None], single, pair + self.models.prior * single)
+        return follow[:, None] * np.log2(word + self.models.prior) - n[:, None] * np.log2(chance)
+
+
+def _split(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)) if len(order) else []
+    for low, high in zip(bounds, [*bounds[1:], len(order)]):
+        yield int(bucket[order[low]]), _pack(*(c[order[low:high]] for c in columns))
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], cache: Cache) -> Iterator[pa.RecordBatch]:
+    """Bigrams of stretches of text with the word they end and counts, background and target."""
+
+    def entries(parts: list[tuple]) -> pa.RecordBatch:
+        pair, word, own = (np.concatenate(p) for p in zip(*parts))
+        pair, first, place = np.unique(pair, return_index=True, return_inverse=True)
+        counts = [np.bincount(place, w, len(pair)).astype(np.int64) for w in (None, own)]
+        rows = list(_split(cache.bucket(word[first], pair), pair, word[first], *counts))
+        at, hot = _find(cache.words, word[first])
+        sums = [np.bincount(at[hot], c[hot], len(cache.words)).astype(np.int64) for c in counts]
+        names, sums = np.append(cache.words, ALL), [np.append(t, c.sum()) for t, c in zip(sums, counts)]
+        rows += _split(-1 - (names % np.uint64(cache.buckets)).astype(np.int32), names, names, *sums)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
+            _names(_ENTRIES),
+        )
+
+    parts, size = [], 0
     for batch in batches:
         target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
         for chunk in W.chunks(batch.column("text")):
-            found, number, cell = _numbered(chunk, vocabulary, cells)
-            own = target[chunk.first + found.text]
-            for rows, column in ((slice(None), 0), (own, 1)):
-                np.add.at(counts[:, column], number[rows], 1)
-                np.add.at(counts[:, column], len(vocabulary) + 1 + cell[rows][cell[rows] >= 0], 1)
-    blocks = counts.reshape(-1, BLOCK * 2)
-    some = np.flatnonzero(blocks.any(axis=1))
-    for low in range(0, len(some), 256):
-        rows = some[low : low + 256]
-        payload = pa.array([blocks[i].tobytes() for i in rows], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), payload], ["block", "counts"])
-
-
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the blocks of a partition; rows pass one by one."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts")):
-            own = sums.setdefault(block, np.zeros(BLOCK * 2, np.int64))
-            own += np.frombuffer(counts.as_py(), np.int32)
-    rows = pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), rows], ["block", "counts"])
+            found, word, pair, _ = cache.tokens(chunk)
+            parts.append((pair, word, target[chunk.first + found.text]))
+            size += len(chunk.data)
+            if size >= COUNT_BYTES:
+                yield entries(parts)
+                parts, size = [], 0
+    if parts:
+        yield entries(parts)
+
+
+def _sum_pairs(table: pa.Table, cache: Cache) -> pa.Table:
+    """Exact counts of the bigrams of a bucket; the frequent ones once more, with the counts of
+    their words as far as those are in the bucket."""
+    pair, word, background, target = _join(table.column("entries"), np.uint64, np.uint64, np.int64, np.int64)
+    pair, first, place = np.unique(pair, return_index=True, return_inverse=True)
+    counts = np.stack([np.bincount(place, w, len(pair)) for w in (background, target)], axis=1).astype(np.int64)
+    word = word[first]
+    if table.column("bucket")[0].as_py() < 0:  # words, not bigrams
+        hot, beside = np.arange(len(word)), counts
+    else:
+        hot = np.flatnonzero(counts[:, 0] * cache.models.cells > cache.totals[0])
+        known, place = np.unique(word, return_inverse=True)
+        beside = np.stack([np.bincount(place, counts[:, i], len(known)) for i in (0, 1)], axis=1)[place[hot]]
+    return pa.table(
+        {
+            "bucket": table.column("bucket").slice(0, 1),
+            "counts": pa.array([_pack(pair, word, *counts.T)], pa.binary()),
+            "hot": pa.array([_pack(pair[hot], word[hot], *counts[hot].T, *beside.T.astype(np.int64))], pa.binary()),
+        },
+    )
 
 
 class Losses:
-    """Bits per token under both models, from their summed counts."""
-
-    def __init__(self, vocabulary: np.ndarray, counts: np.ndarray, models: Models):
-        self.vocabulary, self.models = vocabulary, models
-        self.words, self.pairs = counts[: len(vocabulary) + 1], counts[len(vocabulary) + 1 :]
-        total = self.words.sum(axis=0, dtype=np.float64)
-        self.single = (self.words + models.alpha) / (total + models.alpha * len(self.words))
-
-    def __call__(self, chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text, and its summed losses [text, background and target]."""
-        found, number, cell = _numbered(chunk, self.vocabulary, self.models.cells)
-        sums = np.zeros((len(chunk), 2))
-        after = np.flatnonzero(cell >= 0)
-        for model in (0, 1):
-            chance = self.single[number, model]
-            context = self.words[number[after - 1], model]
-            together = np.minimum(self.pairs[cell[after], model], context)
-            prior = self.models.prior
-            chance[after] = (together + prior * chance[after]) / (context + prior)
-            sums[:, model] = np.bincount(found.text, -np.log2(chance), len(chunk))
-        return found.count, sums
-
-
-def _score(batches: Iterator[pa.RecordBatch], losses: Losses) -> Iterator[pa.RecordBatch]:
+    """Both models: exact counts of all bigrams, as a table of buckets, and what is broadcast.
+
+    ``vocabulary`` and ``words`` (counts, the unknown word last) are kept for a limited
+    vocabulary only.
+    """
+
+    def __init__(self, table: DataFrame, cache: Cache, words: np.ndarray | None):
+        self.table, self.cache, self.vocabulary, self.words = table, cache, cache.vocabulary, words
+
+
+def _entries(batches: Iterator[pa.RecordBatch], cache: Cache) -> Iterator[pa.RecordBatch]:
+    """Losses of frequent bigrams, and the other bigrams of each text on their way to the counts."""
+    block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+
+    def rows(ids: list[pa.Array], counts: list[np.ndarray], base: list[np.ndarray], parts: list[tuple]) -> pa.RecordBatch:
+        text, pair, word, start, n, follow = (np.concatenate(p) for p in zip(*parts))
+        bucket = cache.bucket(word, pair)
+        at, known = _find(cache.words, word)
+        # frequent words by number, which takes less room
+        word, kind = np.where(known, at.astype(np.uint64), word), start + 2 * known.astype(np.uint8)
+        out = list(_split(bucket, text, pair, word, kind, n, follow))
+        own = _pack(np.concatenate(counts), *np.concatenate(base).T)
+        columns = [
+            pa.array([*(r[0] for r in out), block % cache.buckets], pa.int32()),
+            pa.array([block] * (len(out) + 1), pa.int64()),
+            pa.array([*(r[1] for r in out), None], pa.binary()),
+            pa.array([*([None] * len(out)), pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64())),
+            pa.array([*([None] * len(out)), own], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, _names(_SCORED))
+
+    ids, counts, base, parts, size, texts = [], [], [], [], 0, 0
     for batch in batches:
         for chunk in W.chunks(batch.column("text")):
-            tokens, sums = losses(chunk)
-            means = sums / np.maximum(tokens, 1)[:, None]
-            none = tokens == 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(chunk.first, len(chunk)),
-                    pa.array(tokens.astype(np.int64)),
-                    pa.array(means[:, 1], mask=none),
-                    pa.array(means[:, 0], mask=none),
-                    pa.array(means[:, 1] - means[:, 0], mask=none),
-                ],
-                ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-
-def train(docs: DataFrame, *, target: str, text: str = "text", models: Models = Models()) -> Losses:
+            found, word, pair, start = cache.tokens(chunk)
+            follow = np.append(~start[1:], False)[: len(start)]
+            keyed = W.mix(pair + W.mix(found.text.astype(np.uint64)))
+            _, first, place = np.unique(keyed, return_index=True, return_inverse=True)
+            n, follow = np.bincount(place, None, len(first)), np.bincount(place, follow, len(first))
+            text, word, pair, start = found.text[first], word[first], pair[first], start[first]
+            sums = np.zeros((len(chunk), 2))
+            rest = np.ones(len(first), bool)
+            at, hot = _find(cache.pairs, pair)
+            if hot.any():
+                seen = cache.pair_counts[at[hot]]
+                bits = cache.bits(seen[:, :2], seen[:, 2:], start[hot], n[hot], follow[hot])
+                sums = np.stack([np.bincount(text[hot], bits[:, i], len(chunk)) for i in (0, 1)], axis=1)
+                rest = ~hot
+            ids.append(batch.column("doc_id").slice(chunk.first, len(chunk)))
+            counts.append(found.count.astype(np.int64))
+            base.append(sums)
+            kinds = (np.uint32, np.uint64, np.uint64, np.uint8, np.uint32, np.uint32)
+            columns = (text + texts, pair, word, start, n, follow)
+            parts.append(tuple(c[rest].astype(k) for c, k in zip(columns, kinds)))
+            size, texts = size + len(chunk.data), texts + len(chunk)
+            if size >= SCORE_BYTES:
+                yield rows(ids, counts, base, parts)
+                ids, counts, base, parts, size, texts, block = [], [], [], [], 0, 0, block + 1
+    if parts:
+        yield rows(ids, counts, base, parts)
+
+
+def _lookup(entries: pa.Table, table: pa.Table, cache: Cache) -> pa.Table:
+    """Losses of the entries of a bucket, summed by text, block by block."""
+    pair, word, *counts = _join(table.column("counts"), np.uint64, np.uint64, np.int64, np.int64)
+    counts = np.stack(counts, axis=1)
+    known, place = np.unique(word, return_inverse=True)
+    sums = np.stack([np.bincount(place, counts[:, i], len(known)) for i in (0, 1)], axis=1)
+    out = []
+    for payload in entries.column("entries"):
+        if not payload.is_valid:
+            out.append(None)
+            continue
+        kinds = (np.uint32, np.uint64, np.uint64, np.uint8, np.uint32, np.uint32)
+        text, wanted, words, kind, n, follow = _unpack(payload.as_py(), *kinds)
+        seen, beside = np.zeros((len(text), 2)), np.zeros((len(text), 2))
+        for keys, values, key, into in ((pair, counts, wanted, seen), (known, sums, words, beside)):
+            at, there = _find(keys, key)
+            into[there] = values[at[there]]
+        numbered = kind >= 2
+        beside[numbered] = cache.word_counts[words[numbered].astype(np.int64)]
+        bits = cache.bits(seen, beside, kind % 2 > 0, n.astype(np.float64), follow.astype(np.float64))
+        texts, place = np.unique(text, return_inverse=True)
+        out.append(_pack(texts, *(np.bincount(place, bits[:, i], len(texts)).astype(np.float32) for i in (0, 1))))
+    names = _names(_SUMS)
+    return pa.table([*(entries.column(c) for c in names[:2]), pa.array(out, pa.binary()), *(entries.column(c) for c in names[3:])], names)
+
+
+def _finish(table: pa.Table) -> pa.Table:
+    """Scores of the texts of a block."""
+    table = table.sort_by("bucket")
+    (row,) = [r for r in zip(table.column("doc_id"), table.column("base")) if r[1].is_valid]
+    tokens, background, target = _unpack(row[1].as_py(), np.int64, np.float64, np.float64)
+    sums = [background.copy(), target.copy()]
+    text, *more = _join(table.column("sums"), np.uint32, np.float32, np.float32)
+    for model in (0, 1):
+        sums[model] += np.bincount(text, more[model], len(tokens))
+    none = tokens == 0
+    means = [s / np.maximum(tokens, 1) for s in sums]
+    columns = [row[0].values, pa.array(tokens), *(pa.array(m, mask=none) for m in (means[1], means[0], means[1] - means[0]))]
+    return pa.table(columns, _names(_SCORES))
+
+
+def train(
+    docs: DataFrame,
+    *,
+    target: str,
+    text: str = "text",
+    models: Models = Models(),
+    unflagged: DataFrame | None = None,
+) -> Losses:
     """Count both models: the background over all documents, the target over those whose
-    boolean column ``target`` is true."""
+    boolean column ``target`` is true.  ``unflagged`` are the same documents, if they are
+    cheaper to read without ``target``.
+
+    The counts of all bigrams are a table in the shared folder, in buckets whose number follows
+    the corpus; those of a word are the sum of the bigrams it ends.
+    """
     body = F.col(f"`{text}`").alias("text")
-    words = docs.select(body).mapInArrow(_count_words, "word long, count long")
-    words = words.groupBy("word").agg(F.sum("count").alias("count"))
-    top = words.orderBy(F.desc("count"), "word").limit(models.vocabulary).select("word")
-    vocabulary = np.sort(top.toArrow().column("word").to_numpy().view(np.uint64))
-
-    flagged = docs.select(body, F.coalesce(F.col(f"`{target}`").cast("boolean"), F.lit(False)).alias("target"))
-    schema = "block int, counts binary"
-    counts = flagged.mapInArrow(lambda batches: _count_ngrams(batches, vocabulary, models.cells), schema)
-    summed = counts.repartition("block").mapInArrow(_sum_blocks, schema)
-    size = len(vocabulary) + 1 + models.cells
-    table = np.zeros((-(-size // BLOCK), BLOCK * 2), np.float32)
-    for batch in materialise(summed, "ngram-counts").toArrow().to_batches():
-        for block, own in zip(batch.column("block").to_pylist(), batch.column("counts")):
-            table[block] = np.frombuffer(own.as_py(), np.float32)
-    return Losses(vocabulary, table.reshape(-1, 2)[:size], models)
+    own = F.coalesce(F.col(f"`{target}`").cast("boolean"), F.lit(False)).alias("target")
+    counted = (docs if unflagged is None else unflagged).select(body).mapInArrow(_count_words, "word long, count long")
+    counted = materialise(counted.groupBy("word").agg(F.sum("count").alias("count")), "word-counts")
+    size, total = counted.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    vocabulary = None
+    if models.vocabulary is None:
+        hot = counted.where(F.col("count") * HOT_WORDS > total).select("word").toArrow()
+        hot = np.sort(hot.column("word").to_numpy().view(np.uint64))
+    else:
+        top = counted.orderBy(F.desc("count"), "word").limit(models.vocabulary).select("word").toArrow()
+        vocabulary = np.sort(top.column("word").to_numpy().view(np.uint64))
+        size, hot = len(vocabulary), np.sort(np.append(vocabulary, UNKNOWN))
+    totals = np.array([total, 0], np.float64)
+    cache = Cache(models, max(1, -(-total // BUCKET)), size, totals, vocabulary, hot, np.zeros((len(hot), 2)))
+    shared = docs.sparkSession.sparkContext.broadcast(cache)
+    entries = docs.select(body, own).mapInArrow(lambda batches: _count_pairs(batches, shared.value), _ENTRIES)
+    table = entries.groupBy("bucket").applyInArrow(lambda own: _sum_pairs(own, shared.value), _TABLE)
+    table = materialise(table, "bigram-counts")
+
+    kinds = (np.uint64, np.uint64, *[np.int64] * 4)
+    keys, _, *counts = _join(table.where("bucket < 0").select("hot").toArrow().column("hot"), *kinds)
+    counts = np.stack(counts[:2], axis=1).astype(np.float64)
+    at, there = _find(hot, keys)
+    cache.word_counts[at[there]] = counts[there]
+    cache.totals = counts[keys == ALL].sum(axis=0)
+    pairs, words, *counts = _join(table.where("bucket >= 0").select("hot").toArrow().column("hot"), *kinds)
+    counts = np.stack(counts, axis=1).astype(np.float64)
+    at, there = _find(hot, words)
+    counts[there, 2:] = cache.word_counts[at[there]]
+    order = np.argsort(pairs)
+    cache.pairs, cache.pair_counts = pairs[order], counts[order]
+    words = None
+    if vocabulary is not None:
+        words = cache.word_counts[[*np.searchsorted(hot, vocabulary), np.searchsorted(hot, UNKNOWN)]]
+    return Losses(table.where("bucket >= 0").select("bucket", "counts"), cache, words)
 
 
 def score_documents(
@@ -165,13 +362,14 @@ def score_documents(
     ``background_loss`` in bits per token, and ``score``, target minus background (low is like
     the target).
 
-    Tokens are words, A-Z as a-z.  A null, empty or blank text has no tokens and null losses;
-    repeated rows get equal scores; an empty table gives an empty result; other columns are not
-    read.
+    Tokens are words, A-Z as a-z.  Bigrams that are not broadcast go, once per text, to the
+    bucket that holds their counts and those of their last word; sums come back.  A null, empty
+    or blank text has no tokens and null losses; repeated rows get equal scores; an empty table
+    gives an empty result; other columns are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(losses)
+    shared = docs.sparkSession.sparkContext.broadcast(losses.cache)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(
-        lambda batches: _score(batches, model.value),
-        "doc_id long, n_tokens long, target_loss double, background_loss double, score double",
-    )
+    entries = rows.mapInArrow(lambda batches: _entries(batches, shared.value), _SCORED)
+    sums = entries.groupBy("bucket").cogroup(losses.table.groupBy("bucket"))
+    sums = sums.applyInArrow(lambda own, table: _lookup(own, table, shared.value), _SUMS)
+    return sums.groupBy("block").applyInArrow(_finish, _SCORES)

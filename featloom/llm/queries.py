@@ -47,7 +47,7 @@ def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
     labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("labelled")).agg(good)
     flagged = docs.join(labels.hint("merge"), F.col("doc_id") == F.col("labelled"), "left")
-    return score_documents(docs, train(flagged, target="good"))
+    return score_documents(docs, train(flagged, target="good", unflagged=docs))
 
 
 @query

@@ -76,3 +76,45 @@ def test_held_out_accuracy(spark):
 def test_empty_table(spark):
     docs = empty(spark).withColumn("target", F.lit(True))
     assert score_documents(docs, train(docs, target="target", models=Models(cells=1 << 12))).count() == 0
+
+
+def test_default_models_keep_every_word_and_bigram(spark, monkeypatch):
+    """More distinct words and bigrams than any fixed table would tell apart, in several buckets and blocks."""
+    from featloom.llm import lmscore
+
+    monkeypatch.setattr(lmscore, "BUCKET", 1 << 15)
+    random = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{w}" for w in random.integers(0, 1 << 30, 1000)) + " and so on", i % 3 == 0) for i in range(120)]
+    rows += [(i, rows[i - 500][1], False) for i in range(500, 510)] + [(600, "and so on", True), (601, None, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
+    models = Models(cells=1 << 10)
+    losses = train(docs, target="target", models=models)
+    assert losses.cache.size > 1 << 16 and losses.cache.buckets > 1
+    got = {r.doc_id: r for r in score_documents(docs, losses).collect()}
+    assert len(got) == len(rows)
+    texts = {r[0]: tokens(r[1]) for r in rows}
+    single = Counter(w for t in texts.values() for w in t)
+    pairs = Counter(p for t in texts.values() for p in zip(t, t[1:]))
+    total = sum(single.values())
+    for doc_id, text in texts.items():
+        bits = 0.0
+        for i, w in enumerate(text):
+            p = (single[w] + models.alpha) / (total + models.alpha * (len(single) + 1))
+            if i:
+                p = (pairs[text[i - 1], w] + models.prior * p) / (single[text[i - 1]] + models.prior)
+            bits -= math.log2(p)
+        assert got[doc_id].n_tokens == len(text)
+        if text:
+            assert got[doc_id].background_loss == pytest.approx(bits / len(text), rel=1e-6)
+
+
+def test_unseen_words_and_bigrams(spark):
+    docs = spark.createDataFrame([(1, "a b a b c", True), (2, "a c", False)], "doc_id long, text string, target boolean")
+    models = Models()
+    losses = train(docs, target="target", models=models)
+    other = spark.createDataFrame([(9, "c a z b")], "doc_id long, text string")
+    (r,) = score_documents(other, losses).collect()
+    single = {"a": 3, "b": 2, "c": 2, "z": 0}
+    p = {w: (n + models.alpha) / (7 + models.alpha * 4) for w, n in single.items()}
+    chances = [p["c"], models.prior * p["a"] / (2 + models.prior), models.prior * p["z"] / (3 + models.prior), p["b"]]
+    assert r.background_loss == pytest.approx(-sum(map(math.log2, chances)) / 4, rel=1e-5)
