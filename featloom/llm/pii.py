@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.llm import bitmap
@@ -30,7 +30,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _FOUND = (
     "doc_id long, content long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-    "spans array<struct<kind:int,start:int,end:int>>, beside array<struct<entity:long,term:long,context:long>>"
+    "spans array<struct<kind:int,start:int,end:int>>, beside array<struct<entity:long,context:long>>, terms array<long>"
 )
 
 
@@ -38,17 +38,22 @@ _FOUND = (
 class Disclosure:
     """When a term gives an entity away.
 
-    A term is seen with an entity if it stands within ``reach`` words of it.  It discloses the
-    entity if that is so in ``support`` different contexts and if little uncertainty is left
-    where the term occurs: -log2 P(entity | term), with documents counted over the whole
-    corpus, of at most ``remove_bits`` (the term is removed) or ``generalise_bits`` (it is
-    replaced by a placeholder).  Copies of one text are one context, so they disclose nothing.
+    Entities are the values of personal data and its kinds; a term is seen with those of all
+    documents that hold it.  It discloses an entity if little uncertainty is left where it
+    occurs: -log2 P(entity | term) of at most ``remove_bits`` (the term is removed) or
+    ``generalise_bits`` (it is replaced by a placeholder), and at least ``gain_bits`` less than
+    -log2 P(entity).  P(entity | term) is the share of the documents with the term, smoothed by
+    P(entity) with the weight ``prior`` against the number of different contexts (``reach``
+    words on both sides of the entity): copies of one text are one context.  Pairs of fewer than ``support`` contexts are left out:
+    two are the least, since every rare word of a single context would disclose.
     """
 
     reach: int = 6
-    support: int = 5
+    support: int = 2
     remove_bits: float = 0.25
     generalise_bits: float = 0.5
+    prior: float = 0.5
+    gain_bits: float = 1.0
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -92,9 +97,9 @@ def _entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _contexts(texts: list[str], spans: list[list], reach: int) -> list[list[dict]]:
-    """Terms beside each entity, with a hash of all of its context."""
-    out: list[list[dict]] = [[] for _ in texts]
+def _contexts(texts: list[str], spans: list[list], reach: int) -> list[tuple[list[dict], np.ndarray]]:
+    """Entities of each text with a hash of the context of one place, and its different terms."""
+    out: list[tuple[list[dict], np.ndarray]] = []
     for chunk in W.chunks(pa.array(texts, pa.string())):
         found = W.words(chunk, lower=True, apart=PUNCTUATION)
         for i in range(len(chunk)):
@@ -105,14 +110,17 @@ def _contexts(texts: list[str], spans: list[list], reach: int) -> list[list[dict
             free = np.ones(len(starts), bool)
             for low, high in places:
                 free[np.searchsorted(ends, low, "right") : np.searchsorted(starts, high)] = False
+            places_of: dict[int, int] = {}
             for (kind, a, b), (low, high) in zip(spans[row], places):
                 before = np.flatnonzero(free[: np.searchsorted(ends, low, "right")])[-reach:]
                 behind = np.searchsorted(starts, high)
                 after = behind + np.flatnonzero(free[behind : behind + 4 * reach])[:reach]
                 terms = hashes[np.concatenate([before, after])]
                 context = W.signed(W.mix(np.array([(terms * W._SLOT[: len(terms)]).sum()], np.uint64)))[0] if len(terms) else 0
-                entity = _entity(kind, texts[row][a:b])
-                out[row] += [{"entity": entity, "term": int(t), "context": int(context)} for t in W.signed(np.unique(terms))]
+                for entity in (_entity(kind, texts[row][a:b]), _entity(kind, "")):
+                    places_of[entity] = min(places_of.get(entity, int(context)), int(context))
+            own = [{"entity": e, "context": c} for e, c in places_of.items()]
+            out.append((own, W.signed(np.unique(hashes[free]))))
     return out
 
 
@@ -123,12 +131,14 @@ def _detect(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.Record
     kinds = [pa.int64()] * 6 + [
         pa.string(),
         pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])),
-        pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])),
+        pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())])),
+        pa.list_(pa.int64()),
     ]
     for batch in W.slices(batches):
         n = batch.num_rows
         spans: list[list] = [[] for _ in range(n)]
         beside: list[list] = [[] for _ in range(n)]
+        terms: list = [[] for _ in range(n)]
         column = batch.column("text")
         for chunk in W.chunks(column):
             marks = np.concatenate([[0], np.cumsum(wanted[chunk.data])])
@@ -139,14 +149,14 @@ def _detect(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.Record
                 spans[row] = own
             some = [k for k, own in enumerate(found) if own]
             for k, own in zip(some, _contexts([texts[k] for k in some], [found[k] for k in some], reach)):
-                beside[rows[k]] = own
+                beside[rows[k]], terms[rows[k]] = own
         counts = np.zeros((n, 4), np.int64)
         for row, own in enumerate(spans):
             for kind, _, _ in own:
                 counts[row, kind] += 1
         base = [",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in own) for own in spans]
         structs = [[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in spans]
-        columns = [batch.column("doc_id"), batch.column("content"), *counts.T, base, structs, beside]
+        columns = [batch.column("doc_id"), batch.column("content"), *counts.T, base, structs, beside, terms]
         yield pa.RecordBatch.from_arrays(
             [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)],
             fields,
@@ -188,15 +198,25 @@ def _place_terms(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterato
 def _disclosing(docs: DataFrame, found: DataFrame, rules: Disclosure) -> DataFrame:
     """``term`` and ``removed`` (else generalised) of all terms above a threshold."""
     spark = docs.sparkSession
-    beside = found.select("doc_id", "content", F.explode("beside").alias("b")).select("doc_id", "content", "b.*")
-    contexts = beside.groupBy("entity", "term", "context").agg(F.count_distinct("doc_id", "content").alias("docs"))
+    beside = found.where(F.size("beside") > 0).select("terms", F.explode("beside").alias("b")).select("b.*", "terms")
+    entities = beside.groupBy("entity").agg((F.count("*") / F.lit(max(found.count(), 1))).alias("before"))
+    contexts = beside.select("entity", "context", F.explode("terms").alias("term"))
+    contexts = contexts.groupBy("entity", "term", "context").agg(F.count("*").alias("docs"))
     pairs = contexts.groupBy("entity", "term").agg(F.sum("docs").alias("together"), F.count("*").alias("contexts"))
-    pairs = materialise(pairs.where(F.col("contexts") >= rules.support).drop("contexts"), "term-pairs")
+    pairs = pairs.where(F.col("contexts") >= rules.support).join(entities, "entity")
+
+    def smoothed(share: Column) -> Column:
+        return (share * F.col("contexts") + rules.prior * F.col("before")) / (F.col("contexts") + rules.prior)
+
+    # no other pair can pass, in however few documents the term is
+    gained = -F.log2("before") - rules.gain_bits
+    possible = -F.log2(smoothed(F.lit(1.0))) <= F.least(F.lit(rules.generalise_bits), gained)
+    pairs = materialise(pairs.where(possible), "term-pairs")
     bits = spark.sparkContext.broadcast(bitmap.build(pairs, "term"))
     counts = docs.mapInArrow(lambda batches: _count_terms(batches, bits.value), "term long, docs long")
     counts = counts.groupBy("term").agg(F.sum("docs").alias("docs"))
-    left = -F.log2(F.least(F.col("together") / F.col("docs"), F.lit(1.0)))
-    flagged = pairs.join(counts, "term").where(left <= rules.generalise_bits)
+    left = -F.log2(smoothed(F.least(F.col("together") / F.col("docs"), F.lit(1.0))))
+    flagged = pairs.join(counts, "term").where(left <= F.least(F.lit(rules.generalise_bits), gained))
     flagged = flagged.groupBy("term").agg(F.max(left <= rules.remove_bits).alias("removed"))
     return materialise(flagged, "disclosing-terms")
 
@@ -223,9 +243,9 @@ def personal_data(
     ``kind:start:end``, in code points), ``spans`` (struct of kind, start, end; kind 4 and 5
     are terms to generalise and to remove).
 
-    Terms next to personal data are counted with it, per context and over all documents; the
-    few pairs that have support are counted in all texts through a filter of fixed size, and
-    only terms above the threshold are looked up again.  Texts are never shuffled.  Terms
+    The terms of documents with personal data are counted with it, per context; the pairs that
+    can reach a threshold are counted in all texts through a filter of fixed size, and only
+    terms above the threshold are looked up again.  Texts are never shuffled.  Terms
     inside personal data add no span.  A null or empty text has no spans; rows equal in id and
     text have equal spans; an empty table gives an empty result; other columns are not read.
     """
@@ -245,7 +265,7 @@ def personal_data(
     same = F.col("doc_id").eqNullSafe(F.col("id of terms")) & (F.col("content") == F.col("content of terms"))
     free = "filter(terms, t -> NOT exists(spans, s -> s.start < t.end AND t.start < s.end))"
     spans = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", F.array_sort(F.expr(free))))
-    return found.drop("beside").join(terms, same, "left").select(
+    return found.drop("beside", "terms").join(terms, same, "left").select(
         "doc_id",
         "content",
         *(f"n_{k}" for k in KINDS),

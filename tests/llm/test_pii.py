@@ -116,3 +116,17 @@ def test_digest(spark):
     for r in rows:
         base = ",".join(s for s in r.spans.split(",") if not s.startswith("term"))
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_rare_entities_are_disclosed_too(spark):
+    """An entity of three documents, and a term that stands far from it in each of them."""
+    far = " ".join(f"filler{i % 9}" for i in range(40))
+    rows = [(i, f"Quillfeather {far} then number {i} of those who ask bo@z.org for more {i}") for i in range(3)]
+    rows += [(100 + i, f"{far} then number {i} of those who ask for more") for i in range(40)]
+    rows += [(200 + i, f"copy of Wombatson {far} written by al@z.org") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind > 3] for r in personal_data(docs).collect()}
+    assert "Quillfeather" in found[1]
+    assert not {"filler1", "then", "ask"} & set(found[1]), "common words reveal nothing"
+    assert found[203] == [], "copies are one context"
