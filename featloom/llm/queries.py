@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featloom.llm import secrets
+from featloom.llm.divergence import source_divergence
 from featloom.llm.html import extract_text, learn_weights
 from featloom.llm.lattice import embedding_groups
 from featloom.llm.linededup import dedup_lines
@@ -17,6 +19,7 @@ from featloom.llm.packing import pack_documents
 from featloom.llm.pii import personal_data
 from featloom.llm.quality import line_frequency_rules
 from featloom.llm.sharding import shard_records
+from featloom.llm.trie import prefix_trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -189,3 +192,144 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal weight, and in nine."""
     shards = shard_records(read(spark, sf_dir, "documents"), [1.0] * 8, grown=[1.0] * 9)
     return shards.withColumn("law", F.lit("key"))
+
+
+@query
+def op11_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, and weak parts of credentials that complete each other."""
+    found = secrets.linked_secrets(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(f"n_{kind}" for kind in secrets.BASE),
+        F.sha2(F.encode(secrets.listed(F.col("spans"), base=True), "UTF-8"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans"), base=False).alias("spans"),
+    )
+
+
+def _matches(kind: str, pattern: str, group: int) -> str:
+    """SQL for the matches of a pattern: text between matches and running lengths give positions."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+SELECT id, k, whole, value, CAST(sum(gap + length(whole)) OVER (PARTITION BY id ORDER BY i) AS BIGINT) AS e
+FROM (SELECT id, '{kind}' AS k, i, w[i] AS whole, v[i] AS value, length(g[i]) AS gap FROM (
+  SELECT id, regexp_extract_all(t, '{pattern}') AS w, regexp_extract_all(t, '{pattern}', {group}) AS v,
+    string_split_regex(t, '{pattern}') AS g, unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS i FROM d))"""
+
+
+def _secrets_sql() -> str:
+    least = " ".join(f"WHEN '{kind}' THEN {n}" for kind, (_, _, n) in secrets.BASE.items())
+    base = " UNION ALL ".join(_matches(kind, pattern, group) for kind, (pattern, group, _) in secrets.BASE.items())
+    kinds = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    endpoint, identifier = (p.replace("'", "''") for p in (secrets.ENDPOINT, secrets.IDENTIFIER))
+    near = f"""EXISTS (SELECT 1 FROM p WHERE p.id = w.id AND p.scope = w.scope AND p.k IN ({{}})
+      AND (p.e BETWEEN w.s - {secrets.REACH} AND w.s OR p.s BETWEEN w.e AND w.e + {secrets.REACH}))"""
+    what, who = near.format("'assign', 'hex', 'credential'"), near.format("'access', 'identifier'")
+    both = near.format("'access', 'identifier', 'endpoint'")
+    order = f"list_position([{kinds}], k)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents
+), base AS (SELECT id, k, e - length(whole) AS s, e FROM ({base}) WHERE length(value) >= CASE k {least} END
+), raw AS ({_matches("weak", secrets.WEAK, 0)}
+), weak AS (
+  SELECT id, e - length(whole) AS s, e, CASE
+    WHEN whole LIKE chr(10) || '%' THEN 'border'
+    WHEN regexp_matches(whole, '^(?:{endpoint})') THEN 'endpoint'
+    WHEN regexp_matches(whole, '^(?:{identifier})') THEN 'identifier'
+    WHEN regexp_matches(whole, '[0-9]') AND regexp_matches(whole, '[A-Z]') AND regexp_matches(whole, '[a-z]') THEN 'credential' END AS k
+  FROM raw
+), parts AS (
+  SELECT id, k, s, e FROM base UNION ALL
+  SELECT id, k, s, e FROM weak w WHERE k <> 'border' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.id = w.id AND b.s < w.e AND b.e > w.s)
+), p AS (
+  SELECT parts.id, parts.k, parts.s, parts.e, count(b.s) AS scope
+  FROM parts LEFT JOIN weak b ON b.id = parts.id AND b.k = 'border' AND b.s <= parts.s GROUP BY ALL
+), spans AS (
+  SELECT id, k, s, e FROM base UNION ALL
+  SELECT id, k, s, e FROM p w WHERE (k = 'identifier' AND {what}) OR (k = 'credential' AND {both})
+    OR (k = 'endpoint' AND {who} AND {what})
+)
+SELECT doc_id, count(*) FILTER (k = 'assign') AS n_assign, count(*) FILTER (k = 'access') AS n_access,
+  count(*) FILTER (k = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(concat_ws(':', k, s, e), ',' ORDER BY s, {order}) FILTER (k IN ('assign', 'access', 'hex')), '')) AS base_sha256,
+  coalesce(string_agg(concat_ws(':', k, s, e), ',' ORDER BY s, {order}) FILTER (k IS NOT NULL), '') AS spans
+FROM d LEFT JOIN spans USING (id) GROUP BY d.id, doc_id
+"""
+
+
+ORACLES["op11_linked_secrets"] = _secrets_sql()
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY k) AS turns FROM t GROUP BY conv_id
+), h AS (
+  SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b)
+    WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 6 AS h
+  FROM o
+), b AS (
+  SELECT h.conv_id, list_concat(coalesce(o.turns[1:h], []), h.turns[h + 1:]) AS path
+  FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 100
+), m AS (
+  SELECT conv_id, len(path) AS size, d, path[1:d] AS node FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM b)
+), n AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '') AS ends
+  FROM m GROUP BY node, d
+), f AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM n c WHERE c.d = n.d + 1 AND c.node[1:n.d] = n.node) AS n_children,
+    CASE WHEN n.d > 0 THEN (n.n_convs - 1) * length(n.node[n.d].x) ELSE 0 END AS saved
+  FROM n LEFT JOIN n p ON p.d = n.d - 1 AND n.node[1:n.d - 1] = p.node
+)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, a.parent_conv_id, a.n_convs, a.n_children,
+  count(*) FILTER (c.n_children = 0) AS n_leaves, CAST(sum(c.saved) AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM f a JOIN f c ON c.d >= a.d AND c.node[1:a.d] = a.node
+GROUP BY a.node, a.conv_id, a.d, a.parent_conv_id, a.n_convs, a.n_children, a.ends
+"""
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of all documents, by language."""
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), o AS (SELECT id, lang, source, unnest(t) AS term FROM d
+), k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang
+), c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT s.lang, s.source, coalesce(v, 0) AS v, coalesce(sum(n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v) AS p
+  FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(total) + any_value(v)) AS q
+  FROM p JOIN (SELECT lang, any_value(v) AS v, sum(total) AS total FROM g GROUP BY lang) USING (lang) GROUP BY lang, term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 200
+"""
