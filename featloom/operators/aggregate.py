@@ -9,7 +9,8 @@ from collections.abc import Collection, Iterable
 
 from featloom.functions import quote
 from featloom.operators.compose import Transform
-from featloom.plans.grouping import STATISTICS, Slice, grouped_statistics, row_count, statistic
+from featloom.plans.grouping import GROUPING_SET, STATISTICS, Slice, grouped_statistics, row_count, statistic
+from featloom.plans.storage import materialise
 from featloom.schema import Attribute, Column, Table
 
 # Statistics that can only be null if the aggregated column holds nulls.
@@ -20,18 +21,22 @@ _AS_COMPLETE_AS_INPUT = {"max", "mean", "median", "min"}
 class Aggregate(Transform):
     """Group by some of the pivotable columns and summarise all numeric columns.
 
-    Tables over the same frame that are grouped by the same columns (a table and its
-    filters, for example) share one aggregate plan.
+    Tables over the same frame (a table and its filters, for example) share one aggregate plan,
+    and so do all combinations of pivots: one scan and one shuffle, written down once if there
+    are several combinations, because every combination is a frame of its own.
 
     :param is_pivotable: Columns that may be grouped by.
     :param max_pivots: Largest number of columns to group by together.
     :param row_limit: Largest group whose medians one task may compute; by default it depends
         on the number of medians.
+    :param exact: Whether medians are exact, or those of sketches that are combined before rows
+        are shuffled (see ``SKETCH_ERROR``).
     """
 
     is_pivotable: Collection[str | Column]
     max_pivots: int = 1
     row_limit: int | None = None
+    exact: bool = True
 
     def apply(self, tables: Iterable[Table]) -> Iterable[Table]:
         requests = [
@@ -58,22 +63,32 @@ class Aggregate(Transform):
 
     def _grouped(self, requests: list["_Request"]) -> list[Table]:
         first = requests[0]
-        prefixes = [""] if len(requests) == 1 else [f"{i}: " for i in range(len(requests))]
+        sets = list(dict.fromkeys(r.names for r in requests))
+        tables = list({id(r.table): r.table for r in requests}.values())
+        prefixes = {id(t): f"{i}: " if len(tables) > 1 else "" for i, t in enumerate(tables)}
         # rows that no table wants are filtered in the scan
-        wanted = {r.table.where for r in requests}
+        wanted = {t.where for t in tables}
         alike = len(wanted) == 1
         frame = first.table.frame
         if None not in wanted:
             frame = frame.where(" OR ".join(f"({w})" for w in sorted(wanted)))
         grouped = grouped_statistics(
             frame,
-            {c.name: first.table.expr(c) for c in first.pivots},
+            {c.name: first.table.expr(c) for r in requests for c in r.pivots},
             {c.name: first.table.expr(c) for c in first.measured},
-            [Slice(prefix, None if alike else r.table.where) for prefix, r in zip(prefixes, requests)],
+            [Slice(prefixes[id(t)], None if alike else t.where) for t in tables],
             row_limit=self.row_limit,
             checked_rows=first.table.max_rows,
+            sets=sets if len(sets) > 1 else None,
+            exact=self.exact,
         )
-        return [self._result(r, grouped, p, fused=not alike) for r, p in zip(requests, prefixes)]
+        frames = {sets[0]: grouped}
+        if len(sets) > 1:
+            stored = materialise(grouped, "grouping-sets")
+            own = {chosen: stored.where(f"{quote(GROUPING_SET)} = {j}") for j, chosen in enumerate(sets)}
+            unset = {chosen: [p for p in stored.columns if p == GROUPING_SET or (p in first.pivotable and p not in chosen)] for chosen in sets}
+            frames = {chosen: own[chosen].drop(*unset[chosen]) for chosen in sets}
+        return [self._result(r, frames[r.names], prefixes[id(r.table)], fused=not alike) for r in requests]
 
     def _result(self, request: "_Request", grouped, prefix: str, *, fused: bool) -> Table:
         table = request.table
@@ -121,6 +136,8 @@ class _Request:
         names = {c.name for c in pivotable}
         self.table = table
         self.pivots = pivots
+        self.names = tuple(c.name for c in pivots)
+        self.pivotable = {c.name: table.expr(c) for c in pivotable}
         self.measured = [
             c
             for c in table.columns
@@ -129,9 +146,9 @@ class _Request:
 
     @property
     def signature(self) -> tuple:
-        """Requests with equal signatures differ only in the rows they aggregate."""
+        """Requests with equal signatures differ only in their rows and in the pivots they choose."""
         return (
             id(self.table.frame),
-            tuple((c.name, self.table.expr(c)) for c in self.pivots),
+            tuple(self.pivotable.items()),
             tuple((c.name, self.table.expr(c)) for c in self.measured),
         )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from featloom.functions import quote
 from featloom.plans.profile import is_floating
-from featloom.plans.quantiles import default_row_limit, hot_quantiles, percentile_sql, split_by_heat
+from featloom.plans.quantiles import default_row_limit, hot_quantiles, percentile_sql, sketch_sql, split_by_heat
 from featloom.plans.skew import find_hot_groups
 from featloom.plans.storage import materialise
 
@@ -19,6 +19,12 @@ from featloom.plans.storage import materialise
 # slices are aggregated one below the other instead: same scan, shuffle and results.
 FILTER_COLUMNS = 100
 
+# Column with the number of the grouping set.
+GROUPING_SET = "grouping set"
+
+# Bits of a limb of a wide sum.
+LIMB_BITS = 21
+
 # Statistics per numeric column, in the order in which feature tables list them.
 STATISTICS = ("max", "mean", "median", "min", "std", "sum", "var")
 
@@ -48,6 +54,8 @@ def grouped_statistics(
     *,
     row_limit: int | None = None,
     checked_rows: int | None = None,
+    sets: Sequence[Collection[str]] | None = None,
+    exact: bool = True,
 ) -> DataFrame:
     """Row count and all statistics of each value column, per key and slice of the rows.
 
@@ -57,13 +65,22 @@ def grouped_statistics(
     While every group fits into a task the rows are shuffled once by key and aggregated
     there completely: partial medians save nothing and would force a sort on both sides.
     If some group is too large, everything but the medians is combined before the
-    shuffle, and the medians of the large groups are found by distributed narrowing.
+    shuffle, and the medians of the large groups are found by radix selection.
+
+    Several sets of keys are grouping sets: a row is repeated per set behind the one scan, with
+    the number of the set in ``GROUPING_SET`` and null for the keys that the set lacks, which that
+    number tells from null keys.
+
+    Without ``exact`` the medians are those of mergeable sketches, so every statistic is combined
+    before the shuffle, whatever the size of a group; ranks err by ``SKETCH_ERROR`` of its rows.
 
     :param keys: Key name → SQL expression over ``frame``.
     :param values: Column name → SQL expression over ``frame``.
     :param slices: Row subsets, as SQL predicates over ``frame``.
     :param row_limit: Largest group whose medians one task may compute.
     :param checked_rows: Known upper bound of the number of rows, if any.
+    :param sets: Sets of key names to group by; all keys together if absent.
+    :param exact: Whether medians are exact.
     """
     key_names = list(keys)
     rows = frame.selectExpr(
@@ -72,6 +89,10 @@ def grouped_statistics(
         *(f"({s.where}) AS {quote(f'slice {j}')}" for j, s in enumerate(slices) if s.where is not None),
     )
     kinds = [rows.schema[f"value {i}"].dataType for i in range(len(values))]
+    if sets is not None:
+        rows = _repeated(rows, key_names, sets)
+        key_names = [GROUPING_SET, *key_names]
+        checked_rows = None if checked_rows is None else checked_rows * len(sets)
     by = [F.col(quote(k)) for k in key_names]
 
     simple, finished, medians = [], [], {}
@@ -89,7 +110,7 @@ def grouped_statistics(
 
     row_limit = row_limit or default_row_limit(len(medians))
     hot = None
-    if medians and (checked_rows is None or checked_rows > row_limit):
+    if exact and medians and (checked_rows is None or checked_rows > row_limit):
         hot = find_hot_groups(rows, key_names, row_limit=row_limit)
 
     def complete(part: DataFrame) -> DataFrame:
@@ -98,7 +119,10 @@ def grouped_statistics(
         builtin = [F.expr(percentile_sql(sql, p)).alias(name) for name, (sql, p) in medians.items()]
         return part.repartition(*by).groupBy(*by).agg(*simple, *builtin)
 
-    if not medians:
+    if not exact:
+        sketched = [F.expr(sketch_sql(sql, p)).alias(name) for name, (sql, p) in medians.items()]
+        grouped = rows.groupBy(*by).agg(*simple, *sketched)
+    elif not medians:
         grouped = rows.groupBy(*by).agg(*simple)
     elif hot is None:
         grouped = complete(rows)
@@ -106,13 +130,13 @@ def grouped_statistics(
         heavy, light = split_by_heat(rows, key_names, hot)
         cold = complete(light)
         combined = heavy.groupBy(*by).agg(*simple)
-        exact = hot_quantiles(heavy, key_names, medians, largest=hot.largest, row_limit=row_limit)
-        exact = exact.withColumnsRenamed({k: f"of {k}" for k in key_names})
+        found = hot_quantiles(heavy, key_names, medians, row_limit=row_limit)
+        found = found.withColumnsRenamed({k: f"of {k}" for k in key_names})
         match = F.lit(True)
         for key in key_names:
             match = match & F.col(quote(key)).eqNullSafe(F.col(quote(f"of {key}")))
-        # a bounded number of groups on both sides
-        grouped = cold.unionByName(combined.join(F.broadcast(exact), match).drop(*(f"of {k}" for k in key_names)))
+        # one row per hot group on both sides; the engine broadcasts what is small
+        grouped = cold.unionByName(combined.join(found, match).drop(*(f"of {k}" for k in key_names)))
 
     return grouped.selectExpr(
         *(quote(k) for k in key_names),
@@ -121,6 +145,18 @@ def grouped_statistics(
     )
 
 
+def _repeated(rows: DataFrame, keys: Sequence[str], sets: Sequence[Collection[str]]) -> DataFrame:
+    """Every row once per set of keys; keys outside of the set are null."""
+    number = quote(GROUPING_SET)
+    rows = rows.select("*", F.explode(F.array(*(F.lit(j) for j in range(len(sets))))).alias(GROUPING_SET))
+    inside = {k: ", ".join(str(j) for j, chosen in enumerate(sets) if k in chosen) or "NULL" for k in keys}
+    return rows.selectExpr(
+        number,
+        *(f"CASE WHEN {number} IN ({inside[k]}) THEN {quote(k)} END AS {quote(k)}" for k in keys),
+        *(quote(c) for c in rows.columns if c not in (*keys, GROUPING_SET)),
+    )
+
+
 def _by_slice(
     rows: DataFrame,
     keys: list[str],
@@ -162,11 +198,23 @@ def _raw_statistics(x: str, kind: T.DataType, condition: str, tag: str):
     """The sums that all statistics of a column can be derived from."""
     ordered = f"nanvl({x}, NULL)" if is_floating(kind) else x
     wide = f"CAST({x} AS DOUBLE)"
-    # a sum of BIGINT may exceed BIGINT; 38 digits hold any number of them
-    total = f"sum(CAST({x} AS DECIMAL(38, 0)))" if isinstance(kind, T.LongType) else f"sum({x})"
-    parts = {"n": f"count({x})", "sum": total, "max": f"max({ordered})", "min": f"min({ordered})"}
+    parts = {"n": f"count({x})", "sum": f"sum({x})", "max": f"max({ordered})", "min": f"min({ordered})"}
     parts["var"] = f"var_samp({wide})"
-    return [F.expr(sql + condition).alias(f"{part} {tag}") for part, sql in parts.items()]
+    sums = {part: sql + condition for part, sql in parts.items()}
+    if isinstance(kind, T.LongType):
+        sums["sum"] = _wide_sum(x, condition)
+    return [F.expr(sql).alias(f"{part} {tag}") for part, sql in sums.items()]
+
+
+def _wide_sum(x: str, condition: str) -> str:
+    """Sum of BIGINT values, which may exceed BIGINT, from sums of three limbs that cannot.
+
+    Limbs of 21 bits leave room for 2**42 rows; they are put together behind the aggregate.
+    """
+    low = (1 << LIMB_BITS) - 1
+    limbs = (f"shiftright({x}, {2 * LIMB_BITS})", f"shiftright({x}, {LIMB_BITS}) & {low}L", f"{x} & {low}L")
+    worth = (1 << 2 * LIMB_BITS, 1 << LIMB_BITS, 1)
+    return " + ".join(f"CAST(sum({limb}){condition} AS DECIMAL(38, 0)) * {w}BD" for limb, w in zip(limbs, worth))
 
 
 def _derived_statistics(prefix: str, column: str, kind: T.DataType, tag: str) -> list[str]:

@@ -1,14 +1,11 @@
-"""Exact quantiles per group, also for groups that do not fit into one task.
+"""Quantiles per group, also for groups that do not fit into one task.
 
-Small groups use the built-in ``percentile`` aggregate.  Groups beyond the row limit
-are narrowed first: a mergeable sketch proposes an interval around the wanted rank,
-an exact count decides whether the rank really lies in it, and only the values inside
-remain.  The sketch decides how fast the interval shrinks, never the result.
+Small groups use the built-in ``percentile`` aggregate, groups beyond the row limit a radix
+selection over counted prefixes of their values, in a fixed number of scans.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -16,15 +13,26 @@ from pyspark.sql import functions as F
 
 from featloom.functions import quote
 from featloom.plans.skew import HotGroups, find_hot_groups
+from featloom.plans.storage import materialise
 
 # Values that one task may hold for the exact quantiles of a group, over all its targets.
 VALUE_LIMIT = 4_000_000
 
-# Accuracy of the sketches, cells of the grid they propose, and the share of values that
-# is expected to remain after one narrowing (two cells on either side, plus rounding).
-SKETCH_ACCURACY = 10_000
-GRID_CELLS = 1000
-REMAINING_SHARE = 6 / GRID_CELLS
+# Share of the rows of a group by which the rank of a sketched quantile may be off.
+SKETCH_ERROR = 1 / 10_000
+
+# Prefixes per power of two, and equal steps that a prefix is cut into.
+STEPS = 1 << 10
+CELLS = 1 << 21
+
+# Sign and binary logarithm of a value: a whole number that never decreases with the value.
+# Zero is 0, infinities and NaN (last, as Spark orders it) lie beyond all logarithms.
+PREFIX = f"""CASE WHEN isnan(value) THEN {8000 * STEPS}L
+  WHEN abs(value) = CAST('Infinity' AS DOUBLE) THEN CAST(signum(value) AS BIGINT) * {4000 * STEPS}L
+  WHEN value = 0 THEN 0L
+  WHEN value IS NOT NULL THEN CAST(signum(value) AS BIGINT) * CAST(floor((log2(abs(value)) + 1100) * {STEPS}) AS BIGINT) END"""
+
+_CELL = {"n": "count(value)", "low": "min(value)", "high": "max(value)"}
 
 
 def default_row_limit(targets: int) -> int:
@@ -37,6 +45,11 @@ def percentile_sql(sql: str, p: float, where: str | None = None) -> str:
     return f"percentile({sql}, {p!r}D){condition}"
 
 
+def sketch_sql(sql: str, p: float) -> str:
+    """A quantile from a mergeable sketch."""
+    return f"percentile_approx(CAST({sql} AS DOUBLE), {p!r}D, {round(1 / SKETCH_ERROR)})"
+
+
 def grouped_quantiles(
     frame: DataFrame,
     keys: Sequence[str],
@@ -63,10 +76,10 @@ def grouped_quantiles(
     if hot is None:
         return frame.groupBy(*by).agg(*builtin)
     if not keys:
-        return hot_quantiles(frame, keys, targets, largest=hot.largest, row_limit=row_limit)
+        return hot_quantiles(frame, keys, targets, row_limit=row_limit)
     heavy, light = split_by_heat(frame, keys, hot)
     return light.groupBy(*by).agg(*builtin).unionByName(
-        hot_quantiles(heavy, keys, targets, largest=hot.largest, row_limit=row_limit),
+        hot_quantiles(heavy, keys, targets, row_limit=row_limit),
     )
 
 
@@ -84,14 +97,20 @@ def hot_quantiles(
     keys: Sequence[str],
     targets: Mapping[str, tuple[str, float]],
     *,
-    largest: int,
     row_limit: int,
 ) -> DataFrame:
-    """Exact quantiles of a bounded number of arbitrarily large groups."""
+    """Exact quantiles of arbitrarily large groups by radix selection, for all of them together.
+
+    A value has a prefix that keeps the order: its sign and its binary logarithm in steps of
+    1 / ``STEPS``.  Counted prefixes tell where the wanted ranks lie; if too much lies there, those
+    cells are counted again in ``CELLS`` equal steps, of which one holds at most 2**21 different
+    numbers; what is left is counted value by value.  That is two scans, or three, whatever the
+    size of the groups and the number of targets, and all counts are combined before the shuffle.
+    """
     keys = list(keys)
     aliases = [f"key {i}" for i in range(len(keys))]
     group = [*aliases, "target"]
-    names = list(targets)
+    by = [F.col(quote(g)) for g in group]
     probabilities = F.array(*(F.lit(p) for _, p in targets.values()))
 
     # long form: one row per (group, target, value)
@@ -102,39 +121,38 @@ def hot_quantiles(
     rows = frame.selectExpr(
         *(f"{quote(k)} AS {quote(a)}" for k, a in zip(keys, aliases)),
         f"inline(array({values}))",
-    ).where("value IS NOT NULL")
-
-    position = (F.col("n") - 1) * F.element_at(probabilities, F.col("target") + 1)
-    bounds = (
-        rows.groupBy(*(F.col(quote(g)) for g in group))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            *(F.col(quote(g)) for g in group),
-            F.floor(position).alias("low_rank"),
-            F.ceil(position).alias("high_rank"),
-            (position - F.floor(position)).alias("fraction"),
-            F.col("n").alias("inside"),
-            F.lit(0).cast("long").alias("before"),
-            F.lit(None).cast("double").alias("lower"),
-            F.lit(None).cast("double").alias("upper"),
-        )
+    ).withColumn("prefix", F.expr(PREFIX))
+
+    counted = rows.groupBy(*by, "prefix").agg(*(F.expr(sql).alias(name) for name, sql in _CELL.items()))
+    everywhere = Window.partitionBy(*by)
+    total = F.sum("n").over(everywhere)
+    position = (total - 1) * F.element_at(probabilities, F.col("target") + 1)
+    counted = counted.withColumn("empty", total == 0).withColumn("position", position).selectExpr(
+        "empty",
+        *(quote(g) for g in group),
+        "prefix", "n", "low", "high", "0L AS base",
+        "CAST(floor(position) AS BIGINT) AS low_rank", "CAST(ceil(position) AS BIGINT) AS high_rank",
+        "position - floor(position) AS fraction",
     )
-
-    remaining = largest
-    while remaining > row_limit and remaining > 1:
-        bounds = _narrow(rows, bounds, group)
-        remaining = math.floor(remaining * REMAINING_SHARE)
-
-    # the few distinct values left inside each interval, with their exact ranks
-    inside = _within(rows, bounds, group)
-    counted = inside.groupBy(
-        *(F.col(quote(g)) for g in group), "low_rank", "high_rank", "fraction", "before", "value",
-    ).agg(F.count(F.lit(1)).alias("copies"))
-    ordered = Window.partitionBy(*(F.col(quote(g)) for g in group)).orderBy("value")
-    last = F.col("before") + F.sum("copies").over(ordered) - 1
-    ranked = counted.withColumn("last", last).withColumn("first", F.expr("last - copies + 1"))
+    cells = materialise(_wanted(counted, group, "prefix", keep="empty"), "quantile-cells")
+    groups = cells.select(*(F.col(quote(a)) for a in aliases)).distinct()  # also those without a value
+    if (cells.agg(F.max("n")).first()[0] or 0) > row_limit:
+        step = f"CASE WHEN high > low THEN CAST(floor((value - low) / (high - low) * {CELLS}) AS BIGINT) ELSE 0 END"
+        finer = _inside(rows, cells, group).withColumn("step", F.expr(step))
+        carried = ["prefix", "base", "low_rank", "high_rank", "fraction"]
+        finer = finer.groupBy(*by, *carried, "step").agg(*(F.expr(sql).alias(name) for name, sql in _CELL.items()))
+        cells = materialise(_wanted(finer, [*group, "prefix"], "step"), "quantile-cells")
+
+    # the few distinct values left inside each cell, with their exact ranks
+    inside = _inside(rows, cells, group)
+    copies = inside.groupBy(*by, "low", "base", "low_rank", "high_rank", "fraction", "value").agg(
+        F.count(F.lit(1)).alias("copies"),
+    )
+    ordered = Window.partitionBy(*by, "low").orderBy("value")
+    last = F.col("base") + F.sum("copies").over(ordered) - 1
+    ranked = copies.withColumn("last", last).withColumn("first", F.expr("last - copies + 1"))
     result = (
-        ranked.groupBy(*(F.col(quote(g)) for g in group))
+        ranked.groupBy(*by)
         .agg(
             F.expr("max(value) FILTER (WHERE low_rank BETWEEN first AND last)").alias("low"),
             F.expr("max(value) FILTER (WHERE high_rank BETWEEN first AND last)").alias("high"),
@@ -143,77 +161,34 @@ def hot_quantiles(
         .withColumn("value", F.expr("CASE WHEN low = high THEN low ELSE low * (1 - fraction) + high * fraction END"))
     )
     # back to one row per group; a group may have no value for some target
-    wide = [
-        F.expr(f"max(value) FILTER (WHERE target = {i})").alias(name) for i, name in enumerate(names)
-    ]
+    wide = [F.expr(f"max(value) FILTER (WHERE target = {i})").alias(name) for i, name in enumerate(targets)]
     if not keys:
         return result.agg(*wide)
-    groups = frame.select(*(F.col(quote(k)) for k in keys)).distinct()
     found = result.groupBy(*(F.col(quote(a)) for a in aliases)).agg(*wide)
+    found = found.withColumnsRenamed({a: f"of {a}" for a in aliases})
     match = F.lit(True)
-    for key, alias in zip(keys, aliases):
-        match = match & F.col(quote(key)).eqNullSafe(F.col(quote(alias)))
-    return groups.join(found, match, "left").drop(*aliases)
-
+    for alias in aliases:
+        match = match & F.col(quote(alias)).eqNullSafe(F.col(quote(f"of {alias}")))
+    joined = groups.join(found, match, "left").drop(*(f"of {a}" for a in aliases))
+    return joined.withColumnsRenamed(dict(zip(aliases, keys)))
 
-def _within(rows: DataFrame, bounds: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Values inside the present interval of their group, next to the bounds.
 
-    ``bounds`` has one row per (hot group, target): bounded by construction, so broadcast.
-    """
-    listed = F.broadcast(bounds.withColumnsRenamed({g: f"of {g}" for g in group}))
-    match = F.lit(True)
-    for g in group:
-        match = match & rows[quote(g)].eqNullSafe(F.col(quote(f"of {g}")))
-    inside = "(lower IS NULL OR value >= lower) AND (upper IS NULL OR value <= upper)"
-    return rows.join(listed, match).where(inside).drop(*(f"of {g}" for g in group))
+def _wanted(counted: DataFrame, group: Sequence[str], cell: str, keep: str = "false") -> DataFrame:
+    """Cells with a wanted rank, or that are to be kept, and what lies before them."""
+    ordered = Window.partitionBy(*(F.col(quote(g)) for g in group)).orderBy(F.col(cell).asc_nulls_last())
+    placed = counted.withColumn("base", F.col("base") + F.sum("n").over(ordered) - F.col("n"))
+    holds = "low_rank BETWEEN base AND base + n - 1 OR high_rank BETWEEN base AND base + n - 1"
+    return placed.where(f"{holds} OR {keep}")
 
 
-def _narrow(rows: DataFrame, bounds: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Shrink the interval of each (group, target) around its ranks."""
-    by = [F.col(quote(g)) for g in group]
-    carried = ["low_rank", "high_rank", "fraction", "before", "lower", "upper"]
-    inside = _within(rows, bounds, group)
-
-    # the sketch takes constant probabilities only, so it proposes a grid of splitters;
-    # the neighbours of the wanted ranks are picked from the grid afterwards
-    share = [i / GRID_CELLS for i in range(GRID_CELLS + 1)]
-    grid = inside.groupBy(*by, *carried, "inside").agg(
-        F.percentile_approx("value", share, SKETCH_ACCURACY).alias("grid"),
-    )
-    low_cell = f"CAST(floor((low_rank - before) / inside * {GRID_CELLS} - 2) AS INT)"
-    high_cell = f"CAST(ceil((high_rank - before + 1) / inside * {GRID_CELLS} + 2) AS INT)"
-    proposed = grid.select(
-        *by,
-        *carried,
-        F.expr(f"CASE WHEN {low_cell} >= 0 THEN grid[{low_cell}] ELSE lower END").alias("left"),
-        F.expr(f"CASE WHEN {high_cell} <= {GRID_CELLS} THEN grid[{high_cell}] ELSE upper END").alias("right"),
-    )
+def _inside(rows: DataFrame, cells: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Values inside the cells of their group, next to the cell.
 
-    # exact counts left of and inside the proposal decide whether each side may be used
-    listed = F.broadcast(proposed.withColumnsRenamed({g: f"of {g}" for g in group}))
-    match = F.lit(True)
+    ``cells`` has at most two rows per hot group and target and is stored, so the engine knows its
+    size and broadcasts it only if it is small.
+    """
+    listed = cells.drop("step", "empty", "n").withColumnsRenamed({g: f"of {g}" for g in [*group, "prefix"]})
+    match = (F.col("prefix") == F.col("of prefix")) & F.expr("value BETWEEN low AND high")
     for g in group:
-        match = match & rows[quote(g)].eqNullSafe(F.col(quote(f"of {g}")))
-    counted = (
-        rows.join(listed, match)
-        .where("(lower IS NULL OR value >= lower) AND (upper IS NULL OR value <= upper)")
-        .groupBy(*by, *carried, "left", "right")
-        .agg(
-            F.expr("count_if(value < left)").alias("under"),
-            F.expr("count_if(value > right)").alias("over"),
-            F.count(F.lit(1)).alias("all"),
-        )
-    )
-    use_left = "(left IS NOT NULL AND before + under <= low_rank)"
-    use_right = "(right IS NOT NULL AND high_rank < before + all - over)"
-    return counted.select(
-        *by,
-        F.col("low_rank"),
-        F.col("high_rank"),
-        F.col("fraction"),
-        F.expr(f"all - if({use_left}, under, 0) - if({use_right}, over, 0)").alias("inside"),
-        F.expr(f"before + if({use_left}, under, 0)").alias("before"),
-        F.expr(f"if({use_left}, left, lower)").alias("lower"),
-        F.expr(f"if({use_right}, right, upper)").alias("upper"),
-    )
+        match = match & F.col(quote(g)).eqNullSafe(F.col(quote(f"of {g}")))
+    return rows.join(listed, match).drop(*(f"of {g}" for g in [*group, "prefix"]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featloom.functions import quote
-from featloom.plans.storage import materialise, release
+from featloom.plans.storage import materialise
 
 # Groups up to this many rows are safe inside one task that streams over them.
 ROW_LIMIT = 1_000_000
@@ -24,7 +24,6 @@ class HotGroups:
 
     keys: DataFrame
     count: int
-    largest: int
 
     @property
     def listed(self) -> DataFrame:
@@ -40,19 +39,19 @@ def find_hot_groups(
 ) -> HotGroups | None:
     """Keys with more than ``row_limit`` rows, or None if there are none.
 
-    One scan of the key columns; the count is combined before the shuffle, so a key that
-    holds most of the rows costs nothing extra.  The limit does not depend on the table.
+    One scan of the key columns (two if something is hot); the count is combined before the
+    shuffle, so a key that holds most of the rows costs nothing extra.  The limit does not
+    depend on the table.
     """
     rows = quote("rows in group")
     counted = frame.groupBy(*(F.col(quote(k)) for k in keys)).agg(
         F.count(F.lit(1)).alias("rows in group"),
     )
-    hot = materialise(counted.where(F.col(rows) > row_limit), "hot-keys")
-    count, largest = hot.agg(F.count(F.lit(1)), F.max(rows)).first()
-    if not count:
-        release(hot)
+    hot = counted.where(F.col(rows) > row_limit)
+    count = hot.count()
+    if not count:  # the usual case writes nothing
         return None
-    return HotGroups(keys=hot.drop("rows in group"), count=count, largest=largest)
+    return HotGroups(keys=materialise(hot, "hot-keys").drop("rows in group"), count=count)
 
 
 def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], *, null_safe: bool = False):

@@ -428,6 +428,54 @@ def test_aggregate_by_several_pivots(spark):
     assert rows(found.tables[2].data.select("a", "b", "`sum(x)`")) == [(1, 1, 2.0), (1, 2, 3.0), (2, 2, 5.0)]
 
 
+@pytest.mark.parametrize("row_limit", [10_000, 20])
+def test_pivots_share_one_scan(spark, tmp_path, monkeypatch, row_limit):
+    """Three pivots with null keys, a filter and hot groups: what separate aggregates give, from one plan."""
+    from featloom.operators import aggregate as module
+
+    spark.range(3000).selectExpr(
+        "CASE WHEN id % 7 < 2 THEN NULL ELSE id % 7 END AS a",
+        "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('b', id % 3) END AS b",
+        "id % 2 = 0 AS c",
+        "CASE WHEN id % 11 = 0 THEN NULL ELSE CAST(pmod(hash(id), 50) AS DOUBLE) END AS x",
+    ).write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    columns = [Column(name=n, attributes={A.numeric, A.categorical}) for n in "abcx"]
+    whole = Table(name="t", columns=columns, data=frame, max_rows=3000)
+    tables = [whole, whole.restrict("x < 25", name="small")]
+    plans = []
+
+    def recorded(*args, **options):
+        plans.append(grouped_statistics(*args, **options))
+        return plans[-1]
+
+    grouped_statistics = module.grouped_statistics
+    monkeypatch.setattr(module, "grouped_statistics", recorded)
+    pivots = Aggregate(is_pivotable=["a", "b", "c"], max_pivots=3, row_limit=row_limit)
+    fused = list(Dataset(tables).apply(pivots))
+    assert len(plans) == 1
+    if row_limit == 10_000:
+        assert str(plans[0]._jdf.queryExecution().executedPlan()).count("FileScan") == 1
+    names = ["a", "b", "c", "a, b", "a, c", "b, c", "a, b, c"]
+    assert [t.name for t in fused] == [f"group_by({t}, {n})" for t in ("t", "small") for n in names]
+    for made, (table, keys) in zip(fused, [(t, n.split(", ")) for t in tables for n in names]):
+        assert made.key == keys
+        expected = table.data.groupBy(*keys).agg(
+            F.count("*"), F.max("x"), F.mean("x"), F.expr("median(x)"), F.min("x"), F.stddev("x"), F.expr("coalesce(sum(x), 0)"), F.variance("x"),
+        )
+        rounded = [[f"round({quote(c)}, 6)" if c not in keys else c for c in f.columns] for f in (made.data, expected)]
+        assert rows(made.data.selectExpr(*rounded[0])) == rows(expected.selectExpr(*rounded[1]))
+    assert {t.frame for t in fused[:7]} == {t.frame for t in fused[7:]}, "filters share the frame of their pivots"
+
+
+def test_sketched_medians(spark):
+    frame = spark.range(60_000).selectExpr("id % 3 AS k", "CAST(pmod(hash(id), 20011) AS DOUBLE) AS x")
+    data = from_frames(spark, {"t": frame})
+    made = data.apply(Aggregate(is_pivotable=["k"], exact=False)).tables[0].data.select("k", F.col("`median(x)`").alias("m"))
+    ranks = frame.join(made, "k").groupBy("k").agg(F.expr("count_if(x < m)").alias("under"), F.expr("count_if(x <= m)").alias("upto"), F.count("*").alias("n"))
+    assert all(r.under - 3 <= r.n / 2 <= r.upto + 3 for r in ranks.collect())
+
+
 @pytest.mark.parametrize("durable", [False, True])
 def test_collect_and_clean(spark, durable):
     data = from_frames(spark, {"t": {"flag": [0, 1, 1], "name": ["a", "b", "b"]}})

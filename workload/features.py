@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import functools
+import itertools
 
 from pyspark.sql import functions as F
 
 from featloom import (
     Aggregate,
     Attribute,
+    Column,
     Combine,
+    Dataset,
     Encode,
     Extract,
     Filter,
@@ -17,11 +20,13 @@ from featloom import (
     Impute,
     Keep,
     Rename,
+    Table,
     assemble,
     declare_key,
     with_attributes,
 )
 from featloom.functions import quote
+from featloom.plans.quantiles import SKETCH_ERROR
 from workload.registry import (
     comparable,
     dq,
@@ -82,6 +87,71 @@ def agg_lineitem_two_pivots(spark, sf_dir):
     return tidy(functools.reduce(lambda a, b: a.unionByName(b), parts))
 
 
+_FLAGS, _LINE_SIZE = {"flag": "nullif(l_returnflag, 'N')", "status": "l_linestatus", "line": "nullif(l_linenumber, 7)"}, ["l_quantity", "l_extendedprice"]
+
+
+def _three_pivots_sql() -> str:
+    parts = []
+    for size in (1, 2, 3):
+        for pivots in itertools.combinations(_FLAGS, size):
+            keys = ", ".join(f"{f'CAST({_FLAGS[p]} AS VARCHAR)' if p in pivots else 'CAST(NULL AS VARCHAR)'} AS {p}" for p in _FLAGS)
+            parts.append(
+                f"SELECT 'group_by(lines, {', '.join(pivots)})' AS table_name, {keys}, {stat_columns(_LINE_SIZE)} "
+                f"FROM lineitem GROUP BY {', '.join(_FLAGS[p] for p in pivots)}",
+            )
+    return " UNION ALL ".join(parts)
+
+
+def _three_pivots(spark, sf_dir, **options):
+    """Seven combinations of three pivots, two of them with null keys, in one scan."""
+    frame = read(spark, sf_dir, "lineitem").selectExpr(*(f"{sql} AS {p}" for p, sql in _FLAGS.items()), *_LINE_SIZE)
+    numeric = {Attribute.numeric, Attribute.not_null}
+    columns = [Column(name=p) for p in _FLAGS] + [Column(name=c, attributes=numeric) for c in _LINE_SIZE]
+    lines = Table(name="lines", columns=columns, data=frame)
+    parts = []
+    for table in Dataset([lines]).apply(Aggregate(is_pivotable=list(_FLAGS), max_pivots=3, **options)):
+        keys = [(F.col(p) if table.has(p) else F.lit(None)).cast("string").alias(p) for p in _FLAGS]
+        stats = [F.col(quote(n)) for n in stat_names(_LINE_SIZE)]
+        parts.append(table.data.select(F.lit(table.name).alias("table_name"), *keys, *stats))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query(_three_pivots_sql())
+def agg_three_pivots(spark, sf_dir):
+    return tidy(_three_pivots(spark, sf_dir))
+
+
+@query(_three_pivots_sql())
+def agg_three_pivots_hot(spark, sf_dir):
+    """The same by partial aggregates and radix selection: every group above 100 rows counts as hot."""
+    return tidy(_three_pivots(spark, sf_dir, row_limit=100))
+
+
+@query(
+    f"SELECT * EXCLUDE ({dq('median(l_quantity)')}) FROM (SELECT l_suppkey, "
+    f"{', '.join(f'true AS {c}_within' for c in _LINE_SIZE)}, {stat_columns(_LINE_SIZE[:1])} FROM lineitem GROUP BY l_suppkey)",
+)
+def agg_sketched_medians(spark, sf_dir):
+    """Medians by sketches: all else is exact, and exact ranks of the medians stay within the bound."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", *_LINE_SIZE)
+    numeric = {Attribute.numeric, Attribute.not_null}
+    table = Table(name="lines", columns=[Column(name=c, attributes=numeric) for c in lines.columns], data=lines)
+    made = Dataset([table]).apply(Aggregate(is_pivotable=["l_suppkey"], exact=False)).tables[0].data
+    near = lines.join(made.select("l_suppkey", *(quote(f"median({c})") for c in _LINE_SIZE)), "l_suppkey").groupBy("l_suppkey")
+    slack = f"(1 + count(1) * {SKETCH_ERROR})"
+    ranks = near.agg(
+        *(
+            F.expr(
+                f"count_if({c} < {quote(f'median({c})')}) - {slack} <= count(1) / 2 "
+                f"AND count_if({c} <= {quote(f'median({c})')}) + {slack} >= count(1) / 2",
+            ).alias(f"{c}_within")
+            for c in _LINE_SIZE
+        ),
+    )
+    exact = [n for n in stat_names(_LINE_SIZE[:1]) if not n.startswith("median")]
+    return tidy(made.select("l_suppkey", *map(quote, exact))).join(ranks, "l_suppkey")
+
+
 def customer_features(spark, sf_dir):
     """Customers with the features of themselves, their orders and their events."""
     data = load(spark, sf_dir, "customer", "orders", "events").apply(Rename(mapping=_CUSTOMER_KEY))
