@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featloom.learning.matrix import FeatureMatrix, as_matrix, indexed, summarise
-from featloom.learning.rank_correlation import kendall, spearman_pairs
-from featloom.plans.ordering import running_total
-from featloom.plans.skew import split_left_join
+from featloom.learning.matrix import FeatureMatrix, as_matrix, summarise
+from featloom.learning.rank_correlation import kendall, spearman
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -26,11 +23,7 @@ def pair_correlations(matrix: FeatureMatrix, method: str = "pearson") -> DataFra
     if method == "pearson":
         return _pearson(matrix)
     if method == "spearman":
-        present = [s.present for s in summarise(matrix)]
-        rows = matrix.frame.count()
-        whole = [i for i, n in enumerate(present) if n == rows]
-        ranked = _pearson(_ranks(matrix.take(whole))) if len(whole) > 1 else None
-        return spearman_pairs(matrix, ranked, whole, lambda pair: _pearson(_ranks(pair)))
+        return spearman(matrix)
     if method == "kendall":
         return kendall(matrix)
     raise ValueError(f"unknown correlation method {method}")
@@ -83,18 +76,3 @@ def _pearson(matrix: FeatureMatrix) -> DataFrame:
         "THEN greatest(-1D, least(1D, v / sqrt(vx) / sqrt(vy))) END AS r",
     )
 
-
-def _ranks(matrix: FeatureMatrix) -> FeatureMatrix:
-    """Replace all features by their average ranks.  The features must be complete."""
-    numbered, _ = indexed(matrix.frame.select("features"))
-    long = numbered.select("index", F.posexplode("features").alias("feature", "value"))
-    counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_total(counted, [F.col("feature"), F.col("value")], "n", "before")
-    starts = placed.groupBy("feature").agg(F.min("before").alias("start"))
-    ranks = placed.join(F.broadcast(starts), "feature").selectExpr(
-        "feature", "value", "before - start + (n + 1) / 2D AS rank",
-    )
-    joined = split_left_join(long, ranks, ["feature", "value"])
-    # one row of features comes back together: as many entries as there are features
-    rows = joined.groupBy("index").agg(F.expr("sort_array(collect_list(struct(feature, rank))).rank AS features"))
-    return dataclasses.replace(matrix, frame=rows)

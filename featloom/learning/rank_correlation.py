@@ -1,115 +1,195 @@
-"""Rank correlations: Spearman over incomplete pairs, and Kendall's tau-b, both exact."""
+"""Rank correlations of all pairs in one plan: Spearman's rho and Kendall's tau-b, both exact.
+
+A pair of features is a key, never a job of its own: the number of jobs does not depend on the
+number of features.
+"""
 
 from __future__ import annotations
 
 import functools
 import itertools
-import math
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featloom.learning.matrix import FeatureMatrix, present
+from featloom.learning.matrix import FeatureMatrix, as_matrix, indexed, present
+from featloom.plans.ordering import running_total
+from featloom.plans.skew import split_left_join
+from featloom.plans.storage import materialise
+
+# Points that one task compares, about.
+STRIP_ROWS = 500_000
+
+# Strips of heavy values lie between those of a part of the order; a part has fewer of them.
+_BETWEEN = 1 << 16
+
 
-# Distinct (x, y) pairs that one task counts, and the largest number of strips per axis.
-STRIP_ROWS = 200_000
-MAX_STRIPS = 1_000
+def together(matrix: FeatureMatrix) -> np.ndarray:
+    """Rows in which both of two features are present: one small matrix per task."""
+    width = matrix.width
+    first, second = (a.ravel().astype(np.int32) for a in np.indices((width, width)))
 
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((width, width))
+        for batch in batches:
+            if batch.num_rows:
+                given = (~np.isnan(as_matrix(batch.column(0), width))).astype(float)
+                n += given.T @ given
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (first, second, n.ravel())], ["i", "j", "n"])
 
-def spearman_pairs(
-    matrix: FeatureMatrix,
-    ranked: DataFrame | None,
-    whole: list[int],
-    correlate: Callable[[FeatureMatrix], DataFrame],
-) -> DataFrame:
-    """Add the pairs with missing values: their ranks depend on which rows are complete.
+    counted = matrix.frame.select("features").mapInArrow(partial, "i int, j int, n double")
+    found = np.zeros((width, width))
+    for row in counted.groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+        found[row["i"], row["j"]] = row["n"]
+    return found
 
-    :param ranked: Correlations between the complete features, by position in ``whole``.
+
+def spearman(matrix: FeatureMatrix) -> DataFrame:
+    """Spearman's rho of all pairs, over the rows in which both features are present.
+
+    Ranks depend on these rows, so features are put into classes that are missing in the same
+    rows, and a value has a rank for each class: the rank among the rows in which that class is
+    present too.  Values are counted by feature and class before they are ordered, and every
+    row gets all ranks of its values by one join.
     """
-    parts = []
-    if ranked is not None:
-        original = F.array(*(F.lit(i) for i in whole))
-        parts.append(ranked.select(F.get(original, F.col("i")).alias("i"), F.get(original, F.col("j")).alias("j"), "r"))
-    for i, j in itertools.combinations(range(matrix.width), 2):
-        if i in whole and j in whole:
-            continue
-        pair = matrix.take([i, j]).where(f"{present('features[0]')} AND {present('features[1]')}")
-        parts.append(correlate(pair).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "r"))
-    if not parts:
-        return matrix.frame.sparkSession.createDataFrame([], "i int, j int, r double")
-    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+    width = matrix.width
+    shared = together(matrix)
+    alone = np.diag(shared)
+    same = (shared == alone[:, None]) & (shared == alone[None, :])
+    firsts = same.argmax(axis=1)  # the first feature with the same rows
+    heads, of = np.unique(firsts, return_inverse=True)
+    classes = len(heads)
+
+    numbered, _ = indexed(matrix.frame.select("features"))
+    there = F.expr(f"filter(array({', '.join(f'IF({present(f"features[{h}]")}, {k}, -1)' for k, h in enumerate(heads))}), k -> k >= 0)")
+    long = numbered.select("index", there.alias("there"), F.posexplode("features").alias("feature", "value"))
+    long = long.withColumn("value", F.expr(f"CASE WHEN {present('value')} THEN value + 0D END"))
+    counted = long.where("value IS NOT NULL").groupBy("feature", "there", "value").agg(F.count(F.lit(1)).alias("n"))
+    by_class = counted.select("feature", F.explode("there").alias("class"), "value", "n")
+    by_class = by_class.groupBy("feature", "class", "value").agg(F.sum("n").alias("n"))
+    placed = running_total(by_class, [F.col("feature"), F.col("class"), F.col("value")], "n", "before")
+    starts = placed.groupBy("feature", "class").agg(F.min("before").alias("start"))
+    # a row per feature and class; ranks are told from their mean, which is known
+    middle = F.array(*(F.lit(float(shared[i, h] + 1) / 2) for i in range(width) for h in heads))
+    rank = F.expr("before - start + (n + 1) / 2D") - F.get(middle, F.col("feature") * classes + F.col("class"))
+    ranks = placed.join(F.broadcast(starts), ["feature", "class"]).select("feature", "class", "value", rank.alias("rank"))
+    every = F.sequence(F.lit(0), F.lit(classes - 1))
+    table = ranks.groupBy("feature", "value").agg(F.map_from_entries(F.collect_list(F.struct("class", "rank"))).alias("m"))
+    table = table.select("feature", "value", F.transform(every, lambda k: F.try_element_at("m", k)).alias("ranks"))
+    joined = split_left_join(long.drop("there"), table, ["feature", "value"])
+    none = F.array_repeat(F.lit(None).cast("double"), classes)
+    cell = F.struct("feature", F.coalesce("ranks", none).alias("ranks"))
+    rows = joined.groupBy("index").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return _rank_products(rows.selectExpr("flatten(cells.ranks) AS ranks"), width, of)
+
+
+def _rank_products(rows: DataFrame, width: int, of: np.ndarray) -> DataFrame:
+    """Correlation of centred ranks: of each feature among the rows of the other's class."""
+    classes = int(of.max(initial=0)) + 1
+    first, second = np.triu_indices(width, k=1)
+    members = [np.flatnonzero(of == k) for k in range(classes)]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xx, yy, xy = (np.zeros((width, width)) for _ in range(3))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ranks = as_matrix(batch.column(0), width * classes).reshape(-1, width, classes)
+            for a, b in itertools.product(range(classes), repeat=2):
+                x, y = ranks[:, members[a], b], ranks[:, members[b], a]
+                here = np.ix_(members[a], members[b])
+                given_x, given_y = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+                x, y = np.nan_to_num(x), np.nan_to_num(y)
+                xy[here] += x.T @ y
+                xx[here] += (x * x).T @ given_y
+                yy[here] += given_x.T @ (y * y)
+        columns = [first.astype(np.int32), second.astype(np.int32), *(m[first, second] for m in (xx, yy, xy))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "xx", "yy", "xy"])
+
+    sums = rows.mapInArrow(partial, "i int, j int, xx double, yy double, xy double")
+    sums = sums.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("xx", "yy", "xy")))
+    r = "CASE WHEN xx > 0 AND yy > 0 THEN greatest(-1D, least(1D, xy / sqrt(xx) / sqrt(yy))) END AS r"
+    return sums.selectExpr("i", "j", r)
 
 
 def kendall(matrix: FeatureMatrix) -> DataFrame:
-    """Kendall's tau-b of all pairs.
+    """Kendall's tau-b of all pairs, over the rows in which both features are present.
 
-    Equal (x, y) pairs are counted first.  Both axes are cut into strips, where a heavy
-    value forms a strip of its own (it has no order inside, so nothing needs counting).
-    Two points are then compared in exactly one of three ways: by their strips, if both
-    strips differ; inside a strip of x; or inside a strip of y, if only x strips differ.
+    Equal points of a pair are counted first, in the tasks that read them.  Pairs of points
+    are then compared by strips of both axes (see :func:`_agreement`).
+    """
+    rows = matrix.frame.select("features", F.posexplode("features").alias("i", "x"))
+    later = F.posexplode(F.slice("features", F.col("i") + 2, F.greatest(F.size("features") - F.col("i") - 1, F.lit(0))))
+    points = rows.where(present("x")).select("i", "x", later.alias("j", "y")).where(present("y"))
+    points = points.select("i", (F.col("i") + F.col("j") + 1).alias("j"), F.expr("x + 0D AS x"), F.expr("y + 0D AS y"))
+    cells = points.groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = materialise(cells, "points")
+
+    size = cells.groupBy("i", "j").agg(F.expr("sum(n) * (sum(n) - 1) / 2D").alias("pairs"))
+    for axis in ("x", "y"):
+        ties = cells.groupBy("i", "j", axis).agg(F.sum("n").alias("n")).groupBy("i", "j")
+        size = size.join(ties.agg(F.expr("sum(CAST(n AS DOUBLE) * (n - 1) / 2)").alias(f"ties {axis}")), ["i", "j"])
+    every = F.explode(F.sequence(F.lit(0), F.lit(matrix.width - 1)))
+    spark = matrix.frame.sparkSession
+    grid = spark.range(1).select(every.alias("i")).select("i", every.alias("j")).where("i < j")
+    spread = "sqrt(greatest(0D, pairs - `ties x`)) * sqrt(greatest(0D, pairs - `ties y`))"
+    joined = grid.join(size, ["i", "j"], "left").join(_agreement(cells), ["i", "j"], "left")
+    return joined.selectExpr("i", "j", f"CASE WHEN {spread} > 0 THEN greatest(-1D, least(1D, coalesce(s, 0D) / ({spread}))) END AS r")
+
+
+def _agreement(cells: DataFrame) -> DataFrame:
+    """Weighted number of concordant minus discordant pairs of points, ``s`` of each (i, j).
+
+    Both axes are cut into strips.  Two points are compared in exactly one of three ways: inside
+    a strip of x; inside a strip of y, if only their x strips differ; or as strips, if both
+    differ.  Strips are points of a smaller problem of the same kind, so nothing limits their
+    number.
     """
-    found = []
-    for i, j in itertools.combinations(range(matrix.width), 2):
-        rows = matrix.frame.selectExpr(f"features[{i}] AS x", f"features[{j}] AS y")
-        found.append((i, j, _tau(rows.where(f"{present('x')} AND {present('y')}"))))
-    return matrix.frame.sparkSession.createDataFrame(found, "i int, j int, r double")
-
-
-def _tau(rows: DataFrame) -> float | None:
-    cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    size, distinct = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    strips = min(MAX_STRIPS, math.ceil(distinct / STRIP_ROWS))
-    ties = [
-        cells.groupBy(axis).agg(F.sum("n").alias("n")).agg(F.expr("sum(CAST(n AS DOUBLE) * (n - 1) / 2)")).first()[0]
-        for axis in ("x", "y")
+    count = cells.count()
+    parts = -(-count // STRIP_ROWS)
+    if parts <= 1:
+        return _compared(cells, ["i", "j"], "x", "y")
+    placed = _strips(_strips(cells, "x", "sx", parts), "y", "sy", parts)
+    by_y = placed.where("sy % 2 = 0").groupBy("i", "j", "sy", "sx", "y").agg(F.sum("n").alias("n"))
+    by_strip = placed.groupBy("i", "j", F.col("sx").alias("x"), F.col("sy").alias("y")).agg(F.sum("n").alias("n"))
+    by_strip = materialise(by_strip, "strip-points")
+    smaller = 2 * by_strip.count() < count  # it is below STRIP_ROWS squared points
+    found = [
+        # odd strips hold a single value and therefore no order
+        _compared(placed.where("sx % 2 = 0"), ["i", "j", "sx"], "x", "y"),
+        _compared(by_y, ["i", "j", "sy"], "sx", "y"),
+        _agreement(by_strip) if smaller else _compared(by_strip, ["i", "j"], "x", "y"),
     ]
-    pairs = size * (size - 1) / 2
-    spread = math.sqrt(max(0.0, pairs - (ties[0] or 0))) * math.sqrt(max(0.0, pairs - (ties[1] or 0)))
-    if not spread:
-        return None
-    return max(-1.0, min(1.0, _order_agreement(cells, strips) / spread))
-
-
-def _order_agreement(cells: DataFrame, strips: int) -> float:
-    """Weighted number of concordant minus discordant pairs."""
-    placed = cells.withColumn("sx", F.lit(0)).withColumn("sy", F.lit(0))
-    for axis, strip in (("x", "sx"), ("y", "sy")):
-        if strips > 1:
-            share = [k / strips for k in range(1, strips)]
-            limits = sorted(set(cells.agg(F.percentile_approx(axis, share, 100 * strips)).first()[0]))
-            placed = placed.withColumn(strip, _strip_of(limits)(F.col(axis)))
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"s": [signed_pairs(group.iloc[:, 1], group.iloc[:, 2], group.iloc[:, 3])]})
-
-    def grouped(frame: DataFrame) -> DataFrame:
-        return frame.groupBy(frame.columns[0]).applyInPandas(count, "s double")
-
-    # odd strips hold a single value and therefore no order
-    by_x = placed.where("sx % 2 = 0").select("sx", "x", "y", "n")
-    parts = [grouped(by_x)]
-    if strips > 1:
-        by_y = placed.where("sy % 2 = 0").groupBy("sy", "sx", "y").agg(F.sum("n").alias("n"))
-        by_strip = placed.groupBy("sx", "sy").agg(F.sum("n").alias("n"))
-        parts.append(grouped(by_y.select("sy", "sx", "y", "n")))
-        # at most (2 * strips) ** 2 cells
-        parts.append(grouped(by_strip.select(F.lit(0).alias("one"), "sx", "sy", "n")))
-    return functools.reduce(lambda a, b: a.unionByName(b), parts).agg(F.sum("s")).first()[0] or 0.0
-
-
-def _strip_of(limits: list[float]):
-    """Strip number of a value: even between two limits, odd on one of them."""
-    edges = np.array(limits)
-
-    @F.pandas_udf("int")
-    def strip(values: pd.Series) -> pd.Series:
-        x = values.to_numpy()
-        return pd.Series(np.searchsorted(edges, x, "left") + np.searchsorted(edges, x, "right"), dtype="int32")
-
-    return strip
+    return functools.reduce(lambda a, b: a.unionByName(b), found).groupBy("i", "j").agg(F.sum("s").alias("s"))
+
+
+def _strips(cells: DataFrame, axis: str, name: str, parts: int) -> DataFrame:
+    """Number the strips of an axis in its order: parts of a range partitioning, in which values
+    with very many points are strips of their own, with odd numbers."""
+    dealt = cells.repartitionByRange(parts, "i", "j", axis).withColumn("part", F.spark_partition_id())
+    placed = materialise(dealt, "strips")
+    own = ["i", "j", "part"]
+    counted = placed.groupBy(*own, axis).agg(F.count(F.lit(1)).alias("points")).where(F.col("points") > STRIP_ROWS)
+    heavy = materialise(counted.groupBy(*own).agg(F.collect_list(axis).alias("heavy")), "heavy-values")
+    number = F.expr(
+        f"CAST(part AS BIGINT) * {_BETWEEN} + coalesce(2 * size(filter(heavy, h -> h < {axis})) + CAST(array_contains(heavy, {axis}) AS INT), 0)",
+    )
+    return placed.join(heavy, own, "left").withColumn(name, number).drop("part", "heavy")
+
+
+def _compared(points: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+    """Agreement inside each group, whose points one task merges."""
+
+    def count(own: pd.DataFrame) -> pd.DataFrame:
+        s = signed_pairs(own["x"], own["y"], own["n"])
+        return pd.DataFrame({"i": own["i"].iloc[:1], "j": own["j"].iloc[:1], "s": [s]})
+
+    named = points.select(*group, *(F.col(c).alias(t) for c, t in ((x, "x"), (y, "y")) if c not in group), "n")
+    return named.groupBy(*group).applyInPandas(count, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
 
 
 def signed_pairs(x: pd.Series, y: pd.Series, weight: pd.Series) -> float:

@@ -152,7 +152,7 @@ def brute_tau(x, y):
     return (dx * dy).sum() / spread if spread else None
 
 
-@pytest.mark.parametrize("strip_rows", [100_000, 40])
+@pytest.mark.parametrize("strip_rows", [100_000, 150])
 def test_kendall_against_all_pairs(spark, strip_rows, monkeypatch):
     monkeypatch.setattr(rank_correlation, "STRIP_ROWS", strip_rows)
     rng = np.random.default_rng(1)
@@ -168,6 +168,32 @@ def test_kendall_against_all_pairs(spark, strip_rows, monkeypatch):
     assert found[(0, 3)] is None
 
 
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_rank_correlations_take_as_many_jobs_for_more_pairs(spark, method):
+    frame = spark.range(300).selectExpr(
+        *(f"CASE WHEN id % {k + 2} = 0 THEN NULL ELSE CAST(pmod(hash(id, {k}), 40) AS DOUBLE) END AS f{k}" for k in range(6)), "1D AS t",
+    )
+    jobs = []
+    for width in (3, 6):
+        matrix = feature_matrix(frame, [f"f{k}" for k in range(width)], "t", Problem.regression)
+        spark.sparkContext.setJobGroup(f"{method} {width}", "pairs")
+        assert len(correlations(matrix, method)) == width * (width - 1) // 2
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{method} {width}")))
+    spark.sparkContext.setJobGroup(None, None)
+    assert abs(jobs[0] - jobs[1]) <= 2, jobs
+
+
+def test_kendall_of_one_heavy_value(spark, monkeypatch):
+    """A value with most points is a strip of its own, and strips of strips are compared again."""
+    monkeypatch.setattr(rank_correlation, "STRIP_ROWS", 60)
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(300) < 0.6, 5.0, rng.normal(size=300) * 9)
+    y = rng.normal(size=300) + x / 9
+    frame = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "t": 1.0}))
+    found = correlations(feature_matrix(frame, ["x", "y"], "t", Problem.regression), "kendall")
+    assert found[(0, 1)] == pytest.approx(brute_tau(x, y))
+
+
 def test_signed_pairs():
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 17, 64):
