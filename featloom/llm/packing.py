@@ -41,7 +41,20 @@ def encoder(vocabulary: str):
         names = [t for t in vocab if vocab[t] < 256 + len(joined)]
         ranks = {bytes(to_byte[c] for c in t): vocab[t] for t in names}
         fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: fast.encode_to_numpy(text, disallowed_special=())
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # a run of white space is too long for its search
+                return library(vocabulary)(text)
+
+        return encode
+    return library(vocabulary)
+
+
+@functools.cache
+def library(vocabulary: str):
+    """The same by the tokenizers library."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

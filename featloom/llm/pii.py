@@ -106,13 +106,17 @@ def _contexts(texts: list[str], spans: list[list], reach: int) -> list[tuple[lis
             row = chunk.first + i
             own = slice(found.first[i], found.first[i] + found.count[i])
             starts, ends, hashes = found.start[own] - chunk.offsets[i], found.end[own] - chunk.offsets[i], found.hash[own]
-            places = [tuple(len(texts[row][:p].encode()) for p in s[1:]) for s in spans[row]]
+            own_bytes = chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]]
+            byte_of = np.append(np.flatnonzero(W.code_points(own_bytes)), len(own_bytes))
+            places = [(byte_of[s[1]], byte_of[s[2]]) for s in spans[row]]
             free = np.ones(len(starts), bool)
             for low, high in places:
                 free[np.searchsorted(ends, low, "right") : np.searchsorted(starts, high)] = False
+            left = np.flatnonzero(free)
             places_of: dict[int, int] = {}
             for (kind, a, b), (low, high) in zip(spans[row], places):
-                before = np.flatnonzero(free[: np.searchsorted(ends, low, "right")])[-reach:]
+                upto = np.searchsorted(left, np.searchsorted(ends, low, "right"))
+                before = left[max(0, upto - reach) : upto]
                 behind = np.searchsorted(starts, high)
                 after = behind + np.flatnonzero(free[behind : behind + 4 * reach])[:reach]
                 terms = hashes[np.concatenate([before, after])]

@@ -54,6 +54,13 @@ def check(docs, pieces, tokenizer):
     return lengths
 
 
+def test_long_runs_of_white_space(spark, tokenizer):
+    """A million blanks, tabs or line breaks, alone and before a word."""
+    texts = [c * 1_000_000 + end for c in " \t\n" for end in ("", "word")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(docs, pack_documents(docs, VOCABULARY).collect(), tokenizer)
+
+
 def test_whole_table(spark, tokenizer):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     lengths = check(docs, pack_documents(docs, VOCABULARY).collect(), tokenizer)

@@ -6,6 +6,7 @@ import re
 import pytest
 from fixtures import FOLDER, awkward, empty
 
+from featloom.llm import pii
 from featloom.llm.pii import Disclosure, find_spans, personal_data, sanitise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -130,3 +131,19 @@ def test_rare_entities_are_disclosed_too(spark):
     assert "Quillfeather" in found[1]
     assert not {"filler1", "then", "ask"} & set(found[1]), "common words reveal nothing"
     assert found[203] == [], "copies are one context"
+
+
+def test_contexts_are_linear_in_spans():
+    """Byte places and neighbouring words of many addresses, as found one by one; time grows with the text."""
+    import time
+
+    def context(n):
+        text = " ".join(f"é word{i % 97} to user{i}@example.com and" for i in range(n))
+        start = time.perf_counter()
+        found = pii._contexts([text], [pii.find_spans(text)], 6)
+        return time.perf_counter() - start, found
+
+    small, found = context(2000)
+    assert len(found[0][0]) == 2001
+    large, _ = context(16_000)
+    assert large < 24 * max(small, 0.02)
