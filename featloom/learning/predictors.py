@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from featloom.learning.matrix import FeatureMatrix, fills_of, filled, summarise, vectors
 from featloom.problem import Problem
 
-# Prediction methods by name; subclasses of PredictionMethod register themselves.
+# Prediction methods by name; `offer` adds one.
 PREDICTION_METHODS: dict[str, "PredictionMethod"] = {}
 
 SEED = 42
@@ -32,10 +32,6 @@ class Fitted(abc.ABC):
 class PredictionMethod(abc.ABC):
     """Creates predictors for a kind of problem."""
 
-    def __init_subclass__(cls, **kwargs: Any) -> None:
-        super().__init_subclass__(**kwargs)
-        PREDICTION_METHODS[cls.__name__] = cls()
-
     def __str__(self) -> str:
         return type(self).__name__
 
@@ -108,6 +104,15 @@ class Baseline(PredictionMethod):
         return FittedConstant(float(baseline(matrix.frame, "label", matrix.problem).first()[0]))
 
 
+def offer(method: PredictionMethod) -> None:
+    """Make a method available under its name."""
+    PREDICTION_METHODS[str(method)] = method
+
+
+for _method in (BoostedTrees(), RandomForest(), Baseline()):
+    offer(_method)
+
+
 def baseline(frame: DataFrame, target: str, problem: Problem) -> DataFrame:
     """The baseline prediction for a target, as one row."""
     if problem is Problem.regression:

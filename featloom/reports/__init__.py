@@ -5,6 +5,7 @@ from featloom.reports.charts import (
     box_plot,
     chart_data,
     contingency,
+    contingency_shares,
     equal_count_buckets,
     hierarchy,
 )
@@ -28,6 +29,7 @@ __all__ = [
     "cohort_values",
     "comparison",
     "contingency",
+    "contingency_shares",
     "equal_count_buckets",
     "headline_metric",
     "hierarchy",
