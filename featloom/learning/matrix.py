@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featloom.functions import literal, quote
+from featloom.plans.dictionary import dictionary, with_ids
 from featloom.plans.ordering import PART, part_offsets, quote_part
+from featloom.plans.skew import split_left_join
 from featloom.plans.storage import materialise
 from featloom.problem import Problem
 from featloom.schema import Pair
 
+# Classes up to which a label is an expression; it is a join for more of them.
+FEW_CLASSES = 200
+
 
 @dataclasses.dataclass(frozen=True)
 class FeatureMatrix:
@@ -133,7 +138,10 @@ def feature_matrix(
     if problem is Problem.classification:
         if classes is None:
             classes = class_values(frame, target)
-        label = label_of(target, classes)
+        if len(classes) <= FEW_CLASSES:
+            label = label_of(target, classes)
+        else:
+            frame, label = _with_labels(frame, target, classes), "CAST(`label of class` AS DOUBLE)"
     else:
         label = f"CAST({quote(target)} AS DOUBLE)"
     kept = [*(quote(e) for e in extra), f"{label} AS label"]
@@ -154,12 +162,21 @@ def feature_matrix(
     return FeatureMatrix(combined(rows, len(operands), recipe), list(cells), problem, classes)
 
 
-def class_values(frame: DataFrame, target: str, *, limit: int = 10_000) -> list[Any]:
-    """Sorted distinct values of the target: a classification target has few."""
-    found = frame.select(F.col(quote(target))).distinct().na.drop().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{target} has more than {limit} classes")
-    return sorted(row[0] for row in found)
+def class_values(frame: DataFrame, target: str) -> list[Any]:
+    """Sorted distinct values of the target, which a model lists as its answers."""
+    return sorted(row[0] for row in frame.select(F.col(quote(target))).distinct().na.drop().collect())
+
+
+def encode_labels(frame: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """Add a ``label`` with the number of the class, for any number of classes, and the dictionary
+    (``value``, ``id``) to read it back."""
+    classes = dictionary(frame, quote(target))
+    return with_ids(frame, {"label": (quote(target), classes)}), classes
+
+
+def decode_labels(frame: DataFrame, classes: DataFrame, *, label: str = "label", name: str = "class") -> DataFrame:
+    """Add the class that a label stands for."""
+    return split_left_join(frame, classes.withColumnsRenamed({"id": label, "value": name}), [label])
 
 
 def label_of(target: str, classes: list[Any]) -> str:
@@ -167,6 +184,14 @@ def label_of(target: str, classes: list[Any]) -> str:
     return f"CASE {quote(target)} {cases} END" if classes else "CAST(NULL AS DOUBLE)"
 
 
+def _with_labels(frame: DataFrame, target: str, classes: list[Any]) -> DataFrame:
+    """The number of the class as ``label of class``, by a join."""
+    kind = frame.schema[target].dataType
+    schema = T.StructType([T.StructField("value", kind), T.StructField("id", T.LongType())])
+    known = frame.sparkSession.createDataFrame([(value, i) for i, value in enumerate(classes)], schema)
+    return with_ids(frame, {"label of class": (quote(target), known)})
+
+
 def as_matrix(column: pa.Array, width: int) -> np.ndarray:
     """An Arrow list column as a two-dimensional array, with NaN for all missing values."""
     flat = column.flatten().to_numpy(zero_copy_only=False)

@@ -7,10 +7,13 @@ import datetime
 import decimal
 from collections.abc import Iterable
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featloom.functions import display, literal, quote
 from featloom.operators.compose import Transform
+from featloom.plans.dictionary import dictionary, with_ids
 from featloom.plans.profile import is_profiled
 from featloom.schema import Attribute, Column, Table
 
@@ -21,12 +24,14 @@ _DUMMY = frozenset({Attribute.boolean, Attribute.categorical, Attribute.not_null
 class Encode(Transform):
     """Add a boolean column per category of each categorical column.
 
-    Textual sources stay, behind the untouched columns; other sources stay in place.
+    Textual sources stay, behind the untouched columns; other sources stay in place.  A column of
+    more categories than ``max_columns`` gets one column instead, with the number of its
+    category in a dictionary (see ``plans.dictionary``): sorted, from 0, null for null.
 
-    :param max_categories: Fail if a column marked categorical has more values than this.
+    :param max_columns: Most dummies of one column.
     """
 
-    max_categories: int = 10_000
+    max_columns: int = 10_000
 
     def apply(self, tables: Iterable[Table]) -> Iterable[Table]:
         return [self._encode(table) for table in tables]
@@ -42,11 +47,23 @@ class Encode(Transform):
             return table
 
         encoded: list[tuple[Column, str]] = []
+        numbered: dict[str, tuple[str, DataFrame]] = {}
         for column, categories in zip(sources, self._categories(table, sources, schema)):
             x = table.expr(column)
             if column.has(Attribute.textual):
                 moved = dataclasses.replace(column, derived_from=[(column, table.name)])
                 encoded.append((moved, x))
+            if categories is None:
+                number = Column(
+                    name=f"id({column})",
+                    attributes={Attribute.numeric} | (column.attributes & {Attribute.not_null}),
+                    derived_from=[(column, table.name)],
+                )
+                # the numbers hold for the rows of this table, whatever its frame has besides
+                known = dictionary(table.data, quote(column.name))
+                numbered[number.name] = (x if table.where is None else f"CASE WHEN {table.where} THEN {x} END", known)
+                encoded.append((number, quote(number.name)))
+                continue
             for value in categories:
                 dummy = Column(
                     name=f"{column} == {display(value)}",
@@ -57,29 +74,38 @@ class Encode(Transform):
 
         replaced = {column.name for column, _ in encoded}
         untouched = [(c, table.expr(c)) for c in table.columns if c.name not in replaced]
-        return table.derive([*untouched, *encoded])
+        if not numbered:
+            return table.derive([*untouched, *encoded])
+        return Table(
+            name=table.name,
+            columns=[column for column, _ in [*untouched, *encoded]],
+            data=with_ids(table.frame, numbered),
+            exprs={column.name: sql for column, sql in [*untouched, *encoded]},
+            where=table.where,
+            unique_on=table.unique_on,
+            max_rows=table.max_rows,
+            pairs=table.pairs,
+        )
 
-    def _categories(self, table: Table, sources: list[Column], schema: T.StructType) -> list[list]:
-        """Sorted distinct values of all categorical columns, from one scan.
+    def _categories(self, table: Table, sources: list[Column], schema: T.StructType) -> list[list | None]:
+        """Sorted distinct values of all categorical columns, from one scan; None if they are too many.
 
         Values are made distinct before and after a single shuffle by ordinary hash
-        aggregation, which spills; only the categories reach the driver.
+        aggregation, which spills; only categories that become columns reach the driver.
         """
         pairs = ", ".join(
             f"named_struct('source', {i}, 'value', CAST({quote(c.name)} AS STRING))"
             for i, c in enumerate(sources)
         )
         distinct = table.data.selectExpr(f"inline(array({pairs}))").where("value IS NOT NULL").distinct()
-        found = distinct.limit(len(sources) * self.max_categories + 1).collect()
+        limit = self.max_columns + 1
+        ranked = distinct.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("value")))
 
         values: list[list] = [[] for _ in sources]
-        for row in found:
+        for row in ranked.where(F.col("place") <= limit).collect():
             kind = schema[sources[row["source"]].name].dataType
             values[row["source"]].append(_parse(row["value"], kind))
-        for column, categories in zip(sources, values):
-            if len(categories) > self.max_categories or len(found) > len(sources) * self.max_categories:
-                raise ValueError(f"{column} of {table} has more than {self.max_categories} categories")
-        return [sorted(set(v)) for v in values]
+        return [None if len(v) == limit else sorted(set(v)) for v in values]
 
 
 def _typed(value: object, kind: T.DataType) -> str:

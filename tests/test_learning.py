@@ -40,6 +40,7 @@ from featloom.learning import (
 from featloom.learning import rank_correlation
 from featloom.learning.matrix import filled, indexed, summarise, vectors, with_donors
 from featloom.learning.model import Round
+from featloom.learning.matrix import decode_labels, encode_labels
 from featloom.learning.rank_correlation import signed_pairs
 from featloom.learning.selectors import binomial_tail, mutual_information, top
 from featloom.learning.trees import explain, leaf_values, mean_impacts, read_ensemble
@@ -126,6 +127,19 @@ def test_donors_are_a_permutation(numbers):
     assert sorted(own) == sorted(given) and sum(a == b for a, b in zip(own, given)) < 30
 
 
+def test_labels_of_many_classes(spark):
+    """Numbers of the sorted classes by a join, and back."""
+    frame = spark.range(3000).selectExpr("CASE WHEN id % 100 = 7 THEN NULL ELSE concat('k', id % 700) END AS k", "CAST(id AS DOUBLE) AS x")
+    matrix = feature_matrix(frame, ["x"], "k", Problem.classification)
+    assert matrix.classes == sorted(matrix.classes) and len(matrix.classes) == 693
+    encoded, classes = encode_labels(frame, "k")
+    back = decode_labels(encoded, classes, name="again").collect()
+    assert len(back) == 3000 and all(r["k"] == r["again"] for r in back)
+    label = {r["x"]: r["label"] for r in back}
+    for row in matrix.frame.collect():
+        assert row["label"] == label[row["features"][0]]
+
+
 # --- correlation ------------------------------------------------------------------------------------
 
 

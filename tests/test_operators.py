@@ -144,10 +144,31 @@ def test_encode_order_labels_and_nulls(spark):
     assert t.column("s == a").roots == {("s", "t")}
 
 
-def test_encode_rejects_falsely_declared_categories(spark):
-    t = with_attributes(from_frames(spark, {"t": spark.range(20)}), {"t": {"id": [A.categorical]}})
-    with pytest.raises(ValueError, match="categories"):
-        t.apply(Encode(max_categories=10))
+def test_encode_numbers_what_has_too_many_categories(spark):
+    """One column of numbers in place of dummies, for the rows of the table only; dummies stay as they are."""
+    frame = spark.range(200).selectExpr("CASE WHEN id % 9 = 0 THEN NULL ELSE concat('c', id % 60) END AS c", "id % 2 = 0 AS b")
+    t = from_frames(spark, {"t": frame}).tables[0]
+    marked = t.select([dataclasses.replace(x, attributes=x.attributes | {A.categorical}) for x in t.columns])
+    few = marked.restrict("c > 'c3'", name="few")
+    whole, part = Dataset([marked, few]).apply(Encode(max_columns=10)).tables
+    assert whole.data.columns == ["b", "c", "id(c)", "b == False", "b == True"]
+    for table, rows_of in ((whole, frame), (part, frame.where("c > 'c3'"))):
+        order = {v: i for i, v in enumerate(sorted(r[0] for r in rows_of.select("c").distinct().collect() if r[0] is not None))}
+        found = table.data.select("c", "`id(c)`").collect()
+        assert len(found) == rows_of.count()
+        assert all(number == order.get(c) for c, number in found)
+    assert A.numeric in whole.column("id(c)").attributes and whole.column("id(c)").roots == {("c", "t")}
+
+
+def test_sparse_dummies(spark):
+    from featloom.plans.dictionary import sparse_dummies
+
+    frame = spark.createDataFrame([(1, "b"), (2, None), (1, "a"), (None, "b")], "x int, y string")
+    rows_of, order, words = sparse_dummies(frame, ["x", "y"])
+    assert order == ["x", "y"] and rows(words["y"]) == [("a", 0), ("b", 1)]
+    found = {(r.x, r.y): (r.dummies.size, r.dummies.indices.tolist()) for r in rows_of.collect()}
+    assert {n for n, _ in found.values()} == {6}
+    assert {k: i for k, (_, i) in found.items()} == {(1, "b"): [0, 4], (2, None): [1, 5], (1, "a"): [0, 3], (None, "b"): [2, 4]}
 
 
 def test_impute_leaves_nan(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import functools
 
@@ -11,7 +12,9 @@ from featloom import (
     Aggregate,
     Attribute,
     Cast,
+    Column,
     Combine,
+    Dataset,
     Drop,
     Encode,
     Filter,
@@ -20,6 +23,7 @@ from featloom import (
     Keep,
     Rename,
     Require,
+    Table,
     Union,
     Window,
     clean,
@@ -351,6 +355,19 @@ def known_upload(spark, sf_dir):
     return read_known(spark, path, orders.select("o_orderkey", "o_totalprice"))
 
 
+@query(
+    "SELECT l_orderkey, l_linenumber, CAST(dense_rank() OVER (ORDER BY 'order ' || l_orderkey) - 1 AS BIGINT) AS number, "
+    "l_linestatus = 'O' AS is_open FROM lineitem",
+)
+def encode_high_cardinality(spark, sf_dir):
+    """A text of very many values becomes the number of its category, one of few values becomes dummies."""
+    frame = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "concat('order ', l_orderkey) AS clerk", "l_linestatus AS status")
+    lines = Table(name="lines", columns=[Column(name=c) for c in frame.columns], data=frame)
+    marked = [dataclasses.replace(c, attributes={Attribute.categorical, Attribute.textual}) if c.name in ("clerk", "status") else c for c in lines.columns]
+    (encoded,) = Dataset([lines.select(marked)]).apply(Encode(max_columns=1000))
+    return encoded.data.select("l_orderkey", "l_linenumber", F.col("`id(clerk)`").alias("number"), F.col("`status == O`").alias("is_open"))
+
+
 _TAXES = [n / 100 for n in range(9)]
 
 

@@ -22,7 +22,7 @@ from featloom.learning import (
     feature_matrix,
     pair_correlations,
 )
-from featloom.learning.matrix import filled, indexed, vectors
+from featloom.learning.matrix import decode_labels, encode_labels, filled, indexed, vectors
 from featloom.learning.model import Round
 from featloom.learning.predictors import baseline
 from featloom.learning.selectors import FeatureImportance, mutual_information
@@ -248,6 +248,18 @@ def label_encoding(spark, sf_dir):
     return matrix.frame.select(decoded.alias("flag")).groupBy().pivot("flag", matrix.classes).count()
 
 
+@query(
+    "SELECT 'order ' || l_orderkey AS value, CAST(dense_rank() OVER (ORDER BY 'order ' || l_orderkey) - 1 AS BIGINT) AS label, count(*) AS n "
+    "FROM lineitem GROUP BY l_orderkey",
+)
+def label_encoding_wide(spark, sf_dir):
+    """Labels of more classes than any list should hold, read back by the same dictionary."""
+    lines = read(spark, sf_dir, "lineitem").selectExpr("concat('order ', l_orderkey) AS name")
+    encoded, classes = encode_labels(lines, "name")
+    back = decode_labels(encoded, classes, name="value")
+    return back.groupBy("value", "label").agg(F.count("*").alias("n"))
+
+
 def document_model(spark, sf_dir, rounds=None) -> Model:
     """Predict the quality of labelled documents from their own columns and their source."""
     documents = read(spark, sf_dir, "documents")
