@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 from featloom.learning.correlation import pair_correlations
 from featloom.learning.matrix import FeatureMatrix, as_matrix, indexed, with_donors
 from featloom.learning.predictors import FittedTrees, PredictionMethod
-from featloom.learning.trees import mean_impacts
+from featloom.learning.trees import answers, mean_impacts, read_ensemble, swapped_outputs
 from featloom.problem import Problem
 
 
+# Rows that are scored with all features permuted in one step.
+STEP = 2048
+
+
 class Selector(abc.ABC):
     """Chooses features."""
 
@@ -202,35 +206,47 @@ def permutation_losses(
 ) -> list[list[float]]:
     """Loss of score (accuracy or R²) when one feature is permuted: features x repeats.
 
-    One self-join per repeat gives every row a donor; all features are then replaced in
-    turn in the same pass.  Features that the model does not use cannot lose anything.
+    One self-join per repeat gives every row a donor.  Tasks answer for each row as it is and
+    with every feature in turn taken from the donor, in one evaluation of the trees over whole
+    Arrow batches; a row per task and feature leaves them.  Features that the model does not
+    use cannot lose anything.
     """
     numbered, rows = indexed(matrix.frame.select("features", "label"))
-    intact = fitted.score(numbered).agg(_score_of(matrix.problem)).first()[0]
-    used = [i for i, value in enumerate(fitted.importances) if value > 0]
     losses = [[0.0] * repeats for _ in range(matrix.width)]
-    if not used or intact is None:
+    ensemble = read_ensemble(matrix.frame.sparkSession, fitted)
+    used = sorted({int(f) for leaf in ensemble.leaves for f in leaf.features})
+    spread_of = None
+    if matrix.problem is Problem.regression:
+        spread_of = numbered.agg(F.var_pop("label")).first()[0]
+    if not used or not rows or spread_of == 0:
         return losses
+    width, fills = matrix.width, np.array(fitted.fills)
+    classes = matrix.problem is Problem.classification
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(used) + 1), 0
+        for batch in (b.slice(low, STEP) for b in batches for low in range(0, b.num_rows, STEP)):
+            own, donor = (np.where(np.isnan(x), fills, x) for x in (as_matrix(batch.column(c), width) for c in ("features", "donor")))
+            label = batch.column("label").to_numpy(zero_copy_only=False)
+            given = ~np.isnan(label)
+            plain, swapped = swapped_outputs(ensemble, own, donor, used)
+            found = np.concatenate([answers(plain, classes)[None], answers(swapped, classes)])[:, given]
+            total += ((found != label[given]) if classes else (found - label[given]) ** 2).sum(axis=1)
+            n += int(given.sum())
+        columns = [np.array([-1, *used], np.int32), total, np.full(len(total), n, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["permuted", "error", "n"])
+
     for repeat in range(repeats):
-        donated = with_donors(numbered, rows, seed + repeat)
-        replaced = donated.select(
-            "label", "features", "donor", F.explode(F.array(*(F.lit(i) for i in used))).alias("permuted"),
-        ).select(
-            "label",
-            "permuted",
-            F.expr("transform(features, (x, i) -> if(i = permuted, donor[i], x))").alias("features"),
-        )
-        scores = fitted.score(replaced).groupBy("permuted").agg(_score_of(matrix.problem).alias("score"))
-        for row in scores.collect():
-            losses[row["permuted"]][repeat] = intact - row["score"]
+        donated = with_donors(numbered, rows, seed + repeat).select("label", "features", "donor")
+        summed = donated.mapInArrow(errors, "permuted int, error double, n long").groupBy("permuted")
+        mean = {row[0]: row[1] for row in summed.agg(F.expr("try_divide(sum(error), sum(n))")).collect()}
+        if mean[-1] is None:
+            return losses
+        for feature in used:
+            losses[feature][repeat] = (mean[feature] - mean[-1]) / (spread_of or 1.0)
     return losses
 
 
-def _score_of(problem: Problem):
-    if problem is Problem.classification:
-        return F.expr("avg(CAST(prediction = label AS DOUBLE))")
-    return F.expr("1 - avg(pow(prediction - label, 2)) / nullif(var_pop(label), 0)")
-
 
 @dataclasses.dataclass(frozen=True, kw_only=True)
 class Boruta(Selector):

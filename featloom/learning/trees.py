@@ -120,6 +120,40 @@ def _walk(nodes: dict, at: int, players: dict, weight: float, votes: bool, found
         _walk(nodes, child, {**players, feature: (*interval, share * ratio)}, weight, votes, found)
 
 
+def swapped_outputs(ensemble: Ensemble, own: np.ndarray, donor: np.ndarray, features: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs of rows as they are (rows x outputs), and with one feature at a time taken from
+    their donors (features x rows x outputs).
+
+    A leaf is reached if all its conditions hold; a swapped feature changes only the leaves that
+    it has a condition in, by that condition alone.  So all variants follow from one
+    evaluation of the conditions, and no row is ever repeated.
+    """
+    place = {f: k for k, f in enumerate(features)}
+    outputs = np.zeros((len(own), len(ensemble.outputs)))
+    changes = np.zeros((len(features), len(own), len(ensemble.outputs)))
+    for leaf in ensemble.leaves:
+        holds = (leaf.low < own[:, leaf.features]) & (own[:, leaf.features] <= leaf.high)
+        missed = (~holds).sum(axis=1)
+        reached = missed == 0
+        outputs[reached] += leaf.outputs
+        given = (leaf.low < donor[:, leaf.features]) & (donor[:, leaf.features] <= leaf.high)
+        for k, f in enumerate(leaf.features):
+            others = missed == ~holds[:, k]
+            step = (others & given[:, k]).astype(np.int8) - reached.astype(np.int8)
+            changed = np.flatnonzero(step)
+            changes[place[f], changed] += step[changed, None] * leaf.outputs
+    return outputs, outputs + changes
+
+
+def answers(outputs: np.ndarray, classes: bool) -> np.ndarray:
+    """What the model predicts: a class number (the first of the best ones), or the value itself."""
+    if not classes:
+        return outputs[..., 0]
+    if outputs.shape[-1] == 1:  # margin of two classes
+        return (outputs[..., 0] > 0).astype(float)
+    return np.round(outputs, 12).argmax(axis=-1).astype(float)
+
+
 def leaf_values(share: np.ndarray, holds: np.ndarray) -> np.ndarray:
     """Shapley value of each player of a leaf with output 1.
 

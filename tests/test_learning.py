@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import itertools
 import math
 
@@ -42,7 +43,7 @@ from featloom.learning.matrix import filled, indexed, summarise, vectors, with_d
 from featloom.learning.model import Round
 from featloom.learning.matrix import decode_labels, encode_labels
 from featloom.learning.rank_correlation import signed_pairs
-from featloom.learning.selectors import binomial_tail, mutual_information, top
+from featloom.learning.selectors import binomial_tail, mutual_information, permutation_losses, top
 from featloom.learning.trees import explain, leaf_values, mean_impacts, read_ensemble
 
 
@@ -140,6 +141,27 @@ def test_labels_of_many_classes(spark):
         assert row["label"] == label[row["features"][0]]
 
 
+@pytest.mark.parametrize(
+    ("target", "method"),
+    [("three", RandomForest()), ("two", BoostedTrees()), ("three", BoostedTrees()), ("score", RandomForest()), ("score", BoostedTrees())],
+)
+def test_permutation_losses_against_scoring_every_variant(numbers, target, method):
+    """What the model itself says to rows with one feature replaced, feature by feature."""
+    problem = Problem.regression if target == "score" else Problem.classification
+    matrix = feature_matrix(numbers[0], NAMES, target, problem)
+    matrix = dataclasses.replace(matrix, frame=matrix.frame.where("label IS NOT NULL"))
+    fitted = method.fit(matrix)
+    numbered, n = indexed(matrix.frame.select("features", "label"))
+    donated = with_donors(numbered, n, 5)
+    good = "avg(CAST(prediction = label AS DOUBLE))" if problem is Problem.classification else "1 - avg(pow(prediction - label, 2)) / var_pop(label)"
+    intact = fitted.score(numbered).agg(F.expr(good)).first()[0]
+    losses = permutation_losses(matrix, fitted, repeats=1, seed=5)
+    for feature in range(matrix.width):
+        swapped = donated.withColumn("features", F.expr(f"transform(features, (x, i) -> if(i = {feature}, donor[i], x))"))
+        expected = intact - fitted.score(swapped).agg(F.expr(good)).first()[0]
+        assert losses[feature] == [pytest.approx(expected, abs=1e-9)]
+
+
 # --- correlation ------------------------------------------------------------------------------------
 
 
