@@ -30,7 +30,7 @@ class Keep(Transform):
         return _choose(
             tables,
             table_stays=lambda t: not names or t.name in names,
-            column_stays=lambda c, t: not pairs or (c.name, t.name) in pairs,
+            column_stays=lambda c, t: not pairs or (c, t.name) in pairs,
         )
 
 
@@ -51,7 +51,7 @@ class Drop(Transform):
         return _choose(
             tables,
             table_stays=lambda t: t.name not in names,
-            column_stays=lambda c, t: (c.name, t.name) not in pairs,
+            column_stays=lambda c, t: (c, t.name) not in pairs,
         )
 
 
@@ -59,14 +59,14 @@ def _choose(
     tables: Iterable[Table],
     *,
     table_stays: Callable[[Table], bool],
-    column_stays: Callable[[Column, Table], bool],
+    column_stays: Callable[[str, Table], bool],
 ) -> Iterable[Table]:
     for table in filter(table_stays, tables):
-        columns = [c for c in table.columns if column_stays(c, table)]
-        if len(columns) == len(table.columns):
+        names = [n for n in table.names if column_stays(n, table)]
+        if len(names) == len(table.names):
             yield table
-        elif columns:
-            yield table.select(columns)
+        elif names:
+            yield table.narrow(names)
 
 
 @dataclasses.dataclass(frozen=True, kw_only=True)

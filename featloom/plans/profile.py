@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
+import weakref
+from collections.abc import Collection, Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,14 +63,14 @@ def type_attributes(kind: T.DataType) -> set[Attribute]:
     return set()
 
 
-def profile(frame: DataFrame, *, exact: bool = False) -> list[ColumnProfile]:
-    """Count rows, nulls and distinct values of every column.
+def profile(frame: DataFrame, *, exact: bool = False, names: Collection[str] | None = None) -> list[ColumnProfile]:
+    """Count rows, nulls and distinct values of every column, or of those of some names.
 
     The first scan counts nulls and sketches distinct values.  Distinct counts are then
     made exact only where they can decide an attribute: few values (categorical?) or
     nearly as many as rows (a key?).  ``exact=True`` makes all of them exact.
     """
-    fields = frame.schema.fields
+    fields = [f for f in frame.schema.fields if names is None or f.name in names]
     counted = [f for f in fields if is_profiled(f.dataType)]
     first = frame.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -142,21 +145,57 @@ def attributes_of(kind: T.DataType, counts: ColumnProfile) -> frozenset[Attribut
     return frozenset(found)
 
 
+class ProfiledTable(Table):
+    """A table whose columns are profiled when something asks for their attributes.
+
+    Names, rows and narrower tables need no profile.  What was counted is kept with the frame, so
+    no column of a frame is counted twice, and columns that nobody asks about never are.
+    """
+
+    def __init__(self, frame: DataFrame, name: str, names: Sequence[str], *, exact: bool) -> None:
+        super().__init__(name=name, columns=[Column(name=n) for n in names], data=frame)
+        for late in ("columns", "unique_on", "max_rows"):
+            del self.__dict__[late]
+        self._exact = exact
+
+    @property
+    def names(self) -> list[str]:
+        return list(self._exprs)
+
+    def narrow(self, names: Iterable[str]) -> Table:
+        chosen = set(names)
+        return ProfiledTable(self.frame, self.name, [n for n in self.names if n in chosen], exact=self._exact)
+
+    @functools.cached_property
+    def _counts(self) -> dict[str, ColumnProfile]:
+        known = _known.setdefault(self.frame, {}).setdefault(self._exact, {})
+        unknown = [n for n in self.names if n not in known]
+        if unknown:
+            known.update((c.name, c) for c in profile(self.frame, exact=self._exact, names=unknown))
+        return known
+
+    @functools.cached_property
+    def columns(self) -> list[Column]:
+        kinds = {f.name: f.dataType for f in self.frame.schema.fields}
+        return [Column(name=n, attributes=attributes_of(kinds[n], self._counts[n])) for n in self.names]
+
+    @functools.cached_property
+    def unique_on(self) -> frozenset[str] | None:
+        keys = [c.name for c in self.columns if c.is_key]
+        return frozenset(keys[:1]) or None
+
+    @functools.cached_property
+    def max_rows(self) -> int | None:
+        return next((c.rows for c in self._counts.values()), None)
+
+
+# Counts of the columns of a frame, by exactness and name.
+_known: weakref.WeakKeyDictionary[DataFrame, dict[bool, dict[str, ColumnProfile]]] = weakref.WeakKeyDictionary()
+
+
 def table(frame: DataFrame, name: str, *, exact: bool = False) -> Table:
-    """Profile a frame and wrap it as a table with inferred attributes."""
-    counts = profile(frame, exact=exact)
-    columns = [
-        Column(name=field.name, attributes=attributes_of(field.dataType, c))
-        for field, c in zip(frame.schema.fields, counts)
-    ]
-    keys = [c.name for c in columns if c.is_key]
-    return Table(
-        name=name,
-        columns=columns,
-        data=frame,
-        unique_on=keys[:1] or None,
-        max_rows=counts[0].rows if counts else None,
-    )
+    """Wrap a frame as a table; attributes are inferred on demand."""
+    return ProfiledTable(frame, name, frame.columns, exact=exact)
 
 
 def profile_frame(frame: DataFrame) -> DataFrame:

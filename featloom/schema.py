@@ -161,10 +161,20 @@ class Table:
     def data(self) -> DataFrame:
         """The table as a lazy DataFrame."""
         frame = self.frame if self.where is None else self.frame.where(self.where)
-        plain = all(self._exprs[c.name] == quote(c.name) for c in self.columns)
-        if plain and [c.name for c in self.columns] == frame.columns:
+        plain = all(self._exprs[n] == quote(n) for n in self.names)
+        if plain and self.names == frame.columns:
             return frame
-        return frame.selectExpr(*(f"{self._exprs[c.name]} AS {quote(c.name)}" for c in self.columns))
+        return frame.selectExpr(*(f"{self._exprs[n]} AS {quote(n)}" for n in self.names))
+
+    @property
+    def names(self) -> list[str]:
+        """Names of the columns, for those who need no attributes."""
+        return [c.name for c in self.columns]
+
+    def narrow(self, names: Iterable[str]) -> "Table":
+        """Only the columns of these names, in their present order."""
+        chosen = set(names)
+        return self.select([c for c in self.columns if c.name in chosen])
 
     @property
     def key(self) -> list[str]:

@@ -106,3 +106,29 @@ def test_save_and_load(spark, tmp_path):
     for a, b in zip(made, loaded):
         assert rows(a.data) == rows(b.data)
         assert [(c.name, c.attributes, c.roots) for c in a.columns] == [(c.name, c.attributes, c.roots) for c in b.columns]
+
+
+def test_only_columns_that_are_asked_for_are_profiled(spark, monkeypatch):
+    """No job for rows and names, one profile of what is kept, and never the same column twice."""
+    from featloom import Drop, Keep, from_frames
+    from featloom.plans import profile as module
+
+    asked = []
+
+    def recorded(frame, *, exact=False, names=None):
+        asked.append(sorted(names))
+        return profile(frame, exact=exact, names=names)
+
+    profile = module.profile
+    monkeypatch.setattr(module, "profile", recorded)
+    frame = spark.range(30).selectExpr("id AS a", "id % 3 AS b", "CAST(id AS STRING) AS c", "id / 2 AS d")
+    data = from_frames(spark, {"t": frame})
+    kept = data.apply(Keep(columns=[("a", "t"), ("b", "t"), ("d", "t")])).apply(Drop(columns=[("d", "t")]))
+    assert kept.table("t").data.columns == ["a", "b"] and kept.table("t").data.count() == 30
+    assert asked == []
+    whole = data.tables[0]
+    assert [sorted(map(str, c.attributes)) for c in kept.tables[0].columns] == [
+        sorted(map(str, whole.column(n).attributes)) for n in "ab"
+    ]
+    assert asked == [["a", "b"], ["c", "d"]]
+    assert kept.tables[0].unique_on == {"a"} and kept.tables[0].max_rows == 30
