@@ -46,7 +46,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored against those that are labelled good and not toxic."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")  # other columns may have any name
     good = F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
     labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("labelled")).agg(good)
     flagged = docs.join(labels.hint("merge"), F.col("doc_id") == F.col("labelled"), "left")
