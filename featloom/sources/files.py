@@ -24,7 +24,7 @@ def from_csv(
     *,
     ignore_errors: bool = False,
     null_values: str | Collection[str] | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> Dataset:
     """Read CSV files with header lines; types are inferred from all rows.
 
@@ -34,8 +34,9 @@ def from_csv(
     :param ignore_errors: Read rows with too many or too few values as far as they fit, with a
         warning that counts them, instead of failing.
     :param null_values: Texts that stand for null, besides the empty text.
-    :param multi_line: Quoted values may hold line breaks.  Such a file is read by one task;
-        large files without them are split over tasks with ``multi_line=False``.
+    :param multi_line: Whether quoted values may hold line breaks, which makes a file the work of
+        one task.  By default a scan of the lines decides for each file: only if some line
+        leaves a quote open are its records read across lines.  The rows are the same.
     """
     paths = [files] if isinstance(files, str) else list(files)
     nulls = [null_values] if isinstance(null_values, str) else list(null_values or ())
@@ -44,7 +45,7 @@ def from_csv(
     )
 
 
-def from_csv_dir(spark: SparkSession, path: str, *, multi_line: bool = True) -> Dataset:
+def from_csv_dir(spark: SparkSession, path: str, *, multi_line: bool | None = None) -> Dataset:
     """Read all ``*.csv`` files of a folder, on any file system that Spark can reach."""
     return from_csv(
         spark,
@@ -71,26 +72,38 @@ def read_known(
     path: str,
     known: DataFrame | T.StructType,
     *,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read known rows from a CSV file with at least the given columns, in any order.
 
     :param known: Frame or schema whose column names and types the rows must have.
     """
     schema = known.schema if isinstance(known, DataFrame) else known
-    uploaded = _reader(spark, multi_line).csv(path)
+    uploaded = _reader(spark, path, multi_line).csv(path)
     missing = [f.name for f in schema if f.name not in uploaded.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
     return uploaded.select(*(F.col(quote(f.name)).cast(f.dataType).alias(f.name) for f in schema))
 
 
-def _reader(spark: SparkSession, multi_line: bool):
-    return spark.read.options(header=True, escape='"', multiLine=multi_line)
+def _reader(spark: SparkSession, path: str, multi_line: bool | None):
+    spans = _spans_lines(spark, path) if multi_line is None else multi_line
+    return spark.read.options(header=True, escape='"', multiLine=spans)
 
 
-def _read_csv(spark: SparkSession, path: str, ignore_errors: bool, nulls: list[str], multi_line: bool) -> DataFrame:
-    reader = _reader(spark, multi_line)
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a record may go on behind the end of its line, by a scan that tasks share.
+
+    The first line of such a record leaves a quote open, so it has an odd number of quotes;
+    a carriage return inside a line is a line break, too.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("line"))
+    odd = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1
+    return lines.where(odd | F.contains("line", F.lit("\r"))).limit(1).count() > 0
+
+
+def _read_csv(spark: SparkSession, path: str, ignore_errors: bool, nulls: list[str], multi_line: bool | None) -> DataFrame:
+    reader = _reader(spark, path, multi_line)
     names = reader.csv(path).columns
     if ignore_errors:
         texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _MISFIT]])

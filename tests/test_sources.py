@@ -132,3 +132,31 @@ def test_only_columns_that_are_asked_for_are_profiled(spark, monkeypatch):
     ]
     assert asked == [["a", "b"], ["c", "d"]]
     assert kept.tables[0].unique_on == {"a"} and kept.tables[0].max_rows == 30
+
+
+def test_files_are_split_unless_records_span_lines(spark, tmp_path):
+    """The lines decide, and both ways of reading give the same rows."""
+    from featloom import from_csv
+    from featloom.sources.files import _spans_lines
+
+    plain = "a,b\n" + "".join(f'{i},"x ""{i}"", y"\n' for i in range(4000))
+    files = {
+        "plain": (plain, False),
+        "windows": (plain.replace("\n", "\r\n"), False),
+        "spanning": (plain + '4000,"one\ntwo"\n', True),
+        "inches": (plain + '4001,5" pipe\n', True),
+        "returns": (plain + '4002,"one\rtwo"\n', True),
+        "empty": ("a,b\n", False),
+    }
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for name, (text, spans) in files.items():
+            path = str(tmp_path / f"{name}.csv")
+            (tmp_path / f"{name}.csv").write_bytes(text.encode())
+            assert _spans_lines(spark, path) is spans, name
+            chosen = from_csv(spark, path).tables[0].data
+            assert rows(chosen) == rows(from_csv(spark, path, multi_line=True).tables[0].data), name
+            assert (chosen.rdd.getNumPartitions() > 3) is (not spans and name != "empty"), name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
