@@ -43,7 +43,10 @@ class Round:
 
 
 def default_rounds(known: Sequence[Column], predictor: PredictionMethod) -> list[Round]:
-    """Aggregates, then aggregates of filtered rows, then combinations of what was selected."""
+    """Aggregates, then aggregates of filtered rows, then combinations of what was selected.
+
+    Fixed values: how many features each round keeps, and its limits of correlation.
+    """
     aggregate = Aggregate(is_pivotable=known, max_pivots=1)
     return [
         Round(

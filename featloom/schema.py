@@ -26,7 +26,7 @@ if TYPE_CHECKING:
 
 @enum.unique
 class Attribute(enum.Enum):
-    """What is known about the values of a column."""
+    """What is known about the values of a column.  Fixed values: the names."""
 
     boolean = "boolean"
     categorical = "categorical"

@@ -21,6 +21,7 @@ from featloom import (
 from featloom.functions import literal, quote
 
 
+# How transforms have to combine.
 @pytest.mark.parametrize(
     ("actual", "expected"),
     [
