@@ -151,9 +151,13 @@ def tokens(page: str) -> Iterator[Token]:
 def best_region(page: str, weights: Weights) -> list[Token]:
     """Tokens of the contiguous region with the highest sum of scores, by one scan.
 
-    The region does not cross the border of a marked one.
+    The region does not cross the border of a marked one.  If it lies in a marked element, the
+    best regions of the other elements that are marked alike belong to it, as far as the
+    weights of unmarked pages call them text: several articles of a page are one text, a list of
+    links in an article of its own is not.
     """
     found = list(tokens(page))
+    regions: list[tuple[float, int, int]] = []
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, value, context, level) in enumerate(found):
         if kind == "border":
@@ -165,11 +169,32 @@ def best_region(page: str, weights: Weights) -> list[Token]:
         else:
             score = weights.marked if level else weights.tags.get(value, weights.tag)
         total += score
+        if kind == "border":
+            regions.append((best, *span))
+            best, span = 0.0, (0, 0)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, span = total, (start, i + 1)
-    return found[slice(*span)]
+    regions.append((best, *span))
+    top = max(regions, key=lambda r: r[0])
+    if not top[0]:
+        return []
+    level = found[top[1]][3]
+    if not level:
+        return found[slice(*top[1:])]
+    alike = [r for r in regions if r[0] and found[r[1]][3] == level and (r is top or _unmarked(found[slice(*r[1:])], weights) > 0)]
+    return [token for _, low, high in alike for token in [*found[low:high], ("border", "article", "plain", level)]]
+
+
+def _unmarked(region: list[Token], weights: Weights) -> float:
+    """Score of a region as if it were not marked."""
+    score = 0.0
+    for kind, value, context, _ in region:
+        if context != "boilerplate":
+            words = getattr(weights, context) * len(_WORD.findall(value))
+            score += words if kind == "text" else weights.tags.get(value, weights.tag)
+    return score
 
 
 def main_text(page: str | None, weights: Weights) -> str:

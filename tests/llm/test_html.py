@@ -32,6 +32,9 @@ AROUND = (
         ("<article><ul><li>one item here<li>two items here</ul><table><tr><td>cell<td>other</table>", "one item here\ntwo items here\ncell\nother"),
         (f"<main><p>An intro of the page.<article>{STORY}<article class=comment><p>So wise!</article><p>End.</article></main>", TEXT + "\nEnd."),
         (f"<article>{STORY}<p><a href=x>More words in a link</a></article>", TEXT + "\nMore words in a link"),
+        (f"<article>{STORY}</article><p>x<article><p>More of it, told in other words.</article>", TEXT + "\nMore of it, told in other words."),
+        (f"<article>{STORY}</article><article><a href=x>Only some links</a> <a href=y>that lead on</a></article>", TEXT),
+        (f"<main><article>{STORY}</article><nav>menu</nav><article>{STORY}</article></main>", TEXT + "\n" + TEXT),
         ("plain words without any markup at all", "plain words without any markup at all"),
         ("1 < 2 and 3 > 2, is it not <b>so</b>?", "1 < 2 and 3 > 2, is it not so?"),
         ("<article><p>Words before a tag that is cut <a href='x", "Words before a tag that is cut"),
