@@ -12,7 +12,7 @@ from featloom.llm.divergence import source_divergence
 from featloom.llm.html import extract_text, learn_weights
 from featloom.llm.lattice import embedding_groups
 from featloom.llm.linededup import dedup_lines
-from featloom.llm.lmscore import score_documents, train
+from featloom.llm.lmscore import score_corpus
 from featloom.llm.minhash import minhash_groups
 from featloom.llm.mixing import mixing_plan
 from featloom.llm.packing import pack_documents
@@ -20,6 +20,10 @@ from featloom.llm.pii import personal_data
 from featloom.llm.quality import line_frequency_rules
 from featloom.llm.sharding import shard_records
 from featloom.llm.trie import prefix_trie
+from featloom.plans.storage import materialise
+
+#: Labelled ids, 8 bytes each, that are broadcast; more of them are joined by a shuffle.
+BROADCAST_IDS = 1 << 21
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,10 +51,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored against those that are labelled good and not toxic."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")  # other columns may have any name
-    good = F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
-    labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("labelled")).agg(good)
-    flagged = docs.join(labels.hint("merge"), F.col("doc_id") == F.col("labelled"), "left")
-    return score_documents(docs, train(flagged, target="good", unflagged=docs))
+    good = F.max((F.col("quality") == 1) & (F.col("toxic") == 0))
+    good = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("labelled")).agg(good.alias("good")).where("good")
+    ids = good.select(F.col("labelled").cast("long"))
+    few = ids.count() <= BROADCAST_IDS
+    flagged = docs.join(F.broadcast(ids) if few else ids.hint("merge"), F.col("doc_id") == F.col("labelled"), "left")
+    flagged = flagged.select("doc_id", "text", F.col("labelled").isNotNull().alias("good"))
+    return score_corpus(flagged if few else materialise(flagged, "flagged"), target="good")
 
 
 @query

@@ -8,7 +8,7 @@ import pytest
 from fixtures import FOLDER, awkward, empty, words
 from pyspark.sql import functions as F
 
-from featloom.llm.lmscore import Models, score_documents, train
+from featloom.llm.lmscore import Models, score_corpus, score_documents, train
 
 
 def tokens(text):
@@ -118,3 +118,55 @@ def test_unseen_words_and_bigrams(spark):
     p = {w: (n + models.alpha) / (7 + models.alpha * 4) for w, n in single.items()}
     chances = [p["c"], models.prior * p["a"] / (2 + models.prior), models.prior * p["z"] / (3 + models.prior), p["b"]]
     assert r.background_loss == pytest.approx(-sum(map(math.log2, chances)) / 4, rel=1e-5)
+
+
+def agree(got, wanted):
+    got = sorted(got, key=lambda r: (str(r.doc_id), r.n_tokens))
+    wanted = sorted(wanted, key=lambda x: (str(x[0]), x[1]))
+    assert len(got) == len(wanted)
+    for r, (doc_id, n, target, background) in zip(got, wanted):
+        assert (r.doc_id, r.n_tokens) == (doc_id, n)
+        if n == 0:
+            assert r.target_loss is r.background_loss is r.score is None
+        else:
+            assert (r.target_loss, r.background_loss) == pytest.approx((target, background), rel=1e-6, abs=1e-6)
+            assert r.score == pytest.approx(target - background, abs=1e-5)
+
+
+@pytest.mark.parametrize("share", [1, 1 << 8, 1 << 16])
+@pytest.mark.parametrize("vocabulary", [None, 40])
+def test_corpus_of_awkward_rows(spark, monkeypatch, share, vocabulary):
+    """Long texts included, with no, some and most words and bigrams frequent, in several buckets and stretches."""
+    from featloom.llm import lmscore
+
+    monkeypatch.setattr(lmscore, "BUCKET", 1 << 9)
+    monkeypatch.setattr(lmscore, "FREQUENT_WORDS", share)
+    monkeypatch.setattr(lmscore, "FREQUENT_PAIRS", share)
+    docs = awkward(spark).withColumn("target", F.col("source") == "a")
+    rows = docs.collect()
+    single = Counter(w for r in rows for w in tokens(r.text))
+    if vocabulary is None:
+        known = set(single)
+    else:  # ties go by hash, so take those that are certain
+        ranked = sorted(single.values(), reverse=True)
+        vocabulary = next(n for n in range(vocabulary, 0, -1) if n >= len(ranked) or ranked[n - 1] > ranked[n])
+        known = {w for w, _ in single.most_common(vocabulary)}
+    models = Models(vocabulary=vocabulary)
+    agree(score_corpus(docs, target="target", models=models).collect(), brute(rows, models, known))
+
+
+def test_corpus_does_not_depend_on_its_layout(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("target", F.col("doc_id") % 3 == 0)
+    one, many = (sorted(score_corpus(docs.repartition(n, "doc_id"), target="target").collect()) for n in (1, 7))
+    assert one == many
+    both = {r.doc_id: r for r in score_documents(docs, train(docs, target="target")).collect()}
+    assert len(both) == len(one)
+    for r in one:
+        if r.n_tokens:
+            assert (r.target_loss, r.background_loss) == pytest.approx((both[r.doc_id].target_loss, both[r.doc_id].background_loss), rel=1e-5)
+
+
+def test_corpus_without_rows_or_target(spark):
+    assert score_corpus(empty(spark).withColumn("target", F.lit(True)), target="target").count() == 0
+    docs = spark.createDataFrame([(1, "a b", None), (2, None, True)], "doc_id long, text string, target boolean")
+    agree(score_corpus(docs, target="target").collect(), brute(docs.collect(), Models(), {"a", "b"}))
