@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featloom.llm import words as W
-from featloom.plans.storage import materialise
+from featloom.plans.storage import materialise, release
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -20,7 +20,7 @@ WINDOW = 5
 
 _SCHEMA = (
     "row long, doc_id long, host string, content string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, line array<long>, around array<long>, words array<int>"
+    "n_repeat_words long, line array<long>, words array<int>"
 )
 
 
@@ -28,17 +28,18 @@ _SCHEMA = (
 class LineRules:
     """Limits of the rules.
 
-    A line is boilerplate in a host if more than ``max_docs`` documents of the host and more
-    than ``max_share`` of them hold it, with other lines around it in more than half of them:
-    copies and near copies of one document repeat its lines in one place, and are the work
-    of deduplication.  A document is depleted if less than ``min_left`` of its words are
-    outside boilerplate lines.
+    A line is boilerplate in a host if more than ``max_docs`` different documents of the host and
+    more than ``max_share`` of them hold it.  Copies of a text are one document, and a document
+    counts only if at least ``min_own`` of its words are outside lines that are so frequent:
+    near copies of one document, which repeat its lines, are the work of deduplication.  A
+    document is depleted if less than ``min_left`` of its words are outside boilerplate lines.
     """
 
     max_docs: int = 20
     max_share: float = 0.01
     min_words: int = 10
     min_left: float = 0.2
+    min_own: float = 0.25
     max_repeat: float = 0.2
 
 
@@ -72,12 +73,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             covered = np.cumsum(cover)[:-1] > 0
             n_repeat = W.per_text(covered, found.text, n)
 
-            # each different line once per document, with what stands around its first occurrence
+            # each different line once per document
             hashes = W.line_hash(lowered, first)
             sizes = np.diff(np.append(first, len(found.hash)))
-            previous = np.where(np.append(True, text[1:] != text[:-1])[: len(text)], 0, np.roll(hashes, 1))
-            following = np.where(np.append(text[1:] != text[:-1], True)[: len(text)], 1, np.roll(hashes, -1))
-            around = W.mix(previous + W.mix(following.astype(np.uint64)))
             keyed = W.mix(hashes + W.mix(text.astype(np.uint64)))
             _, keep, inverse = np.unique(keyed, return_index=True, return_inverse=True)
             total = np.bincount(inverse, weights=sizes, minlength=len(keep)).astype(np.int32)
@@ -93,26 +91,40 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("content").slice(own.start, n),
                 *(pa.array(x.astype(np.int64)) for x in (found.count, word_chars, n_symbols, n_dup, n_repeat)),
                 pa.ListArray.from_arrays(bounds, pa.array(W.signed(hashes[keep]))),
-                pa.ListArray.from_arrays(bounds, pa.array(W.signed(around[keep]))),
                 pa.ListArray.from_arrays(bounds, pa.array(total)),
             ]
             names = [part.split()[0] for part in _SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
+def _lines(measured: DataFrame) -> DataFrame:
+    lines = measured.select("row", "host", "n_words", F.explode(F.arrays_zip("line", "words")).alias("l"))
+    return lines.select("row", "host", "n_words", "l.line", "l.words")
+
+
 def _boilerplate(measured: DataFrame, rules: LineRules) -> DataFrame:
     """Host and line of all lines above the limits."""
-    lines = measured.select("host", F.explode(F.arrays_zip("line", "around")).alias("l"))
-    lines = lines.select("host", "l.line", "l.around")
-    contexts = lines.groupBy("host", "line", "around").agg(F.count("*").alias("docs"))
-    counts = contexts.groupBy("host", "line").agg(F.sum("docs").alias("docs"), F.count("*").alias("contexts"))
-    counts = counts.where(F.col("docs") > rules.max_docs)
-    sizes = measured.groupBy("host").agg(F.count("*").alias("of_host"))
-    return (
-        counts.join(sizes, "host")
-        .where((F.col("docs") > rules.max_share * F.col("of_host")) & (2 * F.col("contexts") > F.col("docs")))
-        .select("host", "line")
+    first = measured.groupBy("host", "content").agg(F.min("row").alias("row"))
+    different = measured.join(first.select("row"), "row", "left_semi").select("row", "host", "n_words", "line", "words")
+    different = materialise(different, "different-documents")
+    sizes = different.groupBy("host").agg(F.count("*").alias("of_host"))
+
+    def above(lines: DataFrame) -> DataFrame:
+        counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > rules.max_docs)
+        return counts.join(sizes, "host").where(F.col("docs") > rules.max_share * F.col("of_host")).select("host", "line")
+
+    frequent = materialise(above(_lines(different)), "frequent-lines")
+    held = _lines(different).join(frequent, ["host", "line"])
+    held = held.groupBy("row").agg(
+        F.first("host").alias("host"),
+        F.first("n_words").alias("n_words"),
+        F.sum("words").alias("shared"),
+        F.collect_list("line").alias("line"),
     )
+    own = held.where(F.col("n_words") - F.col("shared") >= rules.min_own * F.col("n_words"))
+    bad = materialise(above(own.select("host", F.explode("line").alias("line"))), "boilerplate")
+    release(different, frequent)
+    return bad
 
 
 def line_frequency_rules(
@@ -133,9 +145,8 @@ def line_frequency_rules(
 
     Lines are counted by partial sums, so a line that every document holds costs one row per
     task; counts cover all documents.  A null or empty text has no words and fails; a null
-    host is one host; equal rows count as documents of their own but share their context, so
-    they never make boilerplate; an empty table gives an empty result; other columns are
-    not read.
+    host is one host; equal texts of a host count as one document, so they never make
+    boilerplate; an empty table gives an empty result; other columns are not read.
     """
     return _judge(_measured(docs, doc_id, text, host), rules).drop("host", "content")
 
@@ -153,21 +164,17 @@ def _measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 
 def _judge(measured: DataFrame, rules: LineRules) -> DataFrame:
     """Verdicts of measured documents."""
-    bad = materialise(_boilerplate(measured, rules), "boilerplate")
-    lines = measured.select(
-        "row",
-        "host",
-        F.explode(F.arrays_zip("line", "words")).alias("l"),
-    ).select("row", "host", "l.line", "l.words")
+    bad = _boilerplate(measured, rules)
     lost = (
-        lines.join(bad, ["host", "line"])
+        _lines(measured)
+        .join(bad, ["host", "line"])
         .groupBy("row")
         .agg(F.sum("words").alias("boilerplate_words"), F.collect_set("line").alias("boilerplate"))
     )
     n, lost_words = F.col("n_words"), F.coalesce("boilerplate_words", F.lit(0))
     failed = (n < rules.min_words) | (100 * F.col("n_repeat_words") > F.lit(100 * rules.max_repeat) * n)
     depleted = n - lost_words < rules.min_left * n
-    return measured.drop("line", "around", "words").join(lost, "row", "left").select(
+    return measured.drop("line", "words").join(lost, "row", "left").select(
         "doc_id",
         "host",
         "content",
