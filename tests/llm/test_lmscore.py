@@ -170,3 +170,20 @@ def test_corpus_without_rows_or_target(spark):
     assert score_corpus(empty(spark).withColumn("target", F.lit(True)), target="target").count() == 0
     docs = spark.createDataFrame([(1, "a b", None), (2, None, True)], "doc_id long, text string, target boolean")
     agree(score_corpus(docs, target="target").collect(), brute(docs.collect(), Models(), {"a", "b"}))
+
+
+def test_query_joins_labels_alike_however_many(spark, monkeypatch, tmp_path):
+    """Broadcast or shuffled ids, repeated ids and labels, columns with the names that the query uses."""
+    from featloom.llm import queries
+
+    docs = [(1, "a b a", 0), (1, "c d", 0), (2, None, 0), (3, "a b e", 0), (None, "a", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, good int").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1, 0, "x"), (1, 1, 1, "y"), (2, 1, 0, "z"), (3, 0, 0, "x"), (None, 1, 0, "x")]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string").write.parquet(f"{tmp_path}/labels.parquet")
+    few = queries.op1_cross_entropy_difference(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(queries, "BROADCAST_IDS", 0)
+    many = queries.op1_cross_entropy_difference(spark, str(tmp_path)).collect()
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    assert sorted(few, key=key) == sorted(many, key=key)
+    rows = spark.createDataFrame([(*d[:2], d[0] in (1, 2)) for d in docs], "doc_id long, text string, target boolean").collect()
+    agree(few, brute(rows, Models(), {"a", "b", "c", "d", "e"}))
