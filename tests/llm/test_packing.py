@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from fixtures import FOLDER, awkward, empty
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from featloom.llm.packing import Index, Rest, encoder, pack_documents
@@ -69,7 +71,7 @@ def test_whole_table(spark, tokenizer):
 
 def test_small_shards_carry_open_windows_over(spark, tokenizer):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").coalesce(1)
-    lengths = check(docs, pack_documents(docs, VOCABULARY, shard_bytes=20_000).collect(), tokenizer)
+    lengths = check(docs, pack_documents(docs, VOCABULARY, shard_tokens=8_000).collect(), tokenizer)
     assert sum(n < 1024 for n in lengths) <= 1
 
 
@@ -95,9 +97,79 @@ def test_neighbours_share_rare_terms():
     draw = np.random.default_rng(1)
     groups = [draw.integers(1000 * g, 1000 * g + 300, (20, 60)) for g in range(5)]
     rests = [Rest(i, np.append(row, draw.integers(9000, 9050, 40)), 0, 100) for i, row in enumerate(np.concatenate(groups))]
-    index = Index(rests, 16)
-    unused = np.ones(100, bool)
-    unused[:5] = False
-    near = index.neighbours(rests[0], unused, 10)
-    assert near and min(near) >= 5
-    assert sum(5 <= i < 20 for i in near[:8]) >= 6
+    held = np.bincount(np.concatenate([np.unique(r.ids) for r in rests]), minlength=9050)
+    scores = Index(rests, np.log1p((100.5 - held) / (held + 0.5)), 100.0).scores(rests[0].ids)
+    assert sum(5 <= i < 20 for i in [i for i in np.argsort(-scores) if i >= 5][:8]) >= 6
+
+
+def windows(pieces):
+    """Sequences as sets of pieces, whatever their numbers."""
+    by_sequence = defaultdict(list)
+    for p in pieces:
+        by_sequence[p.sequence_id].append((p.offset, p.doc_id, p.start, p.length))
+    return Counter(tuple(sorted(parts)) for parts in by_sequence.values())
+
+
+def test_split_of_the_input_does_not_matter(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    sizes = {"shard_tokens": 20_000, "group_tokens": 100_000}
+    one, eight = (windows(pack_documents(docs.repartition(n), VOCABULARY, **sizes).collect()) for n in (1, 8))
+    assert one == eight
+
+
+def test_copies_spread_over_shards(spark, tokenizer):
+    """A third of all documents agree; no group of shards takes more than its part."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    copies = spark.range(10_000, 10_500).select(F.col("id").alias("doc_id"), F.lit("one and the same text " * 100).alias("text"))
+    both = docs.union(copies)
+    pieces = pack_documents(both, VOCABULARY, shard_tokens=8_000, group_tokens=40_000).collect()
+    check(both, pieces, tokenizer)
+    sizes = Counter()
+    for p in pieces:
+        if p.sequence_id % 2 == 0:
+            sizes[p.sequence_id >> 33] += p.length
+    assert len(sizes) > 10 and max(sizes.values()) < 2 * 40_000
+
+
+def test_best_neighbours_fill_each_window(spark, tokenizer):
+    """Replay of one shard with plain dictionaries: no unused document scores above a chosen one."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(300).select("doc_id", "text").collect()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    encoded = tokenizer.encode_batch([r.text or "" for r in docs], add_special_tokens=False)
+    tails = {}
+    for r, e in zip(docs, encoded):
+        ids = [*e.ids, 0]
+        if len(ids) % 1024:
+            tails[r.doc_id] = ids[len(ids) // 1024 * 1024 :]
+    n, mean = len(tails), sum(map(len, tails.values())) / len(tails)
+    held = Counter(t for ids in tails.values() for t in set(ids))
+    idf = {t: math.log1p((n - d + 0.5) / (d + 0.5)) if d > 1 else 0.0 for t, d in held.items()}
+    counts = {d: Counter(ids) for d, ids in tails.items()}
+
+    def score(terms, d):
+        norm = 1.2 * (0.25 + 0.75 * len(tails[d]) / mean)
+        return sum(idf[t] * counts[d][t] * 2.2 / (counts[d][t] + norm) for t in terms if t in counts[d])
+
+    sequences = defaultdict(list)
+    for p in pack_documents(frame, VOCABULARY, shard_tokens=1 << 30, group_tokens=1 << 30).collect():
+        if p.sequence_id % 2 == 0:
+            sequences[p.sequence_id].append((p.offset, p.doc_id, p.length))
+    left = {d: len(ids) for d, ids in tails.items()}
+    for _, pieces in sorted(sequences.items()):
+        pieces.sort()
+        _, seed, length = pieces[0]
+        terms = set(tails[seed][-left[seed] :])
+        assert length == left.pop(seed)
+        chosen = []
+        for _, d, length in pieces[1:]:
+            chosen.append(score(terms, d))
+            left[d] -= length
+            if not left[d]:
+                del left[d]
+        assert all(a >= b - 1e-9 for a, b in zip(chosen, chosen[1:]))
+        cut = pieces[-1][1]
+        others = [score(terms, d) for d in left if d != cut]
+        if chosen and others:
+            assert max(others) <= chosen[-1] + 1e-9
+        assert sum(length for _, _, length in pieces) == 1024 or not left
+    assert not left
