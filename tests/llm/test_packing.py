@@ -89,7 +89,9 @@ def test_awkward_rows(spark, tokenizer):
 
 
 def test_ids_of_special_strings_and_odd_texts(tokenizer):
-    for text in ["<|endoftext|> x", "a　b\x00c", "don't  stop\n\n\n now", "é" * 3000, "🙂🙃 𝒳", " " * 5000, "1" * 999]:
+    texts = ["<|endoftext|> x", "a　b\x00c", "don't  stop\n\n\n now", "é" * 3000, "🙂🙃 𝒳", " " * 5000, "1" * 999]
+    texts += ["we'll they've I'm he's you'd we're 'tis '", " \n a \t\u00a0\u2003b  ", "a\n", "a \n\n", "\r\n\r\nx", "--- '' 's", "a1b2 3c", ""]
+    for text in texts:
         assert encoder(VOCABULARY)(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
