@@ -18,6 +18,7 @@ from featloom.learning.correlation import pair_correlations
 from featloom.learning.matrix import FeatureMatrix, as_matrix, indexed, with_donors
 from featloom.learning.predictors import FittedTrees, PredictionMethod
 from featloom.learning.trees import answers, mean_impacts, read_ensemble, swapped_outputs
+from featloom.plans.quantiles import array_quantiles
 from featloom.problem import Problem
 
 
@@ -110,18 +111,17 @@ class MutualInformation(Selector):
         return top(scores, self.n)
 
 
-def mutual_information(matrix: FeatureMatrix, *, bins: int | None = None, accuracy: int = 10_000) -> DataFrame:
+def mutual_information(matrix: FeatureMatrix, *, bins: int | None = None) -> DataFrame:
     """Mutual information (in nats) of each feature with the target, from counts.
 
     The estimator follows from ``bins`` alone, never from the data.  With None every value of a
     feature and of the target counts by itself.  With a number, every feature is cut at its
-    quantiles into that many bins (fewer where quantiles are equal), and so is the target of a
+    exact quantiles into that many bins (fewer where quantiles are equal), and so is the target of a
     regression; classes count by themselves.  Missing features count as 0,
     infinite ones as the largest number.
 
-    Tasks count first, so what is shuffled is a row per value (or bin) and target per batch.
-
-    :param accuracy: Of the quantiles: they are exact up to this number of rows.
+    Tasks count first, so what is shuffled is a row per value and target per batch, or a row per
+    bin and target per task.
     """
     width = matrix.width
     largest = f"{sys.float_info.max!r}D"
@@ -130,27 +130,38 @@ def mutual_information(matrix: FeatureMatrix, *, bins: int | None = None, accura
         f"x -> greatest(-{largest}, least({largest}, coalesce(nanvl(x, 0D), 0D)))) AS x",
     )
     cut = [] if bins is None else [*range(width), *([width] if matrix.problem is Problem.regression else [])]
-    limits = _bin_limits(rows, cut, bins, accuracy)
+    limits = _bin_limits(rows, cut, bins)
+    names = ["feature", "bin", "target", "n"]
+    classes = max(1, len(matrix.classes or ()))
+
+    def listed(f: int, values: np.ndarray, targets: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        columns = [np.full(len(n), f, np.int32), values.astype(float), targets.astype(float), n.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = as_matrix(batch.column(0), width + 1)
-            for f, own in limits.items():
-                x[:, f] = np.searchsorted(own, x[:, f], "left")
             classes, target = np.unique(x[:, -1], return_inverse=True)
             for f in range(width):
                 values, place = np.unique(x[:, f], return_inverse=True)
                 codes, n = np.unique(place * len(classes) + target, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(codes), f, dtype=np.int32)),
-                        pa.array(values[codes // len(classes)]),
-                        pa.array(classes[codes % len(classes)]),
-                        pa.array(n.astype(np.int64)),
-                    ],
-                    ["feature", "bin", "target", "n"],
-                )
+                yield listed(f, values[codes // len(classes)], classes[codes % len(classes)], n)
 
+    def count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        targets = len(limits[width]) + 1 if width in limits else classes
+        counts = [np.zeros((len(limits[f]) + 1) * targets, np.int64) for f in range(width)]
+        for batch in batches:
+            x = as_matrix(batch.column(0), width + 1)
+            target = np.searchsorted(limits[width], x[:, -1], "left") if width in limits else x[:, -1].astype(np.int64)
+            for f in range(width):
+                codes = np.searchsorted(limits[f], x[:, f], "left") * targets + target
+                counts[f] += np.bincount(codes, minlength=len(counts[f]))
+        for f, n in enumerate(counts):
+            codes = np.flatnonzero(n)
+            yield listed(f, codes // targets, codes % targets, n[codes])
+
+    if bins is not None:
+        count = count_bins
     counted = rows.mapInArrow(count, "feature int, bin double, target double, n long")
     cells = counted.groupBy("feature", "bin", "target").agg(F.sum("n").alias("n"))
 
@@ -166,15 +177,10 @@ def mutual_information(matrix: FeatureMatrix, *, bins: int | None = None, accura
     )
 
 
-def _bin_limits(rows: DataFrame, cut: list[int], bins: int | None, accuracy: int) -> dict[int, np.ndarray]:
-    """Upper limits of the bins of some features, from one aggregate per hundred of them."""
-    limits = {}
-    for low in range(0, len(cut), 100):
-        own = cut[low : low + 100]
-        shares = [k / bins for k in range(1, bins)]
-        found = rows.agg(*(F.percentile_approx(F.get("x", F.lit(f)), shares, accuracy).alias(str(f)) for f in own)).first()
-        limits |= {f: np.unique(np.array(found[str(f)] or (), dtype=np.float64)) for f in own}
-    return limits
+def _bin_limits(rows: DataFrame, cut: list[int], bins: int | None) -> dict[int, np.ndarray]:
+    """Upper limits of the bins of some elements of the array ``x``: its quantiles."""
+    shares = [k / bins for k in range(1, bins)] if bins else []
+    return {f: np.unique(values) for f, values in array_quantiles(rows, "x", cut, shares).items()}
 
 
 @dataclasses.dataclass(frozen=True, kw_only=True)

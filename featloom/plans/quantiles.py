@@ -1,19 +1,24 @@
 """Quantiles per group, also for groups that do not fit into one task.
 
 Small groups use the built-in ``percentile`` aggregate, groups beyond the row limit a radix
-selection over counted prefixes of their values, in a fixed number of scans.
+selection over counted prefixes of their values, in a fixed number of scans.  Quantiles of the
+elements of an array column are bracketed by a sketch and then counted inside the brackets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featloom.functions import quote
 from featloom.plans.skew import HotGroups, find_hot_groups
-from featloom.plans.storage import materialise
+from featloom.plans.storage import materialise, release
 
 # Values that one task may hold for the exact quantiles of a group, over all its targets.
 VALUE_LIMIT = 4_000_000
@@ -32,6 +37,10 @@ PREFIX = f"""CASE WHEN isnan(value) THEN {8000 * STEPS}L
   WHEN value = 0 THEN 0L
   WHEN value IS NOT NULL THEN CAST(signum(value) AS BIGINT) * CAST(floor((log2(abs(value)) + 1100) * {STEPS}) AS BIGINT) END"""
 
+# Ranks of the sketch that brackets quantiles of arrays, and values that a task counts at a time.
+BRACKETS = 2_000
+BUFFERED = 1 << 20
+
 _CELL = {"n": "count(value)", "low": "min(value)", "high": "max(value)"}
 
 
@@ -192,3 +201,108 @@ def _inside(rows: DataFrame, cells: DataFrame, group: Sequence[str]) -> DataFram
     for g in group:
         match = match & F.col(quote(g)).eqNullSafe(F.col(quote(f"of {g}")))
     return rows.join(listed, match).drop(*(f"of {g}" for g in [*group, "prefix"]))
+
+
+def array_quantiles(
+    frame: DataFrame, column: str, places: Sequence[int], shares: Sequence[float], *, slack: int = 2,
+) -> dict[int, np.ndarray]:
+    """Exact quantiles of elements of an array of doubles: for each place the smallest value that
+    at least a share of the rows does not exceed, for each share.
+
+    A sketch brackets each quantile; one more scan counts what lies between the brackets and, value
+    by value, the small share of the rows that lies inside them.  A rank outside of its bracket
+    would show in these counts, and is looked for again in a wider one.
+
+    :param column: Array without null or NaN in the given places.
+    :param slack: Half the width of a bracket, in ranks of the sketch.
+    """
+    places = list(places)
+    if not places or not shares:
+        return {}
+    margin = slack / BRACKETS
+    found = {}
+    for low in range(0, len(places), 100):
+        own = places[low : low + 100]
+        ends = [e for p in shares for e in (max(0.0, p - margin), min(1.0, p + margin))]
+        cells = (F.percentile_approx(F.get(column, F.lit(f)), ends, BRACKETS).alias(str(f)) for f in own)
+        row = frame.agg(F.count(F.lit(1)).alias("n"), *cells).first()
+        rows = row["n"]
+        if not rows:
+            found |= {f: np.empty(0) for f in own}
+            continue
+        brackets = {f: _disjoint(np.array(row[str(f)], dtype=np.float64) + 0.0) for f in own}
+        ranks = [max(1, math.ceil(Fraction(p).limit_denominator(1_000_000) * rows)) for p in shares]
+        found |= _ranked(frame.select(column), brackets, ranks)
+    missed = [f for f, values in found.items() if len(values) and np.isnan(values).any()]
+    return found | (array_quantiles(frame, column, missed, shares, slack=slack * 32) if missed else {})
+
+
+def _disjoint(ends: np.ndarray) -> np.ndarray:
+    """Intervals (low, high) in ascending order, of which those that touch are one."""
+    merged: list[list[float]] = []
+    for low, high in sorted(ends.reshape(-1, 2).tolist()):
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    return np.array(merged)
+
+
+def _ranked(frame: DataFrame, brackets: Mapping[int, np.ndarray], ranks: Sequence[int]) -> dict[int, np.ndarray]:
+    """Values at the given ranks (from 1) of elements of the only column; NaN where no bracket holds one."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {f: np.zeros(2 * len(own) + 1, np.int64) for f, own in brackets.items()}
+        inside: dict[int, list[np.ndarray]] = {f: [] for f in brackets}
+
+        def counted(f: int) -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(inside[f]), return_counts=True)
+            inside[f].clear()
+            cell = 2 * np.searchsorted(brackets[f][:, 1], values, "left") + 1
+            return record(f, cell, values, n)
+
+        def record(f: int, cell: np.ndarray, values: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+            own = pa.nulls(len(n), pa.float64()) if values is None else pa.array(values)
+            columns = [pa.array(np.full(len(n), f, np.int32)), pa.array(cell.astype(np.int32)), own, pa.array(n)]
+            return pa.RecordBatch.from_arrays(columns, ["place", "cell", "value", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for f, own in brackets.items():
+                v = x[:, f] + 0.0
+                # odd cells are the brackets, even ones lie between them
+                cell = np.searchsorted(own[:, 0], v, "right") + np.searchsorted(own[:, 1], v, "left")
+                totals[f] += np.bincount(cell, minlength=len(totals[f]))
+                inside[f].append(v[cell % 2 == 1])
+                if sum(map(len, inside[f])) > BUFFERED:
+                    yield counted(f)
+        for f in brackets:
+            if inside[f]:
+                yield counted(f)
+            yield record(f, np.arange(len(totals[f])), None, totals[f])
+
+    parts = frame.mapInArrow(count, "place int, cell int, value double, n long")
+    parts = parts.groupBy("place", "cell", "value").agg(F.sum("n").alias("n"))
+    parts = materialise(parts, "bracketed")
+    wanted = []
+    totals = {f: np.zeros(2 * len(own) + 1, np.int64) for f, own in brackets.items()}
+    for row in parts.where("value IS NULL").collect():  # a row per place and cell
+        totals[row["place"]][row["cell"]] = row["n"]
+    for f, n in totals.items():
+        last = np.cumsum(n)
+        for k, rank in enumerate(ranks):
+            cell = int(np.searchsorted(last, rank, "left"))
+            if cell % 2:
+                wanted.append((f, cell, k, int(rank - last[cell] + n[cell])))
+    found = {f: np.full(len(ranks), np.nan) for f in brackets}
+    if wanted:
+        listed = frame.sparkSession.createDataFrame(wanted, "place int, cell int, k int, rank long")
+        ordered = Window.partitionBy("place", "cell").orderBy("value")
+        values = parts.where("value IS NOT NULL").withColumn("last", F.sum("n").over(ordered))
+        values = values.join(F.broadcast(listed), ["place", "cell"]).where("rank <= last AND rank > last - n")
+        for row in values.collect():  # a row per place and rank
+            found[row["place"]][row["k"]] = row["value"]
+    release(parts)
+    return found

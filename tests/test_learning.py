@@ -44,6 +44,7 @@ from featloom.learning.model import Round
 from featloom.learning.matrix import decode_labels, encode_labels
 from featloom.learning.rank_correlation import signed_pairs
 from featloom.learning.selectors import binomial_tail, mutual_information, permutation_losses, top
+from featloom.plans.quantiles import _ranked, array_quantiles
 from featloom.learning.trees import explain, leaf_values, mean_impacts, read_ensemble
 
 
@@ -305,6 +306,22 @@ def test_mutual_information_does_not_depend_on_the_number_of_values(spark, value
     assert mutual_information(matrix, bins=8).first()["information"] < 0.05
 
 
+def test_bins_are_cut_at_exact_quantiles_of_many_rows(spark):
+    n = 200_000
+    frame = spark.range(0, n, 1, 7).selectExpr(
+        "array(CAST(pmod(id * 77773, 200003) AS DOUBLE), CAST(id % 5 AS DOUBLE), -0.0D, CAST(least(id, 1000) AS DOUBLE)) AS x",
+    )
+    shares = [k / 20 for k in range(1, 20)]
+    found = array_quantiles(frame, "x", [0, 1, 2, 3], shares)
+    own = np.array([row.x for row in frame.collect()])
+    expected = np.sort(own, axis=0)[[max(1, math.ceil(round(n * p, 6))) - 1 for p in shares]]
+    for f in range(4):
+        assert found[f].tolist() == expected[:, f].tolist()
+    missed = _ranked(frame, {0: np.array([[10.0, 20.0]])}, [1, 15])
+    assert np.isnan(missed[0][0]) and missed[0][1] == np.sort(own[:, 0])[14]
+    assert array_quantiles(frame.where("false"), "x", [1], shares)[1].size == 0
+
+
 def test_mutual_information_of_infinite_features(spark):
     frame = spark.range(200).selectExpr(
         "CAST(CASE id % 4 WHEN 0 THEN 'Infinity' WHEN 1 THEN '-Infinity' WHEN 2 THEN 'NaN' ELSE '0' END AS DOUBLE) AS x",

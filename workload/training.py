@@ -202,7 +202,7 @@ def _binned_sql(x: str, target: str) -> str:
 
 
 def _information(matrix: FeatureMatrix, names: list[str]):
-    scores = mutual_information(matrix, bins=_BINS, accuracy=1_000_000)
+    scores = mutual_information(matrix, bins=_BINS)
     listed = F.array(*(F.lit(n) for n in names))
     return scores.select(F.get(listed, F.col("feature")).alias("feature"), F.expr(f"{_r('information')} AS information"))
 
