@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featloom.functions import quote
+from featloom.plans.groupscan import LIMB_BITS, scan_groups, scannable
 from featloom.plans.profile import is_floating
 from featloom.plans.quantiles import default_row_limit, hot_quantiles, percentile_sql, sketch_sql, split_by_heat
 from featloom.plans.skew import find_hot_groups
@@ -22,9 +23,6 @@ FILTER_COLUMNS = 100
 # Column with the number of the grouping set.
 GROUPING_SET = "grouping set"
 
-# Bits of a limb of a wide sum.
-LIMB_BITS = 21
-
 # Statistics per numeric column, in the order in which feature tables list them.
 STATISTICS = ("max", "mean", "median", "min", "std", "sum", "var")
 
@@ -64,6 +62,8 @@ def grouped_statistics(
 
     While every group fits into a task the rows are shuffled once by key and aggregated
     there completely: partial medians save nothing and would force a sort on both sides.
+    Plain numbers are sorted by key and aggregated many groups and slices at a time on Arrow
+    batches (``groupscan.py``), other types by built-in aggregates.
     If some group is too large, everything but the medians is combined before the
     shuffle, and the medians of the large groups are found by radix selection.
 
@@ -114,6 +114,13 @@ def grouped_statistics(
         hot = find_hot_groups(rows, key_names, row_limit=row_limit)
 
     def complete(part: DataFrame) -> DataFrame:
+        if scannable(part, key_names, kinds):
+            scanned = scan_groups(part, key_names, kinds, [None if p.where is None else f"slice {j}" for j, p in enumerate(slices)])
+            if len(scanned.columns) > FILTER_COLUMNS:
+                scanned = materialise(scanned, "slices")
+            names = {f"rows {j}": row_count(p.prefix) for j, p in enumerate(slices)}
+            names |= {f"median {j} {i}": statistic(p.prefix, "median", c) for j, p in enumerate(slices) for i, c in enumerate(values)}
+            return scanned.withColumnsRenamed(names)
         if len(slices) * (1 + len(STATISTICS) * len(values)) > FILTER_COLUMNS and len(slices) > 1:
             return _by_slice(part.repartition(*by), key_names, list(values), kinds, slices)
         builtin = [F.expr(percentile_sql(sql, p)).alias(name) for name, (sql, p) in medians.items()]

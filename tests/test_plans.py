@@ -7,6 +7,9 @@ from hypothesis import HealthCheck, given, settings
 from pyspark.sql import functions as F
 
 from conftest import rows
+from featloom.plans import grouping
+from featloom.plans.grouping import Slice, grouped_statistics
+from featloom.plans.groupscan import scan_groups
 from featloom.plans.ordering import ordered_split, running_total
 from featloom.plans.quantiles import grouped_quantiles
 from featloom.plans.skew import find_hot_groups, split_left_join
@@ -137,3 +140,41 @@ def test_materialise_uses_the_shared_folder(spark):
     written = materialise(spark.range(5).toDF("a b (c)"), "check")
     assert all(f.startswith(("file:", folder)) for f in written.inputFiles())
     assert written.count() == 5
+
+
+def test_scanned_groups_equal_built_in_aggregates(spark, monkeypatch):
+    nan = float("nan")
+    data = [
+        (k, s, v, w, big, f)
+        for k, s in ((None, "a"), (1, "a"), (1, None), (2, "b"), (3, "c"))
+        for v, w, big, f in (
+            (1.5, 1, 2**62, True), (nan, None, 2**62 + 1, False), (None, -7, -(2**62), None),
+            (float("inf"), 3, None, True), (-0.5, 4, 5, k != 3),
+        )[: 1 + (k or 4)]
+    ]
+    frame = spark.createDataFrame(data, "k int, s string, v double, w int, big long, f boolean").repartition(3)
+    keys, values = {"k": "k", "s": "s"}, {"v": "v", "w": "w", "big": "big"}
+    slices = [Slice("all ", None), Slice("some ", "f"), Slice("none ", "false")]
+    scanned = grouped_statistics(frame, keys, values, slices)
+    assert "MapInArrow" in scanned._jdf.queryExecution().toString()
+    monkeypatch.setattr(grouping, "scannable", lambda *_: False)
+    built_in = grouped_statistics(frame, keys, values, slices)
+    assert scanned.schema.simpleString() == built_in.schema.simpleString()
+
+    def rounded(made):
+        return [tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in row) for row in rows(made)]
+
+    assert str(rounded(scanned)) == str(rounded(built_in))
+
+
+def test_scanned_groups_are_not_cut_by_batches(spark):
+    frame = spark.range(30_000).selectExpr("id % 7 AS k", "CAST(id AS DOUBLE) AS v").union(spark.range(500).selectExpr("id + 100", "1D"))
+    frame = frame.repartition(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        found = scan_groups(frame.withColumnRenamed("v", "value 0"), ["k"], [frame.schema["v"].dataType], [None], chunk=250).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = {row["k"]: (row["rows 0"], row["median 0 0"]) for row in found}
+    own = list(range(3, 30_000, 7))
+    assert len(found) == len(sizes) == 507 and sizes[3] == (len(own), float(np.median(own)))
