@@ -12,7 +12,8 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featloom.learning.matrix import FeatureMatrix, fills_of, filled, summarise, vectors
+from featloom.learning.matrix import FeatureMatrix, fills_of, filled, spread, summarise, vectors
+from featloom.plans.storage import materialise, release
 from featloom.problem import Problem
 
 # Prediction methods by name; `offer` adds one.
@@ -20,6 +21,9 @@ PREDICTION_METHODS: dict[str, "PredictionMethod"] = {}
 
 SEED = 42
 
+# Rows from which on equal ones are counted before trees are fitted to them.
+WEIGHED_ROWS = 1 << 20
+
 
 class Fitted(abc.ABC):
     """A fitted predictor."""
@@ -66,11 +70,11 @@ class BoostedTrees(PredictionMethod):
     def fit(self, matrix: FeatureMatrix) -> FittedTrees:
         options = {"featuresCol": "vector", "seed": SEED, "maxIter": 20, "maxDepth": 5}
         if matrix.problem is Problem.regression:
-            return _fit_trees(GBTRegressor(**options), matrix)
+            return _fit_trees(GBTRegressor(**options), matrix, bagged=False)
         boosted = GBTClassifier(**options)
         if len(matrix.classes or ()) > 2:
             boosted = OneVsRest(classifier=boosted, featuresCol="vector")
-        return _fit_trees(boosted, matrix)
+        return _fit_trees(boosted, matrix, bagged=False)
 
 
 class RandomForest(PredictionMethod):
@@ -79,12 +83,46 @@ class RandomForest(PredictionMethod):
     def fit(self, matrix: FeatureMatrix) -> FittedTrees:
         options = {"featuresCol": "vector", "seed": SEED, "numTrees": 20, "maxDepth": 5}
         forest = RandomForestRegressor if matrix.problem is Problem.regression else RandomForestClassifier
-        return _fit_trees(forest(**options), matrix)
-
-
-def _fit_trees(estimator: Any, matrix: FeatureMatrix) -> FittedTrees:
-    fills = fills_of(summarise(matrix))
-    return FittedTrees(estimator.fit(vectors(filled(matrix.frame, fills))), fills)
+        return _fit_trees(forest(**options), matrix, bagged=True)
+
+
+def _fit_trees(estimator: Any, matrix: FeatureMatrix, *, bagged: bool) -> FittedTrees:
+    summaries = summarise(matrix)
+    fills = fills_of(summaries)
+    rows = filled(matrix.frame, fills)
+    counted = None
+    if max((s.present for s in summaries), default=0) > WEIGHED_ROWS:
+        counted = _counted(rows.select("features", "label"))
+    if counted is None:
+        return FittedTrees(estimator.fit(vectors(rows)), fills)
+    ready = spread(_pieces(counted) if bagged else counted.withColumnRenamed("n", "weight"))
+    fitted = FittedTrees(estimator.setWeightCol("weight").fit(vectors(ready)), fills)
+    release(counted)
+    return fitted
+
+
+def _counted(rows: DataFrame) -> DataFrame | None:
+    """Different rows with their number ``n``, written down, or None if few rows are equal.
+
+    Trees see a row as often as it occurs, so a weight takes the place of equal rows, and what is
+    cached and scanned per level of the trees follows the different ones.
+    """
+    found = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("features", "label")).alias("different"),
+    ).first()
+    if found["different"] * 4 > found["n"]:
+        return None
+    counted = rows.groupBy("features", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return materialise(counted, "counted-rows")
+
+
+def _pieces(counted: DataFrame) -> DataFrame:
+    """Rows for bootstrap samples, which draw rows whatever their weight: a heavy row becomes several,
+    so that none weighs more than a share of ``1 / WEIGHED_ROWS`` of all."""
+    total = counted.agg(F.sum("n")).first()[0]
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("n") * WEIGHED_ROWS / total)).cast("int")
+    rows = counted.withColumn("weight", F.col("n") / pieces).withColumn("piece", F.explode(F.sequence(F.lit(1), pieces)))
+    return rows.drop("piece", "n")
 
 
 @dataclasses.dataclass(frozen=True)

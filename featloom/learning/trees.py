@@ -116,10 +116,15 @@ def _walk(nodes: dict, at: int, players: dict, weight: float, votes: bool, found
         (node["leftChild"], (low, min(high, threshold))),
         (node["rightChild"], (max(low, threshold), high)),
     ):
-        ratio = nodes[child]["rawCount"] / node["rawCount"]
+        ratio = _weight(nodes[child], votes) / _weight(node, votes)
         _walk(nodes, child, {**players, feature: (*interval, share * ratio)}, weight, votes, found)
 
 
+def _weight(node: Any, votes: bool) -> float:
+    """Weight of the training rows of a node: its votes, or the first of the sums its variance follows from."""
+    return sum(node["impurityStats"]) if votes else node["impurityStats"][0]
+
+
 def swapped_outputs(ensemble: Ensemble, own: np.ndarray, donor: np.ndarray, features: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Outputs of rows as they are (rows x outputs), and with one feature at a time taken from
     their donors (features x rows x outputs).

@@ -38,7 +38,7 @@ from featloom.learning import (
     feature_matrix,
     pair_correlations,
 )
-from featloom.learning import rank_correlation
+from featloom.learning import predictors, rank_correlation
 from featloom.learning.matrix import filled, indexed, summarise, vectors, with_donors
 from featloom.learning.model import Round
 from featloom.learning.matrix import decode_labels, encode_labels
@@ -306,6 +306,27 @@ def test_mutual_information_does_not_depend_on_the_number_of_values(spark, value
     assert mutual_information(matrix, bins=8).first()["information"] < 0.05
 
 
+@pytest.mark.parametrize("method", [BoostedTrees(), RandomForest()])
+def test_trees_of_counted_rows_are_those_of_all_rows(spark, monkeypatch, method):
+    frame = spark.range(0, 6000, 1, 3).selectExpr(
+        "CAST(id % 10 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b", "CAST(id % 10 > 6 AS INT) + CAST(id % 3 > 1 AS INT) AS y",
+    )
+    for problem, target in ((Problem.classification, "y"), (Problem.regression, "y")):
+        matrix = feature_matrix(frame, ["a", "b"], target, problem)
+        monkeypatch.setattr(predictors, "WEIGHED_ROWS", 1 << 20)
+        plain = method.fit(matrix)
+        monkeypatch.setattr(predictors, "WEIGHED_ROWS", 500)
+        fits = []
+        monkeypatch.setattr(predictors, "release", lambda counted: fits.append(counted.count()))
+        weighed = method.fit(matrix)
+        assert fits == [30]
+        both = [sorted(map(tuple, m.score(matrix.frame).select("features", "prediction").distinct().collect())) for m in (plain, weighed)]
+        close = 1e-6 if isinstance(method, BoostedTrees) else 0.35
+        assert [p for _, p in both[0]] == pytest.approx([p for _, p in both[1]], abs=close)
+        expected, found = (mean_impacts(matrix.frame, m, 2) for m in (plain, weighed))
+        assert expected == pytest.approx(found, rel=0.15)
+
+
 def test_bins_are_cut_at_exact_quantiles_of_many_rows(spark):
     n = 200_000
     frame = spark.range(0, n, 1, 7).selectExpr(
