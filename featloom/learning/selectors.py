@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from featloom.learning.correlation import pair_correlations
 from featloom.learning.matrix import FeatureMatrix, as_matrix, indexed, with_donors
 from featloom.learning.predictors import FittedTrees, PredictionMethod
-from featloom.learning.trees import answers, mean_impacts, read_ensemble, swapped_outputs
+from featloom.learning.trees import answers, mean_impacts, read_ensemble, swapped_function
 from featloom.plans.quantiles import array_quantiles
 from featloom.problem import Problem
 
@@ -231,11 +231,12 @@ def permutation_losses(
 
     def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(used) + 1), 0
+        swapped_of = swapped_function(ensemble, used)
         for batch in (b.slice(low, STEP) for b in batches for low in range(0, b.num_rows, STEP)):
             own, donor = (np.where(np.isnan(x), fills, x) for x in (as_matrix(batch.column(c), width) for c in ("features", "donor")))
             label = batch.column("label").to_numpy(zero_copy_only=False)
             given = ~np.isnan(label)
-            plain, swapped = swapped_outputs(ensemble, own, donor, used)
+            plain, swapped = swapped_of(own, donor)
             found = np.concatenate([answers(plain, classes)[None], answers(swapped, classes)])[:, given]
             total += ((found != label[given]) if classes else (found - label[given]) ** 2).sum(axis=1)
             n += int(given.sum())

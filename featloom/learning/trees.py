@@ -27,6 +27,9 @@ from featloom.plans.storage import scratch_path
 # Up to this many players all patterns of held conditions are tabulated per leaf.
 TABULATED_PLAYERS = 8
 
+# Up to this many outputs are tabulated per tree.
+TABULATED_CELLS = 1 << 18
+
 
 @dataclasses.dataclass(frozen=True)
 class Leaf:
@@ -150,6 +153,68 @@ def swapped_outputs(ensemble: Ensemble, own: np.ndarray, donor: np.ndarray, feat
     return outputs, outputs + changes
 
 
+def swapped_function(ensemble: Ensemble, features: Sequence[int]):
+    """The function of rows and donors that :func:`swapped_outputs` is, for many rows.
+
+    A tree only sees between which of its thresholds a value lies, so its outputs are tabulated by
+    these intervals, and a swapped feature moves a row inside the table.  Trees with too many
+    combinations of intervals are evaluated leaf by leaf.
+    """
+    limits: dict[int, list[float]] = {f: [] for f in features}
+    trees = [list(leaves) for _, leaves in itertools.groupby(ensemble.leaves, key=lambda leaf: leaf.tree)]
+    for leaf in ensemble.leaves:
+        for f, low, high in zip(leaf.features, leaf.low, leaf.high):
+            limits[f] += [v for v in (low, high) if np.isfinite(v)]
+    cuts = {f: np.unique(v) for f, v in limits.items()}
+    tables, rest = [], []
+    for leaves in trees:
+        table = _tabulated(leaves, cuts, len(ensemble.outputs))
+        if table is None:
+            rest += leaves
+        else:
+            tables.append(table)
+    others = dataclasses.replace(ensemble, leaves=rest)
+
+    def outputs(own: np.ndarray, donor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        plain, swapped = swapped_outputs(others, own, donor, features)
+        places = {f: (np.searchsorted(cuts[f], own[:, f], "left"), np.searchsorted(cuts[f], donor[:, f], "left")) for f in features}
+        for steps, table in tables:
+            at = {f: step[places[f][0]] for f, step in steps.items()}
+            cell = sum(at.values(), np.zeros(len(own), np.int64))
+            found = table[cell]
+            plain += found
+            for k, f in enumerate(features):
+                swapped[k] += table[cell - at[f] + steps[f][places[f][1]]] if f in steps else found
+        return plain, swapped
+
+    return outputs
+
+
+def _tabulated(leaves: list[Leaf], cuts: dict[int, np.ndarray], outputs: int):
+    """Steps in a table per place among all thresholds of a feature, and the table of a tree."""
+    limits: dict[int, np.ndarray] = {}
+    for f in sorted({int(f) for leaf in leaves for f in leaf.features}):
+        ends = [v for leaf in leaves for v in (*leaf.low[leaf.features == f], *leaf.high[leaf.features == f])]
+        limits[f] = np.unique([v for v in ends if np.isfinite(v)])
+    shape = [len(v) + 1 for v in limits.values()]
+    if math.prod(shape) * outputs > TABULATED_CELLS:
+        return None
+    table = np.zeros((*shape, outputs))
+    for leaf in leaves:
+        box = [slice(None)] * len(shape)
+        for f, low, high in zip(leaf.features, leaf.low, leaf.high):
+            own = limits[int(f)]
+            first = 0 if low == -math.inf else int(np.searchsorted(own, low)) + 1
+            box[list(limits).index(int(f))] = slice(first, None if high == math.inf else int(np.searchsorted(own, high)) + 1)
+        table[tuple(box)] += leaf.outputs
+    steps = {}
+    for k, (f, own) in enumerate(limits.items()):
+        # the interval of the tree that a place among all thresholds lies in
+        inside = np.concatenate([np.searchsorted(own, cuts[f], "left"), [len(own)]])
+        steps[f] = inside.astype(np.int64) * math.prod(shape[k + 1 :])
+    return steps, table.reshape(-1, outputs)
+
+
 def answers(outputs: np.ndarray, classes: bool) -> np.ndarray:
     """What the model predicts: a class number (the first of the best ones), or the value itself."""
     if not classes:

@@ -38,7 +38,7 @@ from featloom.learning import (
     feature_matrix,
     pair_correlations,
 )
-from featloom.learning import predictors, rank_correlation
+from featloom.learning import predictors, rank_correlation, trees
 from featloom.learning.matrix import filled, indexed, summarise, vectors, with_donors
 from featloom.learning.model import Round
 from featloom.learning.matrix import decode_labels, encode_labels
@@ -327,6 +327,19 @@ def test_trees_of_counted_rows_are_those_of_all_rows(spark, monkeypatch, method)
         assert expected == pytest.approx(found, rel=0.15)
 
 
+@pytest.mark.parametrize("cells", [1 << 18, 40, 0])
+def test_tabulated_trees_answer_like_their_leaves(spark, numbers, monkeypatch, cells):
+    monkeypatch.setattr(trees, "TABULATED_CELLS", cells)
+    matrix = feature_matrix(numbers[0], ["a", "b", "c", "f"], "three", Problem.classification)
+    ensemble = read_ensemble(spark, RandomForest().fit(matrix))
+    used = sorted({int(f) for leaf in ensemble.leaves for f in leaf.features})
+    rng = np.random.default_rng(5)
+    limits = np.array([v for leaf in ensemble.leaves for v in (*leaf.low, *leaf.high) if np.isfinite(v)])
+    own, donor = (np.where(rng.random((500, 4)) < 0.5, rng.normal(size=(500, 4)), rng.choice(limits, (500, 4))) for _ in range(2))
+    expected, found = trees.swapped_outputs(ensemble, own, donor, used), trees.swapped_function(ensemble, used)(own, donor)
+    assert all(np.allclose(x, y, atol=1e-12) for x, y in zip(expected, found))
+
+
 def test_bins_are_cut_at_exact_quantiles_of_many_rows(spark):
     n = 200_000
     frame = spark.range(0, n, 1, 7).selectExpr(
