@@ -24,6 +24,9 @@ from featloom.plans.storage import materialise
 # Points that one task compares, about.
 STRIP_ROWS = 500_000
 
+# Ranks of different values up to which tasks look them up in a broadcast table.
+LISTED_RANKS = 1 << 21
+
 # Strips of heavy values lie between those of a part of the order; a part has fewer of them.
 _BETWEEN = 1 << 16
 
@@ -53,8 +56,9 @@ def spearman(matrix: FeatureMatrix) -> DataFrame:
 
     Ranks depend on these rows, so features are put into classes that are missing in the same
     rows, and a value has a rank for each class: the rank among the rows in which that class is
-    present too.  Values are counted by feature and class before they are ordered, and every
-    row gets all ranks of its values by one join.
+    present too.  Values are counted by feature and class before they are ordered.  A bounded
+    number of ranks is broadcast and no row is shuffled; beyond it, every row gets all ranks of
+    its values by one join.
     """
     width = matrix.width
     shared = together(matrix)
@@ -64,10 +68,9 @@ def spearman(matrix: FeatureMatrix) -> DataFrame:
     heads, of = np.unique(firsts, return_inverse=True)
     classes = len(heads)
 
-    numbered, _ = indexed(matrix.frame.select("features"))
     there = F.expr(f"filter(array({', '.join(f'IF({present(f"features[{h}]")}, {k}, -1)' for k, h in enumerate(heads))}), k -> k >= 0)")
-    long = numbered.select("index", there.alias("there"), F.posexplode("features").alias("feature", "value"))
-    long = long.withColumn("value", F.expr(f"CASE WHEN {present('value')} THEN value + 0D END"))
+    value = F.expr(f"CASE WHEN {present('value')} THEN value + 0D END")
+    long = matrix.frame.select(there.alias("there"), F.posexplode("features").alias("feature", "value")).withColumn("value", value)
     counted = long.where("value IS NOT NULL").groupBy("feature", "there", "value").agg(F.count(F.lit(1)).alias("n"))
     by_class = counted.select("feature", F.explode("there").alias("class"), "value", "n")
     by_class = by_class.groupBy("feature", "class", "value").agg(F.sum("n").alias("n"))
@@ -77,18 +80,53 @@ def spearman(matrix: FeatureMatrix) -> DataFrame:
     middle = F.array(*(F.lit(float(shared[i, h] + 1) / 2) for i in range(width) for h in heads))
     rank = F.expr("before - start + (n + 1) / 2D") - F.get(middle, F.col("feature") * classes + F.col("class"))
     ranks = placed.join(F.broadcast(starts), ["feature", "class"]).select("feature", "class", "value", rank.alias("rank"))
+    ranks = materialise(ranks, "ranks")
+    if ranks.count() <= LISTED_RANKS:
+        return _rank_products(matrix.frame.select("features"), width, of, _listed(ranks, width, classes))
     every = F.sequence(F.lit(0), F.lit(classes - 1))
     table = ranks.groupBy("feature", "value").agg(F.map_from_entries(F.collect_list(F.struct("class", "rank"))).alias("m"))
     table = table.select("feature", "value", F.transform(every, lambda k: F.try_element_at("m", k)).alias("ranks"))
-    joined = split_left_join(long.drop("there"), table, ["feature", "value"])
+    numbered, _ = indexed(matrix.frame.select("features"))
+    long = numbered.select("index", F.posexplode("features").alias("feature", "value")).withColumn("value", value)
+    joined = split_left_join(long, table, ["feature", "value"])
     none = F.array_repeat(F.lit(None).cast("double"), classes)
     cell = F.struct("feature", F.coalesce("ranks", none).alias("ranks"))
     rows = joined.groupBy("index").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     return _rank_products(rows.selectExpr("flatten(cells.ranks) AS ranks"), width, of)
 
 
-def _rank_products(rows: DataFrame, width: int, of: np.ndarray) -> DataFrame:
-    """Correlation of centred ranks: of each feature among the rows of the other's class."""
+def _listed(ranks: DataFrame, width: int, classes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per feature its values in ascending order, and their rank in each class (NaN if it has none)."""
+    found = ranks.toPandas()
+    tables = []
+    for f in range(width):
+        own = found[found["feature"] == f]
+        values, at = np.unique(own["value"].to_numpy(float), return_inverse=True)
+        table = np.full((len(values), classes), np.nan)
+        table[at, own["class"].to_numpy(int)] = own["rank"].to_numpy(float)
+        tables.append((values, table))
+    return tables
+
+
+def _rank_products(
+    rows: DataFrame, width: int, of: np.ndarray, listed: list[tuple[np.ndarray, np.ndarray]] | None = None,
+) -> DataFrame:
+    """Correlation of centred ranks: of each feature among the rows of the other's class.
+
+    :param listed: Ranks of all values, if the rows hold values.
+    """
+    shared = None if listed is None else rows.sparkSession.sparkContext.broadcast(listed)
+
+    def ranks_of(column: pa.Array) -> np.ndarray:
+        if shared is None:
+            return as_matrix(column, width * classes).reshape(-1, width, classes)
+        x = as_matrix(column, width)
+        ranks = np.full((len(x), width, classes), np.nan)
+        for f, (values, table) in enumerate(shared.value):
+            given = np.flatnonzero(~np.isnan(x[:, f]))
+            ranks[given, f] = table[np.searchsorted(values, x[given, f])]
+        return ranks
+
     classes = int(of.max(initial=0)) + 1
     first, second = np.triu_indices(width, k=1)
     members = [np.flatnonzero(of == k) for k in range(classes)]
@@ -98,7 +136,7 @@ def _rank_products(rows: DataFrame, width: int, of: np.ndarray) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ranks = as_matrix(batch.column(0), width * classes).reshape(-1, width, classes)
+            ranks = ranks_of(batch.column(0))
             for a, b in itertools.product(range(classes), repeat=2):
                 x, y = ranks[:, members[a], b], ranks[:, members[b], a]
                 here = np.ix_(members[a], members[b])

@@ -340,6 +340,18 @@ def test_tabulated_trees_answer_like_their_leaves(spark, numbers, monkeypatch, c
     assert all(np.allclose(x, y, atol=1e-12) for x, y in zip(expected, found))
 
 
+def test_listed_ranks_equal_joined_ones(numbers, monkeypatch):
+    matrix = feature_matrix(numbers[0], NAMES, "two", Problem.classification)
+    listed = rows(pair_correlations(matrix, "spearman"))
+    monkeypatch.setattr(rank_correlation, "LISTED_RANKS", 0)
+    joined = rows(pair_correlations(matrix, "spearman"))
+    assert [r[:2] for r in listed] == [r[:2] for r in joined]
+    assert [r[2] for r in listed] == [r[2] if r[2] is None else pytest.approx(r[2], abs=1e-9) for r in joined]
+    monkeypatch.setattr(rank_correlation, "LISTED_RANKS", 1 << 21)
+    monkeypatch.setattr(rank_correlation, "split_left_join", None)  # no row is shuffled
+    assert rows(pair_correlations(matrix, "spearman")) == listed
+
+
 def test_bins_are_cut_at_exact_quantiles_of_many_rows(spark):
     n = 200_000
     frame = spark.range(0, n, 1, 7).selectExpr(
