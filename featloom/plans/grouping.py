@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import sys
 from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -13,13 +14,17 @@ from featloom.functions import quote
 from featloom.plans.groupscan import LIMB_BITS, scan_groups, scannable
 from featloom.plans.profile import is_floating
 from featloom.plans.quantiles import default_row_limit, hot_quantiles, percentile_sql, sketch_sql, split_by_heat
-from featloom.plans.skew import find_hot_groups
+from featloom.plans.skew import HotGroups, find_hot_groups
 from featloom.plans.storage import materialise
 
 # Result columns up to which one aggregate with FILTER clauses stays in generated code.  More
 # slices are aggregated one below the other instead: same scan, shuffle and results.
 FILTER_COLUMNS = 100
 
+# Rows of a group of several grouping sets from which on it costs less to merge counts by all keys, once
+# for all sets, than to shuffle a copy of its rows per set.
+SET_ROWS = 1 << 19
+
 # Column with the number of the grouping set.
 GROUPING_SET = "grouping set"
 
@@ -69,7 +74,8 @@ def grouped_statistics(
 
     Several sets of keys are grouping sets: a row is repeated per set behind the one scan, with
     the number of the set in ``GROUPING_SET`` and null for the keys that the set lacks, which that
-    number tells from null keys.
+    number tells from null keys.  Rows are only repeated for the groups that fit into a task; for large
+    ones partial results by all keys are.
 
     Without ``exact`` the medians are those of mergeable sketches, so every statistic is combined
     before the shuffle, whatever the size of a group; ranks err by ``SKETCH_ERROR`` of its rows.
@@ -89,9 +95,11 @@ def grouped_statistics(
         *(f"({s.where}) AS {quote(f'slice {j}')}" for j, s in enumerate(slices) if s.where is not None),
     )
     kinds = [rows.schema[f"value {i}"].dataType for i in range(len(values))]
+    all_keys, given = key_names, rows
     if sets is not None:
-        rows = _repeated(rows, key_names, sets)
-        key_names = [GROUPING_SET, *key_names]
+        sets = [{all_keys.index(k) for k in chosen} for chosen in sets]
+        rows = _repeated(rows, all_keys, sets)
+        key_names = [GROUPING_SET, *all_keys]
         checked_rows = None if checked_rows is None else checked_rows * len(sets)
     by = [F.col(quote(k)) for k in key_names]
 
@@ -108,10 +116,15 @@ def grouped_statistics(
             sliced = f"CASE WHEN {chosen} THEN {x} END" if chosen else x
             medians[statistic(piece.prefix, "median", column)] = (sliced, 0.5)
 
-    row_limit = row_limit or default_row_limit(len(medians))
+    row_limit = row_limit or min(default_row_limit(len(medians)), SET_ROWS if sets else sys.maxsize)
     hot = None
     if exact and medians and (checked_rows is None or checked_rows > row_limit):
-        hot = find_hot_groups(rows, key_names, row_limit=row_limit)
+        if sets is None:
+            hot = find_hot_groups(rows, key_names, row_limit=row_limit)
+        else:
+            sizes = given.groupBy(*(F.col(quote(k)) for k in all_keys)).agg(F.count(F.lit(1)).alias("rows of keys"))
+            sizes = materialise(sizes, "group-sizes")
+            hot = find_hot_groups(_repeated(sizes, all_keys, sets), key_names, row_limit=row_limit, counted_in="rows of keys")
 
     def complete(part: DataFrame) -> DataFrame:
         if scannable(part, key_names, kinds):
@@ -134,10 +147,19 @@ def grouped_statistics(
     elif hot is None:
         grouped = complete(rows)
     else:
-        heavy, light = split_by_heat(rows, key_names, hot)
-        cold = complete(light)
-        combined = heavy.groupBy(*by).agg(*simple)
-        found = hot_quantiles(heavy, key_names, medians, row_limit=row_limit)
+        if sets is None:
+            heavy, light = split_by_heat(rows, key_names, hot)
+            cold = complete(light)
+            combined = heavy.groupBy(*by).agg(*simple)
+            found = hot_quantiles(heavy, key_names, medians, row_limit=row_limit)
+        else:
+            def expand(part: DataFrame, names: list[str]) -> DataFrame:
+                return _of_hot_groups(_repeated(part, names[1:], sets, names[0]), names, hot)
+
+            cold = complete(_light_rows(given, sizes, all_keys, sets, hot))
+            combined = _merged(given, all_keys, kinds, slices, lambda part: expand(part, key_names))
+            combined = combined.select(*(F.col(quote(c)).cast(cold.schema[c].dataType).alias(c) for c in combined.columns))
+            found = hot_quantiles(given, key_names, medians, row_limit=row_limit, expand=expand)
         found = found.withColumnsRenamed({k: f"of {k}" for k in key_names})
         match = F.lit(True)
         for key in key_names:
@@ -152,18 +174,83 @@ def grouped_statistics(
     )
 
 
-def _repeated(rows: DataFrame, keys: Sequence[str], sets: Sequence[Collection[str]]) -> DataFrame:
-    """Every row once per set of keys; keys outside of the set are null."""
-    number = quote(GROUPING_SET)
-    rows = rows.select("*", F.explode(F.array(*(F.lit(j) for j in range(len(sets))))).alias(GROUPING_SET))
-    inside = {k: ", ".join(str(j) for j, chosen in enumerate(sets) if k in chosen) or "NULL" for k in keys}
+def _repeated(
+    rows: DataFrame, keys: Sequence[str], sets: Sequence[Collection[int]], name: str = GROUPING_SET, numbers: str | None = None,
+) -> DataFrame:
+    """Every row once per set of keys; keys outside of the set are null.
+
+    :param sets: Positions of keys.
+    :param numbers: Column with the numbers of the sets that a row is wanted in; all if absent.
+    """
+    number = quote(name)
+    wanted = F.array(*(F.lit(j) for j in range(len(sets)))) if numbers is None else F.col(quote(numbers))
+    rows = rows.select("*", F.explode(wanted).alias(name))
+    inside = {k: ", ".join(str(j) for j, chosen in enumerate(sets) if i in chosen) or "NULL" for i, k in enumerate(keys)}
     return rows.selectExpr(
         number,
         *(f"CASE WHEN {number} IN ({inside[k]}) THEN {quote(k)} END AS {quote(k)}" for k in keys),
-        *(quote(c) for c in rows.columns if c not in (*keys, GROUPING_SET)),
+        *(quote(c) for c in rows.columns if c not in (*keys, name, numbers)),
     )
 
 
+def _of_hot_groups(rows: DataFrame, keys: Sequence[str], hot: HotGroups, how: str = "left_semi") -> DataFrame:
+    """Repeated rows in hot groups, or in the others; keys in the order of those of ``hot``."""
+    listed = hot.listed.toDF(*(f"hot {i}" for i in range(len(keys))))
+    match = F.lit(True)
+    for i, key in enumerate(keys):
+        match = match & F.col(quote(key)).eqNullSafe(F.col(quote(f"hot {i}")))
+    return rows.join(listed, match, how)
+
+
+def _light_rows(
+    rows: DataFrame, sizes: DataFrame, keys: Sequence[str], sets: Sequence[Collection[int]], hot: HotGroups,
+) -> DataFrame:
+    """Rows once per set in which their group is not hot.  Which sets these are follows from the keys."""
+    own = [f"own {i}" for i in range(len(keys))]
+    named = sizes.select(*(F.col(quote(k)) for k in keys), *(F.col(quote(k)).alias(o) for k, o in zip(keys, own)))
+    light = _of_hot_groups(_repeated(named, keys, sets), [GROUPING_SET, *keys], hot, "left_anti")
+    light = light.groupBy(*own).agg(F.collect_list(GROUPING_SET).alias("light sets"))
+    light = materialise(light, "light-keys")
+    match = F.lit(True)
+    for key, o in zip(keys, own):
+        match = match & F.col(quote(key)).eqNullSafe(F.col(quote(o)))
+    return _repeated(rows.join(light, match).drop(*own), keys, sets, numbers="light sets")
+
+
+def _merged(rows: DataFrame, keys: Sequence[str], kinds: Sequence[T.DataType], slices: Sequence[Slice], expand) -> DataFrame:
+    """Everything but the medians, for groups that ``expand`` makes of groups by all keys.
+
+    Sums of squares are merged around the mean of the group, so that nothing cancels out.
+    """
+    parts, tags, sums = [], [], {}
+    for j, piece in enumerate(slices):
+        condition = "" if piece.where is None else f" FILTER (WHERE {quote(f'slice {j}')})"
+        parts.append(F.expr(f"count(1){condition}").alias(row_count(piece.prefix)))
+        sums[row_count(piece.prefix)] = "sum"
+        for i, kind in enumerate(kinds):
+            tag, x = f"{j} {i}", quote(f"value {i}")
+            wide = f"CAST({x} AS DOUBLE)"
+            parts += _raw_statistics(x, kind, condition, tag)[:-1]
+            parts.append(F.expr(f"avg({wide}){condition}").alias(f"mean {tag}"))
+            parts.append(F.expr(f"var_pop({wide}){condition} * count({x}){condition}").alias(f"squares {tag}"))
+            sums |= {f"n {tag}": "sum", f"sum {tag}": "sum", f"max {tag}": "max", f"min {tag}": "min"}
+            tags.append(tag)
+    part = materialise(rows.groupBy(*(F.col(quote(k)) for k in keys)).agg(*parts), "partial-statistics")
+    groups = expand(part)
+    by = groups.columns[: 1 + len(keys)]
+    means = (F.expr(f"sum(`n {t}` * `mean {t}`) / nullif(sum(`n {t}`), 0)").alias(f"centre {t}") for t in tags)
+    centres = groups.groupBy(*(F.col(quote(k)) for k in by)).agg(*means)
+    centres = centres.withColumnsRenamed({k: f"of {k}" for k in by})
+    match = F.lit(True)
+    for key in by:
+        match = match & F.col(quote(key)).eqNullSafe(F.col(quote(f"of {key}")))
+    spread = groups.join(centres, match).groupBy(*(F.col(quote(k)) for k in by))
+    merged = [F.expr(f"{how}({quote(name)})").alias(name) for name, how in sums.items()]
+    var = "sum(`squares {t}` + `n {t}` * (`mean {t}` - `centre {t}`) * (`mean {t}` - `centre {t}`)) / (sum(`n {t}`) - 1)"
+    merged += [F.expr(f"CASE WHEN sum(`n {t}`) > 1 THEN {var.format(t=t)} END").alias(f"var {t}") for t in tags]
+    return spread.agg(*merged)
+
+
 def _by_slice(
     rows: DataFrame,
     keys: list[str],

@@ -8,7 +8,7 @@ elements of an array column are bracketed by a sketch and then counted inside th
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from fractions import Fraction
 
 import numpy as np
@@ -107,6 +107,7 @@ def hot_quantiles(
     targets: Mapping[str, tuple[str, float]],
     *,
     row_limit: int,
+    expand: Callable[[DataFrame, list[str]], DataFrame] | None = None,
 ) -> DataFrame:
     """Exact quantiles of arbitrarily large groups by radix selection, for all of them together.
 
@@ -115,9 +116,15 @@ def hot_quantiles(
     cells are counted again in ``CELLS`` equal steps, of which one holds at most 2**21 different
     numbers; what is left is counted value by value.  That is two scans, or three, whatever the
     size of the groups and the number of targets, and all counts are combined before the shuffle.
+
+    :param expand: Turns rows with all keys but the first (the names of all are passed) into those of the
+        groups, which may overlap.  It sees counts, and values with the prefix of a wanted cell,
+        never all rows.
     """
     keys = list(keys)
     aliases = [f"key {i}" for i in range(len(keys))]
+    expand = expand or (lambda part, _: part)
+    overlapping = set(keys) - set(frame.columns)
     group = [*aliases, "target"]
     by = [F.col(quote(g)) for g in group]
     probabilities = F.array(*(F.lit(p) for _, p in targets.values()))
@@ -128,11 +135,14 @@ def hot_quantiles(
         for i, (sql, _) in enumerate(targets.values())
     )
     rows = frame.selectExpr(
-        *(f"{quote(k)} AS {quote(a)}" for k, a in zip(keys, aliases)),
+        *(f"{quote(k)} AS {quote(a)}" for k, a in zip(keys, aliases) if k not in overlapping),
         f"inline(array({values}))",
     ).withColumn("prefix", F.expr(PREFIX))
 
-    counted = rows.groupBy(*by, "prefix").agg(*(F.expr(sql).alias(name) for name, sql in _CELL.items()))
+    own = [F.col(quote(a)) for k, a in zip(keys, aliases) if k not in overlapping]
+    counted = rows.groupBy(*own, "target", "prefix").agg(*(F.expr(sql).alias(name) for name, sql in _CELL.items()))
+    if overlapping:
+        counted = expand(counted, aliases).groupBy(*by, "prefix").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     everywhere = Window.partitionBy(*by)
     total = F.sum("n").over(everywhere)
     position = (total - 1) * F.element_at(probabilities, F.col("target") + 1)
@@ -145,6 +155,8 @@ def hot_quantiles(
     )
     cells = materialise(_wanted(counted, group, "prefix", keep="empty"), "quantile-cells")
     groups = cells.select(*(F.col(quote(a)) for a in aliases)).distinct()  # also those without a value
+    if overlapping:
+        rows = expand(rows.join(cells.select("target", "prefix").distinct(), ["target", "prefix"], "left_semi"), aliases)
     if (cells.agg(F.max("n")).first()[0] or 0) > row_limit:
         step = f"CASE WHEN high > low THEN CAST(floor((value - low) / (high - low) * {CELLS}) AS BIGINT) ELSE 0 END"
         finer = _inside(rows, cells, group).withColumn("step", F.expr(step))

@@ -36,17 +36,19 @@ def find_hot_groups(
     keys: Sequence[str],
     *,
     row_limit: int = ROW_LIMIT,
+    counted_in: str | None = None,
 ) -> HotGroups | None:
     """Keys with more than ``row_limit`` rows, or None if there are none.
 
     One scan of the key columns (two if something is hot); the count is combined before the
     shuffle, so a key that holds most of the rows costs nothing extra.  The limit does not
     depend on the table.
+
+    :param counted_in: Column with the number of rows that each row of ``frame`` stands for.
     """
     rows = quote("rows in group")
-    counted = frame.groupBy(*(F.col(quote(k)) for k in keys)).agg(
-        F.count(F.lit(1)).alias("rows in group"),
-    )
+    size = F.count(F.lit(1)) if counted_in is None else F.sum(quote(counted_in))
+    counted = frame.groupBy(*(F.col(quote(k)) for k in keys)).agg(size.alias("rows in group"))
     hot = counted.where(F.col(rows) > row_limit)
     count = hot.count()
     if not count:  # the usual case writes nothing

@@ -178,3 +178,38 @@ def test_scanned_groups_are_not_cut_by_batches(spark):
     sizes = {row["k"]: (row["rows 0"], row["median 0 0"]) for row in found}
     own = list(range(3, 30_000, 7))
     assert len(found) == len(sizes) == 507 and sizes[3] == (len(own), float(np.median(own)))
+
+
+def test_large_groups_of_several_sets_repeat_partial_results(spark, monkeypatch):
+    """Rows of hot groups are never repeated per set; all statistics equal those of complete aggregation."""
+    frame = spark.range(6000).selectExpr(
+        "CASE WHEN id % 7 > 0 THEN id % 3 END AS a", "CASE WHEN id < 5990 THEN concat('b', id % 2) ELSE 'rare' END AS b",
+        "1e9D + pmod(hash(id), 50) AS x", "CASE WHEN id % 5 > 0 THEN 4000000000000000L + id % 97 * 1000000000000L END AS y",
+        "CAST(pmod(hash(id, 1), 60) / 10 AS DECIMAL(9, 2)) AS z", "CASE WHEN id % 1999 = 0 THEN CAST('NaN' AS DOUBLE) ELSE id % 40 END AS w",
+    )
+    sets = [["a"], ["b"], ["a", "b"]]
+    names = {c: c for c in "xyzw"}
+
+    def found(row_limit):
+        pieces = [grouping.Slice("", None), grouping.Slice("few: ", "x < 1e9D + 10")]
+        made = grouping.grouped_statistics(frame, {"a": "a", "b": "b"}, names, pieces, row_limit=row_limit, sets=sets)
+        return {(r[0], r["a"], r["b"]): r.asDict() for r in made.collect()}
+
+    seen, single = [], grouping._of_hot_groups
+
+    def recorded(rows, *args):
+        seen.append(rows.count())
+        return single(rows, *args)
+
+    expected = found(10_000_000)
+    monkeypatch.setattr(grouping, "_of_hot_groups", recorded)
+    made = found(100)
+    assert seen and max(seen[:3]) < 6000  # sizes, partial statistics and counts; not 3 x 6000 rows for each scan
+    assert made.keys() == expected.keys()
+    for key, row in made.items():
+        for name, value in row.items():
+            other = expected[key][name]
+            if isinstance(value, float) and not np.isnan(value):
+                assert abs(value - other) <= 1e-6 * max(1.0, abs(other)), (key, name)
+            else:
+                assert value == other or np.isnan(value) and np.isnan(other), (key, name)
