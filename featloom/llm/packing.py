@@ -258,8 +258,8 @@ def _frequencies(encoded: DataFrame, size: int, kind: str) -> tuple[np.ndarray,
     return counts[:size], int(counts[size]), int(counts[size + 1])
 
 
-def _routes(encoded: DataFrame, rank: np.ndarray, kind: str) -> DataFrame:
-    """Tails with their signature: the first of their terms in the order of ``rank``; and a salt."""
+def _routes(rank: np.ndarray, kind: str):
+    """Function from batches of tails to those with their signature: the first of their terms in the order of ``rank``; and a salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.uint64(_partition() << 33)
@@ -278,8 +278,7 @@ def _routes(encoded: DataFrame, rank: np.ndarray, kind: str) -> DataFrame:
                 ["doc_id", "tail", "doc_tokens", "signature", "salt"],
             )
 
-    tails = encoded.select("doc_id", "tail", "doc_tokens").filter(F.length("tail") > 0)
-    return tails.mapInArrow(run, "doc_id long, tail binary, doc_tokens long, signature long, salt long")
+    return run
 
 
 def _ranks(idf: np.ndarray) -> np.ndarray:
@@ -337,7 +336,9 @@ def pack_documents(
     idf = np.where(holders > 1, np.log1p((n - holders + 0.5) / (holders + 0.5)), 0.0)
     mean = tokens / max(n, 1)
 
-    routed = _routes(encoded, _ranks(idf), kind)
+    routes = _routes(_ranks(idf), kind)
+    tails = encoded.select("doc_id", "tail", "doc_tokens").filter(F.length("tail") > 0)
+    routed = tails.mapInArrow(routes, "doc_id long, tail binary, doc_tokens long, signature long, salt long")
     sizes = np.zeros(size, np.int64)
     width = int(np.dtype(kind).itemsize)
     ids = (F.length("tail") / width).cast("long")
@@ -346,7 +347,7 @@ def pack_documents(
     starts = np.cumsum(sizes) - sizes
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in routes(batches):
             signature = batch.column("signature").to_numpy()
             point = starts[signature] + batch.column("salt").to_numpy() % sizes[signature]
             columns = [batch.column(c) for c in ("doc_id", "tail", "doc_tokens")]
@@ -380,6 +381,7 @@ def pack_documents(
         yield out.batch()
 
     tasks = min(4 * (1 + tokens // group_tokens), 1 << 14)  # four times as many as groups, as hashes collide
-    placed = routed.mapInArrow(place, "doc_id long, tail binary, doc_tokens long, point long, group long")
+    # routed once more, so that a task has one Python worker and not two in a row
+    placed = tails.mapInArrow(place, "doc_id long, tail binary, doc_tokens long, point long, group long")
     shards = placed.repartition(tasks, "group").sortWithinPartitions("point", "doc_id", "doc_tokens", "tail")
     return _full_windows(encoded, window, kind).unionByName(shards.mapInArrow(run, _SCHEMA))

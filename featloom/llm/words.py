@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 19
+#: Rows whose texts are copied at a time, so that a batch is never held several times.
+ROWS = 1 << 12
 _random = np.random.default_rng(20240607)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = _BYTE.copy()
@@ -91,18 +93,20 @@ class Words:
 
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
     """Chunks of a column of texts; null is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    low = 0
-    while low < len(column):
-        high = int(np.searchsorted(bounds, bounds[low] + limit, "right")) - 1
-        high = min(max(high, low + 1), len(column), low + 65536)
-        yield Chunk(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], low)
-        low = high
+    for first in range(0, len(column), ROWS):
+        part = column.slice(first, ROWS)
+        if isinstance(part, pa.ChunkedArray):
+            part = part.combine_chunks()
+        part = pc.fill_null(part.cast(pa.large_string()), "")
+        _, offsets, data = part.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        low = 0
+        while low < len(part):
+            high = int(np.searchsorted(bounds, bounds[low] + limit, "right")) - 1
+            high = min(max(high, low + 1), len(part))
+            yield Chunk(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], first + low)
+            low = high
 
 
 def words(chunk: Chunk, *, lower: bool = False, apart: bytes = b"") -> Words:

@@ -175,3 +175,10 @@ def test_best_neighbours_fill_each_window(spark, tokenizer):
             assert max(others) <= chosen[-1] + 1e-9
         assert sum(length for _, _, length in pieces) == 1024 or not left
     assert not left
+
+
+def test_one_python_worker_per_task(spark):
+    """Two Python operators in a row hold two workers with their memory, idle ones long after the stage."""
+    pieces = pack_documents(spark.read.parquet(f"{FOLDER}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # full windows, places, shards
