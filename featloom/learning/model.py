@@ -292,8 +292,10 @@ def _train_round(
         classes=classes,
         pairs={name: pair for t in extracted for name, pair in t.pairs.items()},
     )
-    # every selector and fit reads these rows again; the joins behind them run once
-    matrix = dataclasses.replace(matrix, frame=materialise(matrix.frame, "matrix"))
+    # every selector and fit reads these rows again; the joins behind them run once, and leave them
+    # to so few tasks by their bytes that fitting would not use all cores
+    cores = matrix.frame.sparkSession.sparkContext.defaultParallelism
+    matrix = dataclasses.replace(matrix, frame=materialise(matrix.frame.repartition(cores), "matrix"))
 
     for selector in selectors:
         chosen = selector.chosen(matrix.where("is_train"))

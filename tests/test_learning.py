@@ -520,3 +520,12 @@ def test_registry_and_baseline(spark, numbers):
     with pytest.raises(ValueError, match="missing values"):
         t = from_frames(spark, {"t": spark.createDataFrame([(None,), (1,)], "x int")}).table("t")
         suggest_problem(t, "x")
+
+
+def test_training_reads_texts_once_and_uses_all_cores(spark):
+    from workload.training import _forest_rounds, document_model
+
+    model = document_model(spark, "/root/testdata/sf0.001", _forest_rounds())
+    plans = [t.frame._jdf.queryExecution().toString() for t in model.dataset]
+    assert plans and not any("regexp_replace" in plan for plan in plans)
+    assert len(model.test.inputFiles()) > 1

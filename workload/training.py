@@ -269,6 +269,8 @@ def document_model(spark, sf_dir, rounds=None) -> Model:
         "n_chars / size(split(text, ' ')) AS word_length", "n_chars / size(split(text, '\n')) AS line_length",
         "length(regexp_replace(text, '[^0-9]', '')) / n_chars AS digit_share",
     )
+    # profile, categories and every round of training read them again; the texts are read once
+    facts = materialise(facts, "facts")
     labels = table(read(spark, sf_dir, "labels"), "labels")
     data = declare_key(Dataset([table(facts, "documents")]).apply(Encode()), "documents", ["doc_id"])
     return Model.train(
