@@ -19,12 +19,16 @@ from featloom.learning.matrix import FeatureMatrix, as_matrix, indexed, with_don
 from featloom.learning.predictors import FittedTrees, PredictionMethod
 from featloom.learning.trees import answers, mean_impacts, read_ensemble, swapped_function
 from featloom.plans.quantiles import array_quantiles
+from featloom.plans.storage import materialise, release
 from featloom.problem import Problem
 
 
 # Rows that are scored with all features permuted in one step.
 STEP = 2048
 
+# Rows of a file of a Boruta trial, from which fitting and scoring take their partitions.
+TRIAL_ROWS = 1 << 18
+
 
 class Selector(abc.ABC):
     """Chooses features."""
@@ -312,6 +316,9 @@ class Boruta(Selector):
                 F.transform(chosen, lambda i: F.get(F.col("donor"), i)),
             ).alias("features"),
         )
+        # each of the passes over a trial would join and shuffle all rows again
+        parts = max(doubled.sparkSession.sparkContext.defaultParallelism, -(-rows // TRIAL_ROWS))
+        doubled = materialise(doubled.repartition(parts), "trial")
         names = [str(i) for i in range(2 * len(active))]
         trial_matrix = dataclasses.replace(matrix, frame=doubled, names=names)
         fitted = self.predictor.fit(trial_matrix)
@@ -322,6 +329,7 @@ class Boruta(Selector):
                 scores = fitted.importances
             case _:
                 scores = [float(np.mean(v)) for v in permutation_losses(trial_matrix, fitted, repeats=1)]
+        release(doubled)
         return scores[: len(active)], max(scores[len(active) :])
 
 

@@ -522,6 +522,20 @@ def test_registry_and_baseline(spark, numbers):
         suggest_problem(t, "x")
 
 
+def test_boruta_joins_donors_once_per_trial(spark):
+    fitted = []
+
+    class Seen(RandomForest):
+        def fit(self, matrix):
+            fitted.append(matrix.frame._jdf.queryExecution().optimizedPlan().toString())
+            return super().fit(matrix)
+
+    frame = spark.range(200).selectExpr("CAST(id % 20 AS DOUBLE) AS a", "CAST(pmod(hash(id), 9) AS DOUBLE) AS b", "id % 20 > 9 AS y")
+    matrix = feature_matrix(frame, ["a", "b"], "y", Problem.classification)
+    Boruta(importance="gini", predictor=Seen(), problem=Problem.classification, trials=1).select(matrix)
+    assert len(fitted) == 1 and "Join" not in fitted[0]
+
+
 def test_training_reads_texts_once_and_uses_all_cores(spark):
     from workload.training import _forest_rounds, document_model
 
