@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,10 @@ from featloom.plans.storage import materialise
 
 #: Fixed value: how byte-level vocabularies cut texts before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of texts whose words are encoded together.
+SLICE = 8 << 20
+#: No word, or one with white space at an end.
+ODD = r"\A\z|\A[\t-\r\x1c- \x{85}\pZ]|[\t-\r\x1c- \x{85}\pZ]\z"
 #: Usual constants of BM25.
 K1, B = 1.2, 0.75
 
@@ -25,12 +30,8 @@ _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, se
 
 
 @functools.cache
-def encoder(vocabulary: str):
-    """Function from a text to its ids, for a byte-level BPE file of the tokenizers library.
-
-    Where ids are numbered in the order of the merges, a rank encoder gives the same ids
-    several times faster; otherwise the library itself encodes.
-    """
+def ranks(vocabulary: str) -> dict[bytes, int] | None:
+    """Ids by their bytes, for a byte-level BPE file that numbers them in the order of the merges."""
     with open(vocabulary, encoding="utf-8") as file:
         model = json.load(file)["model"]
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,21 +39,100 @@ def encoder(vocabulary: str):
     to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     vocab, merges = model["vocab"], model["merges"]
     joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in merges]
-    if all(vocab.get(m) == 256 + i for i, m in enumerate(joined)):
-        import tiktoken
+    if any(vocab.get(m) != 256 + i for i, m in enumerate(joined)):
+        return None
+    names = [t for t in vocab if vocab[t] < 256 + len(joined)]
+    return {bytes(to_byte[c] for c in t): vocab[t] for t in names}
 
-        names = [t for t in vocab if vocab[t] < 256 + len(joined)]
-        ranks = {bytes(to_byte[c] for c in t): vocab[t] for t in names}
-        fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-        def encode(text: str) -> np.ndarray:
-            try:
-                return fast.encode_to_numpy(text, disallowed_special=())
-            except ValueError:  # a run of white space is too long for its search
-                return library(vocabulary)(text)
+@functools.cache
+def encoder(vocabulary: str):
+    """Function from a text to its ids, for a byte-level BPE file of the tokenizers library.
+
+    Where ids are numbered in the order of the merges, a rank encoder gives the same ids
+    several times faster; otherwise the library itself encodes.
+    """
+    if ranks(vocabulary) is None:
+        return library(vocabulary)
+    import tiktoken
+
+    fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks(vocabulary), special_tokens={})
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # a run of white space is too long for its search
+            return library(vocabulary)(text)
+
+    return encode
 
-        return encode
-    return library(vocabulary)
+
+@functools.cache
+def widths(vocabulary: str) -> np.ndarray:
+    """Number of bytes of each id of a rank encoder."""
+    found = np.zeros(max(ranks(vocabulary).values()) + 1, np.int64)
+    for piece, i in ranks(vocabulary).items():
+        found[i] = len(piece)
+    return found
+
+
+def encode_texts(texts: pa.Array, vocabulary: str) -> Iterator[np.ndarray]:
+    """Ids of each text.  A rank encoder sees every word once for ``SLICE`` bytes of texts."""
+    encode, first, before = encoder(vocabulary), 0, 0
+    texts = texts.fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    while first < len(texts):
+        stop = max(first + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
+        part = texts.slice(first, stop - first)
+        if ranks(vocabulary) is None or ends[stop - 1] - before > SLICE:
+            yield from map(encode, part.to_pylist())
+        else:
+            yield from _by_words(part.cast(pa.string()), encode, widths(vocabulary))
+        first, before = stop, ends[stop - 1]
+
+
+def _by_words(texts: pa.Array, encode, width: np.ndarray) -> Iterator[np.ndarray]:
+    """Ids of each text, put together from those of its words with the blank before them.
+
+    ``SPLIT`` looks at nothing before a token, and past its end only in white space.  So texts may
+    be cut before any blank, unless it lies inside a run of white space and does not end it;
+    a text with such a run is encoded as a whole.  Words without white space at their ends
+    are encoded as one text, and the bytes of its ids tell where each one ends.
+    """
+    parts = pc.split_pattern(texts, " ")
+    words = parts.flatten().dictionary_encode()
+    known, codes = words.dictionary, words.indices.to_numpy().copy()
+    bounds = np.cumsum(np.append(0, pc.list_value_length(parts).to_numpy()))
+    odd = pc.or_(pc.match_substring_regex(known, ODD), pc.greater(pc.binary_length(known), 256))
+    plain, odd = known.filter(pc.invert(odd)), odd.to_numpy(zero_copy_only=False)
+    alone = [" " + word for word in known.filter(pa.array(odd)).to_pylist()]
+    opening = known.take(pa.array(codes[bounds[:-1]])).to_pylist()  # no blank before them
+    codes[bounds[:-1]] = np.arange(len(known), len(known) + len(opening))
+
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), " ")
+    ids = encode(" " + joined[0].as_py())
+    own = pc.binary_length(plain).to_numpy().astype(np.int64) + 1
+    cuts = np.append(0, np.searchsorted(np.cumsum(width[ids]), np.cumsum(own)) + 1)
+    others = [encode(text) for text in alone + opening]
+    ids = np.concatenate([ids[: cuts[-1]], *others])
+    lengths = np.append(np.diff(cuts), [len(o) for o in others]).astype(np.int32)
+    order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd), np.arange(len(known), len(lengths))])
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    codes = place[codes]
+
+    runs = np.zeros((2, len(lengths)), bool)  # of white space, after the blank and at the end
+    runs[0, len(plain) :] = [text[1:2].isspace() or text == " " for text in alone] + [False] * len(opening)
+    runs[1, len(plain) :] = [text[-1:].isspace() for text in alone + opening]
+    inside = np.flatnonzero(runs[1, codes[:-1]] & runs[0, codes[1:]])
+    whole = set((np.searchsorted(bounds, inside, side="right") - 1).tolist())
+
+    sizes = lengths[codes]
+    ends = np.cumsum(sizes, dtype=np.int32)
+    starts = np.cumsum(lengths, dtype=np.int32) - lengths
+    found = ids[np.repeat(starts[codes] - ends + sizes, sizes) + np.arange(ends[-1], dtype=np.int32)]
+    for i, own in enumerate(np.split(found, ends[bounds[1:-1] - 1])):
+        yield encode(texts[i].as_py()) if i in whole else own
 
 
 @functools.cache
@@ -203,11 +283,10 @@ def _encode(docs: DataFrame, vocabulary: str, window: int, end_id: int, kind: st
     schema = pa.schema([("doc_id", pa.int64()), ("head", pa.binary()), ("tail", pa.binary()), ("doc_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
         for batch in batches:
             rows, size = [], 0
-            for key, body in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(encode(body.as_py() or ""), np.uint32(end_id)).astype(kind)
+            for key, ids in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text"), vocabulary)):
+                ids = np.append(ids, np.uint32(end_id)).astype(kind)
                 cut = len(ids) // window * window
                 rows.append((key, ids[:cut].tobytes(), ids[cut:].tobytes(), len(ids)))
                 size += ids.nbytes
@@ -243,10 +322,15 @@ def _frequencies(encoded: DataFrame, size: int, kind: str) -> tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size + 2, np.int64)
         for batch in batches:
-            for tail in batch.column("tail").to_pylist():
-                ids = np.frombuffer(tail, kind)
-                counts[np.unique(ids)] += 1
-                counts[size] += len(ids) > 0
+            tails = batch.column("tail").to_pylist()
+            for first in range(0, len(tails), 1024):  # ids of many documents sorted at once
+                part = tails[first : first + 1024]
+                ids = np.frombuffer(b"".join(part), kind)
+                own = np.array([len(tail) // ids.itemsize for tail in part])
+                keys = np.sort(np.repeat(np.arange(len(part)) * size, own) + ids)
+                held = keys[np.diff(keys, prepend=-1) > 0]
+                counts[:size] += np.bincount(held % size, minlength=size)
+                counts[size] += np.count_nonzero(own)
                 counts[size + 1] += len(ids)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["term", "n"])

@@ -1,16 +1,19 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from fixtures import FOLDER, awkward, empty
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from featloom.llm import packing
 from featloom.llm.packing import Index, Rest, encoder, pack_documents
 from featloom.llm.queries import QUERIES
 
@@ -95,6 +98,44 @@ def test_ids_of_special_strings_and_odd_texts(tokenizer):
         assert encoder(VOCABULARY)(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+ATOMS = [*" " * 8, *"\n\t\r\x0b\x0c\x1c\x1f\x00\x85\u00a0\u1680\u2003\u2028\u3000\u200b\ufeff\u0301", "a", "word", "é", "'s", "'", "''"]
+ATOMS += ["don't", "12", "Ⅷ", "²", "一", "🙂", "-", "...", "<|endoftext|>", "x" * 300, "\n" * 300]
+
+
+@pytest.mark.parametrize("size", [1, 100, 1 << 20])
+def test_ids_of_texts_encoded_together(tokenizer, monkeypatch, size):
+    """Blanks in runs of white space and at both ends; slices of one text and of many."""
+    monkeypatch.setattr(packing, "SLICE", size)
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(ATOMS) for _ in range(draw.randrange(14))) for _ in range(10_000)]
+    texts += [None, "", " ", "  ", "   ", "\n \n", " \n ", "a  ", "  a", "a \n  b"]
+    wanted = [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for column in (pa.array(texts, pa.string()), pa.array(["-", *texts], pa.large_string())[1:]):
+        assert [ids.tolist() for ids in packing.encode_texts(column, VOCABULARY)] == wanted
+    assert list(packing.encode_texts(pa.array([], pa.string()), VOCABULARY)) == []
+
+
+def test_each_word_is_encoded_once(monkeypatch):
+    """The encoder sees a word once, however many documents hold it."""
+    seen = []
+    encode = encoder(VOCABULARY)
+    monkeypatch.setattr(packing, "encoder", lambda _: lambda text: seen.append(text) or encode(text))
+    texts = [f"{i % 7} " + " ".join(f"word{(i + j) % 50}," for j in range(100)) for i in range(500)]
+    found = list(packing.encode_texts(pa.array(texts), VOCABULARY))
+    assert [ids.tolist() for ids in found] == [encode(text).tolist() for text in texts]
+    assert sum(map(len, seen)) < sum(map(len, texts)) / 100
+
+
+def test_frequencies_of_terms(spark):
+    """More documents than are sorted at once, some without ids."""
+    draw = np.random.default_rng(2)
+    tails = [draw.integers(0, 300, n).astype("<u2") for n in draw.integers(0, 40, 3000)]
+    rows = spark.createDataFrame([(bytearray(t.tobytes()),) for t in tails], "tail binary").coalesce(1)
+    counts, n, tokens = packing._frequencies(rows, 300, "<u2")
+    assert counts.tolist() == np.bincount(np.concatenate([np.unique(t) for t in tails]), minlength=300).tolist()
+    assert (n, tokens) == (sum(len(t) > 0 for t in tails), sum(map(len, tails)))
+
+
 def test_neighbours_share_rare_terms():
     draw = np.random.default_rng(1)
     groups = [draw.integers(1000 * g, 1000 * g + 300, (20, 60)) for g in range(5)]
