@@ -543,3 +543,30 @@ def test_training_reads_texts_once_and_uses_all_cores(spark):
     plans = [t.frame._jdf.queryExecution().toString() for t in model.dataset]
     assert plans and not any("regexp_replace" in plan for plan in plans)
     assert len(model.test.inputFiles()) > 1
+
+
+@pytest.fixture(scope="module")
+def empty_texts(spark, tmp_path_factory):
+    """Documents whose quality is their share of digits; every tenth is empty, every other tenth null."""
+    folder = str(tmp_path_factory.mktemp("documents"))
+    text = "CASE id % 10 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat(repeat('1', CAST(id % 89 AS INT)), ' ', repeat('a', CAST(5 + id % 53 AS INT))) END"
+    documents = spark.range(400).selectExpr("id AS doc_id", f"{text} AS text", "if(id % 2 = 0, 'en', 'de') AS lang", "'src' AS source")
+    documents = documents.selectExpr("*", "CAST(length(text) AS LONG) AS n_chars")
+    documents.write.parquet(f"{folder}/documents.parquet")
+    quality = "CAST(coalesce(id % 10 > 1 AND id % 89 > 5 + id % 53, false) AS INT) AS quality"
+    spark.range(400).where("id % 3 > 0").selectExpr("id AS doc_id", quality, "0 AS toxic").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_impacts_of_predictions_with_empty_texts(spark, empty_texts):
+    from workload.training import _forest_rounds, document_model, prediction_impacts
+
+    impacts = {r["Feature"]: r["Impact"] for r in prediction_impacts(spark, empty_texts).collect()}
+    assert "digit_share" in impacts and all(math.isfinite(v) for v in impacts.values())
+    model = document_model(spark, empty_texts, _forest_rounds())
+    found = model.predict(spark.range(400).toDF("doc_id")).frame
+    shares = {r["doc_id"]: r["digit_share :: documents"] for r in found.collect()}
+    assert len(shares) == 400 and {i for i, share in shares.items() if share is None} == {i for i in range(400) if i % 10 < 2}
+    assert all(shares[i] == pytest.approx((i % 89) / (i % 89 + 6 + i % 53)) for i in range(400) if i % 10 > 1)
+    right = [r["quality"] == (r["doc_id"] % 10 > 1 and r["doc_id"] % 89 > 5 + r["doc_id"] % 53) for r in found.collect()]
+    assert sum(right) > 0.95 * 400

@@ -263,11 +263,12 @@ def label_encoding_wide(spark, sf_dir):
 def document_model(spark, sf_dir, rounds=None) -> Model:
     """Predict the quality of labelled documents from their own columns and their source."""
     documents = read(spark, sf_dir, "documents")
-    # facts per document that a chain of row-wise expressions can see
+    # facts per document that a chain of row-wise expressions can see; a text without characters has no
+    # share of digits, which is a missing feature
     facts = documents.selectExpr(
         "doc_id", "lang", "source", "CAST(n_chars AS DOUBLE) AS n_chars",
         "n_chars / size(split(text, ' ')) AS word_length", "n_chars / size(split(text, '\n')) AS line_length",
-        "length(regexp_replace(text, '[^0-9]', '')) / n_chars AS digit_share",
+        "try_divide(length(regexp_replace(text, '[^0-9]', '')), n_chars) AS digit_share",
     )
     # profile, categories and every round of training read them again; the texts are read once
     facts = materialise(facts, "facts")
