@@ -570,3 +570,10 @@ def test_impacts_of_predictions_with_empty_texts(spark, empty_texts):
     assert all(shares[i] == pytest.approx((i % 89) / (i % 89 + 6 + i % 53)) for i in range(400) if i % 10 > 1)
     right = [r["quality"] == (r["doc_id"] % 10 > 1 and r["doc_id"] % 89 > 5 + r["doc_id"] % 53) for r in found.collect()]
     assert sum(right) > 0.95 * 400
+
+
+def test_importance_with_empty_texts(spark, empty_texts):
+    from workload.training import shap_importance
+
+    grid = {r["Feature"]: r["Importance"] for r in shap_importance(spark, empty_texts).collect()}
+    assert max(grid, key=grid.get) == "digit_share" and grid["digit_share"] == pytest.approx(1.0)
